@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import table
 from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
+from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.url_filter import judge_urls
+from kinweave.llm.warc import read_records, write_archive
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_archive(table(spark, sf_dir, "pages")))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +89,53 @@ FROM r LEFT JOIN sc USING (page_id) CROSS JOIN tau
 """
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     h AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS holder, cast(octet_length(encode(html)) AS BIGINT) AS n FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM h
+"""
+
+
+def op8_sql() -> str:
+    seps = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    places = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, i - 1 AS start FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) WHERE "
+        + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        for phrase, label in PHRASES
+    )
+    sets = ", ".join(f"('{label}', [{', '.join(repr(w) for w in t)}])" for label, t in template_sets(TEMPLATES))
+    return f"""
+WITH l AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, list_filter(string_split_regex(t, '{seps}'), lambda x: x <> '') AS w FROM l),
+places AS ({places}),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, list_distinct(string_split_regex(b, '{seps}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM l)),
+templates(label, t) AS (VALUES {sets}),
+hits AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS score FROM blocks, templates WHERE len(list_intersect(b, t)) >= ceil(round({THRESHOLD} * len(t), 9))),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM hits GROUP BY doc_id)
+SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, cast(first_word AS BIGINT) AS first_word, cast(last_word AS BIGINT) AS last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+       cast(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(more.score, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+QUERIES = {
+    "op2_warc": (op2_warc, OP2_SQL),
+    "op7_secret_scan": (op7_secret_scan, None),
+    "op8_license_scan": (op8_license_scan, op8_sql()),
+    "op9_url_filter": (op9_url_filter, OP9_SQL),
+    "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_url_filter": op9_url_filter, "op10_exact_dedup": op10_exact_dedup}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}

@@ -8,12 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.common import table
+from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.langid import fit, identify, is_held_out
 from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
 from kinweave.llm.secrets import scan_secrets
+from kinweave.llm.sentencepiece import decode, encode
 from kinweave.llm.url_filter import judge_urls
 from kinweave.llm.warc import read_records, write_archive
 
+#: A vocabulary file of the environment; any other BPE or unigram model's path does.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
+    """Every document's pieces, and the digest of the text that they decode to."""
+    back = decode(encode(table(spark, sf_dir, "documents"), model_file), model_file)
+    return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs))
+    return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each place where a document repeats a benchmark item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archive(table(spark, sf_dir, "pages")))
@@ -125,7 +148,10 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 
 
 QUERIES = {
+    "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_warc": (op2_warc, OP2_SQL),
+    "op3_language_id": (op3_language_id, None),
+    "op5_decontaminate": (op5_decontaminate, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_license_scan": (op8_license_scan, op8_sql()),
     "op9_url_filter": (op9_url_filter, OP9_SQL),

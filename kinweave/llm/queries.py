@@ -12,6 +12,7 @@ from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
 from kinweave.llm.langid import fit, identify, is_held_out
 from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
+from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.sentencepiece import decode, encode
 from kinweave.llm.url_filter import judge_urls
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each place where a document repeats a benchmark item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -112,6 +117,29 @@ FROM r LEFT JOIN sc USING (page_id) CROSS JOIN tau
 """
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+                                      WHEN len(w) = 1 THEN w ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS df FROM s GROUP BY g),
+p AS (
+  SELECT doc_id, g, n FROM (SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.df, s.g) AS rn FROM s JOIN n USING (doc_id) JOIN f USING (g))
+  WHERE rn <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+links AS (
+  SELECT a, b FROM (SELECT c.a, c.b, count(*) AS i FROM cand c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b) k
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+c(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id WHERE c.r < e.b),
+m AS (SELECT doc_id, min(r) AS r FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.r AS component_id, d.doc_id = m.r AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      h AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS holder, cast(octet_length(encode(html)) AS BIGINT) AS n FROM p)
@@ -151,6 +179,7 @@ QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_warc": (op2_warc, OP2_SQL),
     "op3_language_id": (op3_language_id, None),
+    "op4_near_dedup": (op4_near_dedup, OP4_SQL),
     "op5_decontaminate": (op5_decontaminate, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_license_scan": (op8_license_scan, op8_sql()),

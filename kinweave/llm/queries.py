@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import table
 from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.html_text import extract_text
 from kinweave.llm.langid import fit, identify, is_held_out
 from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
 from kinweave.llm.near_dedup import near_duplicates
@@ -47,6 +48,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archive(table(spark, sf_dir, "pages")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -181,6 +186,7 @@ QUERIES = {
     "op3_language_id": (op3_language_id, None),
     "op4_near_dedup": (op4_near_dedup, OP4_SQL),
     "op5_decontaminate": (op5_decontaminate, None),
+    "op6_html_text": (op6_html_text, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_license_scan": (op8_license_scan, op8_sql()),
     "op9_url_filter": (op9_url_filter, OP9_SQL),

@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,10 @@ from kinweave.llm.common import columns_only
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words kept between batches, so memory doesn't follow the vocabulary of the corpus.
+#: Words of a generation that are kept between batches, so memory doesn't follow
+#: the vocabulary of the corpus; a word in use moves on to the next generation.
 CACHE = 150_000
-_PART = re.compile(f"{MARK}+|\n|[^{MARK}\n]+")
+_LINE = re.compile("(\n)")
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -97,19 +99,21 @@ class Encoder:
         self.model, self.ids, self.scores = model, model.ids, model.scores
         words = [p for p in self.ids if MARK not in p.lstrip(MARK) and (len(p) == 1 or p.strip(MARK))]
         self.words = {p: self.ids[p] for p in words}
-        self.longest = max(map(len, self.words), default=1)
+        self.cuts_lines = not any("\n" in p for p in self.ids)
         # Lengths that pieces with this last character have, longest first.
         lengths: dict[str, set[int]] = {}
         for p in self.words:
             lengths.setdefault(p[-1], set()).add(len(p))
         self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.trees: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The model's own merging: again and again the best-scored pair, the leftmost of equals."""
+    def merged(self, symbols: list[str], last: list[str] | None = None) -> list[str]:
+        """The model's own merging: again and again the best-scored pair, the
+        leftmost of equals. ``last`` gets the two halves of the last merge."""
         n = len(symbols)
         left, right, text = list(range(-1, n - 1)), list(range(1, n + 1)), list(symbols)
         heap: list[tuple[float, int, int, str]] = []
@@ -124,6 +128,8 @@ class Encoder:
             _, i, j, both = heapq.heappop(heap)
             if not text[i] or not text[j] or right[i] != j or text[i] + text[j] != both:
                 continue
+            if last is not None:
+                last[:] = [text[i], text[j]]
             text[i], text[j], right[i] = both, "", right[j]
             if right[j] < n:
                 left[right[j]] = i
@@ -131,32 +137,68 @@ class Encoder:
             offer(i, right[i])
         return [t for t in text if t]
 
+    def tree(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The symbols at a piece's left and right end while it is merged, from
+        a character to the piece, each with the cost of the merge that makes
+        it; None if merging its characters gives something else."""
+        if piece not in self.trees:
+            if len(piece) == 1:
+                self.trees[piece] = ([(piece, -np.inf)],) * 2
+            else:
+                halves: list[str] = []
+                whole = self.merged(list(piece), halves) == [piece]
+                left, right = (self.tree(halves[0]), self.tree(halves[1])) if whole else (None, None)
+                own = [(piece, -self.scores[self.ids[piece]])]
+                self.trees[piece] = (left[0] + own, right[1] + own) if left and right else None
+        return self.trees[piece]
+
     def stays(self, a: str, b: str) -> bool:
-        """Whether merging leaves the pieces a, b as they are."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(list(a + b)) == [a, b]
-        return known
+        """Whether merging leaves the pieces a, b as they are.
 
-    def reachable(self, piece: str) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self.merged(list(piece)) == [piece]
+        Merges happen in the order of their costs. At each moment one symbol of
+        a and one of b meet at the boundary; the pieces stay if no such two are
+        a piece that costs less than what either is merged into within its own
+        side. Of equal costs the merge further left goes first.
+        """
+        known = self.pairs.get((a, b))
+        if known is not None:
+            return known
+        if len(self.pairs) > 4 * CACHE:
+            self.pairs.clear()
+        left, right = self.tree(a)[1], self.tree(b)[0]
+        if any(x[1] > y[1] for side in (left, right) for x, y in zip(side, side[1:], strict=False)):
+            known = self.merged(list(a + b)) == [a, b]
+        else:
+            i = j = 0
+            known = True
+            while True:
+                over_left = left[i + 1][1] if i + 1 < len(left) else np.inf
+                over_right = right[j + 1][1] if j + 1 < len(right) else np.inf
+                k = self.ids.get(left[i][0] + right[j][0])
+                if k is not None and -self.scores[k] < over_left and -self.scores[k] <= over_right:
+                    known = False
+                    break
+                if over_left == over_right == np.inf:
+                    break
+                if over_left <= over_right:
+                    i += 1
+                else:
+                    j += 1
+        self.pairs[a, b] = known
         return known
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.model.byte_ids[b] for b in char.encode())
 
-    def encode_words(self, words: list[str]) -> None:
-        """Fills the cache with the words' ids: one walk through their trie."""
+    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """The words' ids, by one walk through their trie."""
         bpe = self.model.algorithm == BPE
         get, lengths = self.words.get, self.lengths
         worst = min(self.scores) - 10.0
         before = ""
         # A state for each prefix of the current word: forward score, last piece, its length, its ids.
         states: list[tuple[float, str, int, tuple[int, ...]]] = [(0.0, "", 0, ())]
+        found: dict[str, tuple[int, ...]] = {}
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
@@ -175,7 +217,7 @@ class Encoder:
                     if not bpe:
                         if best is None or score + self.scores[k] > best[0]:
                             best = (score + self.scores[k], piece, n, (k,))
-                    elif (n == 1 or self.reachable(piece)) and (not last or len(last) == 1 and last not in self.words or self.stays(last, piece)):
+                    elif self.tree(piece) and (not last or last not in self.words or self.stays(last, piece)):
                         best = (0.0, piece, n, (k,))
                         break
                 if best is None:
@@ -188,8 +230,9 @@ class Encoder:
                 _, _, n, ids = states[at]
                 out[:0] = ids
                 at -= n
-            self.cache[word] = tuple(out)
+            found[word] = tuple(out)
             before = word
+        return found
 
     def run(self, marks: int) -> tuple[int, ...]:
         """A run of markers, which the model merges among themselves."""
@@ -197,50 +240,49 @@ class Encoder:
             self.runs[marks] = tuple(self.ids[t] for t in self.merged([MARK] * marks)) if marks else ()
         return self.runs[marks]
 
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """Marked words: the last marker of a run goes with the word after it."""
-        marked = (MARK + text.replace(" ", MARK)) if text else ""
-        out: list[str] = []
-        for part in _PART.findall(marked):
-            if out and out[-1][-1] == MARK and part[0] not in (MARK, "\n"):
-                out[-1] = out[-1][:-1]
-                if not out[-1]:
-                    out.pop()
-                out.append(MARK + part)
-            else:
-                out.append(part)
-        return out
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of marked words into the cache. Words are cut at line
+        breaks first: no piece of a text model crosses one."""
+        fresh: list[str] = []
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        for w in words:
+            if w not in self.cache:
+                if (ids := self.older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    self.cache[w] = ids
+        cut = self.cuts_lines
+        parts = {w: [p for p in _LINE.split(MARK + w) if p] if cut and "\n" in w else [MARK + w] for w in fresh}
+        found = self.encode_words(list({p for own in parts.values() for p in own}))
+        for w, own in parts.items():
+            self.cache[w] = found[own[0]] if len(own) == 1 else tuple(i for p in own for i in found[p])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.parts(t) for t in texts]
-        wanted = {p for parts in cut for p in parts}
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.encode_words([w for w in wanted if w not in self.cache and w.strip(MARK)])
-        cache, mark = self.cache, self.ids[MARK]
+        cut = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
+        self.learn(set().union(*cut) - {""})
+        get, mark = self.cache.__getitem__, self.ids[MARK]
         out = []
-        for parts in cut:
+        for words in cut:
+            if "" not in words:
+                out.append(list(chain.from_iterable(map(get, words))))
+                continue
             ids: list[int] = []
             marks = 0  # not yet written: markers that may still merge with each other
-            for p in parts:
-                own = cache.get(p)
-                if own is None:
-                    marks += len(p)
+            for w in words:
+                if not w:
+                    marks += 1
                     continue
-                if marks:
+                own = get(w)
+                if marks and own[0] == mark:
                     # A word's marker that stayed alone merges with the run before it.
-                    if own[0] == mark and p[0] == MARK:
-                        ids += self.run(marks + 1)
-                        ids += own[1:]
-                    else:
-                        ids += self.run(marks)
-                        ids += own
-                    marks = 0
+                    ids += self.run(marks + 1)
+                    ids += own[1:]
                 else:
+                    ids += self.run(marks)
                     ids += own
-            ids += self.run(marks)
-            out.append(ids)
+                marks = 0
+            out.append(ids + list(self.run(marks)))
         return out
 
 

@@ -19,14 +19,14 @@ from kinweave.llm.queries import MODEL_FILE
 from kinweave.llm.sentencepiece import decode, encode
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes if no language reaches this; clean prose is far above it.
-LEAST_SCORE = 0.4
 #: Ids of rejected documents, 8 bytes each, that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned stay; those without a letter go.
+    """Documents that are given a language stay; those given none (null, empty or
+    without a letter) go. A low score alone rejects nothing: a network fitted on
+    few labels is unsure of clean documents too.
 
     ``lang`` is left as it is. The network is fitted on a bounded sample of the
     stage's own labelled documents; if none is labelled, nothing can be judged
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if network is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
     found = identify(docs, network, keep=tuple(COLUMNS))
-    return found.filter((F.col("lang_pred") != UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.filter(F.col("lang_pred") != UNDECIDED).select(*COLUMNS)
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import ingest as ing
-from kinweave.plans.lineage import cut
+from kinweave.plans.lineage import cut_by
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,8 @@ def follow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cached_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph cut once, for queries that read it at every level."""
-    return cut(follow_edges(spark, sf_dir))
+    """The graph cut once by follower, for searches that join it at every level."""
+    return cut_by(follow_edges(spark, sf_dir), "follower_pubkey")
 
 
 def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Schemas and the cutting of lineage, shared by all operators."""
 
-from kinweave.plans.lineage import cut, cut_and_count, shared_root
+from kinweave.plans.lineage import cut, cut_and_count, cut_by, shared_root
 from kinweave.plans.schema import DISTANCES, EDGES, EVENTS
 
-__all__ = ["DISTANCES", "EDGES", "EVENTS", "cut", "cut_and_count", "shared_root"]
+__all__ = ["DISTANCES", "EDGES", "EVENTS", "cut", "cut_and_count", "cut_by", "shared_root"]

@@ -32,3 +32,19 @@ def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
     return out, int(seen.get["rows"])
+
+
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """The cut frame, hash-partitioned by ``key``, for joins at every level of a search.
+
+    An adaptive plan doesn't say how its result is partitioned, so the frame is
+    first made by one and then dealt out by a fixed plan that does. Joins on
+    the key with as many shuffle partitions leave it where it is.
+    """
+    made, conf = cut(df), df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(made.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.functions.retry import execute_with_retry
-from kinweave.plans.lineage import cut
+from kinweave.plans.lineage import cut_by
 from kinweave.plans.schema import DISTANCES, EDGES
 
 TABLES = {"follows": EDGES, "root_distances": DISTANCES}
@@ -36,7 +36,7 @@ class MemoryStore:
 
     def commit(self, tables: dict[str, DataFrame | None], metadata: dict[str, str]) -> None:
         """Replaces the given tables (None drops one) and metadata together."""
-        fresh = {k: None if v is None else cut(v) for k, v in tables.items()}
+        fresh = {k: None if v is None else cut_by(v, v.columns[0]) for k, v in tables.items()}
         self._tables = {k: v for k, v in (self._tables | fresh).items() if v is not None}
         self.metadata = self.metadata | metadata
 

@@ -88,3 +88,13 @@ def test_plans_have_no_cross_join_and_push_filters(spark, tmp_path):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = rel.following(df, "a")._jdf.queryExecution().toString()
     assert "EqualTo(follower_pubkey,a)" in plan and "created_at" not in plan.split("ReadSchema")[1]
+
+
+def test_partitioned_edges_are_not_shuffled_again(spark):
+    from kinweave.plans import cut_by
+
+    edges = cut_by(spark.createDataFrame([(i, i + 1) for i in range(50)], SCHEMA), "follower_pubkey")
+    other = spark.range(50).selectExpr("id AS follower_pubkey").hint("merge")
+    plan = edges.join(other, "follower_pubkey")._jdf.queryExecution().sparkPlan().toString()
+    executed = edges.join(other, "follower_pubkey")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and executed.count("Exchange hashpartitioning") == 1

@@ -40,7 +40,8 @@ SIGNATURE = BANDS * ROWS
 BATCH = 16
 #: Probability of dropping a pair that reaches the threshold, at each batch.
 MISS = 1e-7
-BLOCK = 512
+#: Members of one side of a comparison: two sides' signatures take 4 MB at most.
+BLOCK = 4096
 #: Ids that go out by broadcast rather than by a shuffle, counted first.
 BROADCAST_IDS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,23 +186,29 @@ def _confirm(percent: int):
 
 
 def _compare_blocks(least: np.ndarray, percent: int):
-    """Two blocks of a bucket: pairs of different components that aren't ruled out."""
+    """Two blocks of a bucket, or one with itself: pairs of different components
+    that aren't ruled out, each in the first band that it shares."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-        side = table.column("side").to_numpy()
+        ids, labels, n, side = (table.column(c).to_numpy() for c in ("id", "label", "n", "side"))
+        band = table.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-        first = np.flatnonzero(side <= 0)
-        second = first if (side == 0).any() else np.flatnonzero(side == 1)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        within = not len(second)
+        if within:
+            second = first
         out = []
         for i in first:
-            js = second[(ids[second] != ids[i]) & (labels[second] != labels[i])]
-            if second is first:
+            js = second[(labels[second] != labels[i]) & (ids[second] != ids[i])]
+            if within:
                 js = js[ids[js] > ids[i]]
             js = js[_sizes_allow(n[js], n[i], percent)]
             if len(js):
                 js = js[survives(np.broadcast_to(sig[i], (len(js), SIGNATURE)), sig[js], least)]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
+            if len(js) and band:
+                earlier = (sig[js, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(js), band, ROWS)
+                js = js[~earlier.all(axis=2).any(axis=1)]
+            out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -255,7 +262,7 @@ class NearDedup:
         keys = F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))
         )
-        bands = sigs.select("id", "n", F.explode(keys).alias("key"))
+        bands = sigs.select("id", "n", F.posexplode(keys).alias("band", "key"))
         sigs = sigs.select("id", "sig")
         # Buckets of one member are dropped; the rest know their smallest member.
         heads = bands.groupBy("key").agg(F.min_by("n", "id").alias("head_n"), F.min("id").alias("head"), F.count(F.lit(1)).alias("size"))
@@ -270,28 +277,44 @@ class NearDedup:
     def rest(self, members: DataFrame, links: DataFrame, sigs: DataFrame) -> DataFrame:
         """Links across the components of one bucket that comparing with its head left open.
 
-        Buckets with the same members are compared once. A bucket of g members
-        is cut into blocks by the members' hash; each pair of blocks is one
-        group of at most about two blocks' rows.
+        Of a bucket, the members of its largest component are compared with the
+        others, and the others among themselves. Both are cut into blocks by a
+        hash; each pair of blocks is one group. A group of copies that became
+        one component thus costs as many rows as it has members, not its
+        square. Of buckets with the same members the one of the first band counts.
         """
         labels = connected(links).withColumnRenamed("v", "id")
-        named = members.select("key", "id", "n", "size").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = named.groupBy("key").agg(
-            F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("size").alias("size"),
-            F.bit_xor(F.xxhash64("id")).alias("same"),
-        ).filter("lo <> hi and size > 2")
-        mixed = mixed.groupBy("same", "size").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-        open_ = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        open_ = stored(open_.select("key", "id", "n", "label", "blocks", "own"), "open")
-        # Every other block once: side -1 with later blocks, 1 with earlier ones, 0 within itself.
-        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-            F.least(o, F.col("own")).alias("lo"), F.greatest(o, F.col("own")).alias("hi"),
-            F.when(F.col("own") < o, -1).when(F.col("own") > o, 1).otherwise(0).alias("side"),
-        ))
-        dealt = open_.select("key", "id", "n", "label", F.explode(others).alias("o")).select("key", "id", "n", "label", "o.*")
+        named = members.select("key", "band", "id", "n", "size").join(labels, "id", "left")
+        named = stored(named.withColumn("label", F.coalesce("label", "id")), "labelled")
+        parts = named.groupBy("key", "band", "size", "label").agg(
+            F.count(F.lit(1)).alias("own"), F.bit_xor(F.xxhash64("id")).alias("same")
+        )
+        mixed = parts.groupBy("key", "band", "size").agg(
+            F.max_by("label", F.struct("own", "label")).alias("main"), F.max("own").alias("n_main"),
+            F.count(F.lit(1)).alias("labels"), F.bit_xor("same").alias("same"),
+        ).filter("labels > 1 and size > 2")
+        mixed = mixed.groupBy("same", "size").agg(F.min_by(F.struct("key", "main", "n_main"), "band").alias("m")).select("m.*", "size")
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        mixed = mixed.select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others"))
+        is_main = F.col("label") == F.col("main")
+        own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+        open_ = named.drop("size").join(stored(mixed, "mixed"), "key").withColumn("own", own)
+        upto = lambda n: F.sequence(F.lit(0), n - 1)
+        pair = lambda kind, one, two, side: F.struct(
+            F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.alias("side")
+        )
+        own = F.col("own")
+        with_others = F.transform(upto(F.col("others")), lambda o: pair("main", own, o, F.lit(0)))
+        with_mains = F.transform(upto(F.col("mains")), lambda m: pair("main", m, own, F.lit(1)))
+        among = F.transform(
+            upto(F.col("others")), lambda o: pair("other", F.least(own, o), F.greatest(own, o), F.when(own > o, 1).otherwise(0))
+        )
+        dealt = open_.select(
+            "key", "band", "id", "n", "label", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_mains, among))).alias("p")
+        ).select("key", "band", "id", "n", "label", "p.*")
         compared = (
             dealt.join(sigs, "id")
-            .groupBy("key", "lo", "hi")
+            .groupBy("key", "kind", "one", "two")
             .applyInArrow(_compare_blocks(self.least, self.percent), "a bigint, b bigint")
         )
         return self.confirmed(compared.distinct())

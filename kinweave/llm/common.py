@@ -42,6 +42,21 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, so a batch of long texts fits a worker's memory.
+BATCH_ROWS = 256
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's Arrow batches to BATCH_ROWS rows.
+
+    The setting is read when the plan runs, so it stays lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(df.sparkSession.conf.get(name))
+    if rows <= 0 or rows > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(text, UPPER, LOWER)

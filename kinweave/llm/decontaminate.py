@@ -11,14 +11,16 @@ Texts are compared in lower case with white space runs as one space.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only
+from kinweave.llm.common import bounded_batches, columns_only
 
 Q = 8
 #: Edits per character of the item.
@@ -236,11 +238,11 @@ def find_leaks(
     table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    named = columns_only(docs, id_col, text_col)
+    named = bounded_batches(columns_only(docs, id_col, text_col))
     schema = f"`{id_col}` {named.dtypes[0][1]}, {SCHEMA}"
     out = None
     for block in benchmark_blocks(benchmark, item_col, "text", block_chars):
-        index = spark.sparkContext.broadcast(Index(block, rate))
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(Index(block, rate)))
         part = named.mapInArrow(_searcher(index, id_col), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
@@ -248,12 +250,13 @@ def find_leaks(
 
 def _searcher(index, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pickle.loads(index.value)
         for batch in batches:
             rows, ids = [], []
             for at, text in enumerate(batch.column(1).to_pylist()):
                 if not text:
                     continue
-                for item_id, start, end, edits, n in index.value.search(normal(text)):
+                for item_id, start, end, edits, n in own.search(normal(text)):
                     if not rows or ids[-1] != at:
                         places = original_places(text)
                     rows.append((item_id, int(places[start]), int(places[end - 1]) + 1, edits, n))

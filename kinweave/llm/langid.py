@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only
+from kinweave.llm.common import bounded_batches, columns_only
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(np.array(x), np.array(y), labels)
 
 
-def _predictor(net: Network | None, id_type: pa.DataType | None = None):
+def _predictor(net: Network | None):
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
         if net is None:
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     windows at a time. Repeated rows are predicted each; an empty table stays
     empty; columns other than the named ones aren't read.
     """
-    named = columns_only(docs, *dict.fromkeys((id_col, text_col, *keep)))
+    named = bounded_batches(columns_only(docs, *dict.fromkeys((id_col, text_col, *keep))))
     at = named.columns.index(text_col)
     out = [c for c in named.columns if c in (id_col, *keep)]
     places = [named.columns.index(c) for c in out]
@@ -217,13 +217,11 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                names, scores = predict(part.column(at).to_pylist())
-                columns = [part.column(i) for i in places]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, "lang_pred", "score"]
-                )
+            names, scores = predict(batch.column(at).to_pylist())
+            columns = [batch.column(i) for i in places]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*out, "lang_pred", "score"]
+            )
 
     kinds = dict(named.dtypes)
     return named.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in out) + ", lang_pred string, score double")

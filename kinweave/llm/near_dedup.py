@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only, join_per_key, stored
+from kinweave.llm.common import bounded_batches, columns_only, join_per_key, stored
 from kinweave.llm.components import connected
 
 #: 32 bands of 4 values: a pair at the threshold of 0.8 shares no band with
@@ -221,7 +221,7 @@ class NearDedup:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int = 5, percent: int = 80, miss: float = MISS):
         self.k, self.percent = k, percent
         self.least = least_matches(percent / 100, miss)
-        named = columns_only(docs, id_col, text_col)
+        named = bounded_batches(columns_only(docs, id_col, text_col))
         self.texts = named.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
         self.signed = stored(
             self.texts.mapInArrow(_sign(k), "id bigint, n bigint, set_key binary, sig binary"), "signed"
@@ -323,7 +323,7 @@ class NearDedup:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row.
 
-    Texts are linked where their sets of k-word shingles, ASCII letters in
+    Ids are integers. Texts are linked where their sets of k-word shingles, ASCII letters in
     lower case, have at least ``percent`` hundredths of their union in common;
     a component's smallest id names it and is kept. A null, empty or wordless
     text has an empty set, is linked with nothing and kept. Texts are read

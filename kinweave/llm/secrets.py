@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only, join_per_key, stored
+from kinweave.llm.common import bounded_batches, columns_only, join_per_key, stored
 
 #: Fixed by the query's contract: kind, pattern, letters in either case, group, least length of that group.
 BASE_RULES = [
@@ -117,7 +117,7 @@ class BlobLedger:
     @staticmethod
     def keyed(versions: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = F.coalesce(F.col(text_col), F.lit(""))
-        return columns_only(versions, id_col, text_col).select(
+        return bounded_batches(columns_only(versions, id_col, text_col)).select(
             F.col(id_col).alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("digest")
         )
 

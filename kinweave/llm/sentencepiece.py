@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only
+from kinweave.llm.common import bounded_batches, columns_only
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -310,11 +310,6 @@ def _tools(data: bytes) -> tuple[Encoder, Decoder]:
     return found[1], found[2]
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids`` for every row: the model's pieces of the whole text.
 
@@ -325,14 +320,13 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     """
     with open(model_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
-    named = columns_only(docs, id_col, text_col)
+    named = bounded_batches(columns_only(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(data.value)
         for batch in batches:
-            for part in _batches(batch, 512):
-                ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>")
 
@@ -341,14 +335,13 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     """``id, ids, text``: the text of each row's pieces; null ids count as none."""
     with open(model_file, "rb") as f:
         data = encoded.sparkSession.sparkContext.broadcast(f.read())
-    named = columns_only(encoded, id_col, ids_col)
+    named = bounded_batches(columns_only(encoded, id_col, ids_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = _tools(data.value)
         for batch in batches:
-            for part in _batches(batch, 512):
-                texts = [decoder.decode(x or []) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
+            texts = [decoder.decode(x or []) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>, text string")
 

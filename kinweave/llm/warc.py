@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import columns_only, join_per_key, scratch
+from kinweave.llm.common import bounded_batches, columns_only, join_per_key, scratch
 
 #: Smaller payloads are repeated as responses rather than revisited; fixed by the query's contract.
 REVISIT_FROM = 1000
@@ -77,11 +77,11 @@ def write_archive(
     """One record per row. Of equal payloads of at least ``revisit_from`` bytes
     the record with the largest id is the response and the others revisit it.
 
-    A null body is an empty payload; rows that share both the largest id and
+    A null body is an empty payload; a null id never wins over another; rows that share both the largest id and
     the payload are all responses. Extra columns aren't read.
     """
     spark = pages.sparkSession
-    named = columns_only(pages, id_col, url_col, body_col).toDF("page_id", "url", "body")
+    named = bounded_batches(columns_only(pages, id_col, url_col, body_col)).toDF("page_id", "url", "body")
     packed = named.mapInArrow(
         _pack, f"page_id {dict(named.dtypes)['page_id']}, url string, digest binary, sha1 string, n_bytes bigint, packed binary"
     )
@@ -89,7 +89,7 @@ def write_archive(
     # Combined in each task first, so a task sends a payload once however often it has it.
     same = F.assert_true(F.min("n_bytes") == F.max("n_bytes"), "two payloads share a digest")
     per_payload = packed.groupBy("digest").agg(
-        F.max_by("packed", "page_id").alias("packed"),
+        F.any_value("packed").alias("packed"),
         F.max("page_id").alias("holder"),
         F.count(F.lit(1)).alias("records"),
         F.max("n_bytes").alias("size"),

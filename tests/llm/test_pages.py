@@ -7,7 +7,7 @@ from kinweave.llm.warc import read_records, read_warc, reconstruct, write_archiv
 BIG = "<p>" + "é big page " * 200
 PAGES = [
     (1, "http://a.com/x", BIG), (2, "http://a.com/y", BIG), (9, "http://b.net/z", BIG), (3, None, None), (4, "http://c.org/", ""), (5, "u", "small"),
-    (6, "v", "small"), (7, "http://d.org/\r\nInjected: 1", "a\r\n\r\nb"), (7, "http://d.org/", "a\r\n\r\nb"),
+    (6, "v", "small"), (None, "w", "lone"), (None, "http://a.com/n", BIG), (7, "http://d.org/\r\nInjected: 1", "a\r\n\r\nb"), (7, "http://d.org/", "a\r\n\r\nb"),
 ]
 
 
@@ -24,7 +24,7 @@ def test_archive(spark):
         revisit = html == BIG and i != 9
         want.add((i, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
     assert got == want
-    assert archive.payloads.select("digest").distinct().count() == archive.payloads.count() == 4
+    assert archive.payloads.select("digest").distinct().count() == archive.payloads.count() == 5
     assert reconstruct(archive).count() == len(PAGES)
     empty = write_archive(pages(spark).limit(0))
     assert read_records(empty).count() == 0

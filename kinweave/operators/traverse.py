@@ -9,8 +9,6 @@ joined by a shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +29,11 @@ def breadth_first(
     seeds: DataFrame,
     levels: int,
     with_path: bool = False,
-    until: Callable[[DataFrame], bool] | None = None,
 ) -> DataFrame:
     """``source, node, distance[, path]`` of all nodes within ``levels`` of each source.
 
     ``seeds`` has ``source``. ``path`` is the smallest of the shortest paths,
-    compared key by key. The loop ends early at an empty level, or when
-    ``until`` says of a level that nothing further is needed.
+    compared key by key. The loop ends early at an empty level.
     """
     steps = edges.select(F.col(SRC).alias("node"), F.col(DST).alias("next"))
     start = seeds.select("source", F.col("source").alias("node"), F.lit(0).alias("distance")).distinct()
@@ -55,8 +51,6 @@ def breadth_first(
         if not rows:
             break
         seen = seen.unionByName(frontier)
-        if until is not None and until(frontier):
-            break
     return seen
 
 
@@ -66,13 +60,62 @@ def single(edges: DataFrame, source, levels: int, **more) -> DataFrame:
     return breadth_first(edges, seeds, levels, **more)
 
 
-def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False):
-    """The row of ``target`` in a search from ``source`` that stops when it is found, or None."""
-    hit = F.col("node") == F.lit(target)
-    found = single(
-        edges, source, reachable_levels(max_depth), with_path=with_path, until=lambda level: not level.filter(hit).isEmpty()
-    )
-    return found.filter(hit).first()
+class _Side:
+    """One end of a two-sided search: its frontier, what it has seen, and how far it is.
+
+    A backward side walks the edges from their ends; its paths lead from a node to the target.
+    """
+
+    def __init__(self, edges: DataFrame, start, backward: bool, with_path: bool):
+        near, far = (DST, SRC) if backward else (SRC, DST)
+        self.steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+        self.backward, self.with_path, self.level = backward, with_path, 0
+        seed = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema[SRC].dataType).alias("node"))
+        if with_path:
+            seed = seed.withColumn("path", F.array("node"))
+        self.frontier, self.rows = seed, 1
+        self.seen = seed.select("node")
+
+    def expand(self) -> None:
+        small = F.broadcast(self.frontier) if self.rows <= BROADCAST_ROWS else self.frontier
+        reached = self.steps.join(small, "node")
+        if self.with_path:
+            one = F.array("next")
+            path = F.concat(one, "path") if self.backward else F.concat("path", one)
+            found = reached.groupBy(F.col("next").alias("node")).agg(F.min(path).alias("path"))
+        else:
+            found = reached.select(F.col("next").alias("node")).distinct()
+        self.frontier, self.rows = cut_and_count(found.join(self.seen, "node", "left_anti"))
+        self.seen = self.seen.unionByName(self.frontier.select("node"))
+        self.level += 1
+
+
+def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False) -> dict | None:
+    """``{"distance": d, "path": [...]}`` (no path unless asked for), or None if out of reach.
+
+    Both ends are searched, each time the one with fewer nodes at its edge: two
+    searches of half the depth see far fewer nodes than one of the whole. Levels
+    are complete, so the first node that both edges hold lies on a shortest
+    path. Of several, the smallest path is returned: all meeting nodes are
+    equally far from the source, so their smallest halves make it.
+    """
+    if source == target:
+        return {"distance": 0, "path": [source]} if with_path else {"distance": 0}
+    ahead, back = _Side(edges, source, False, with_path), _Side(edges, target, True, with_path)
+    while ahead.level + back.level < reachable_levels(max_depth):
+        side = ahead if ahead.rows <= back.rows else back
+        side.expand()
+        if not side.rows:
+            return None
+        met = ahead.frontier.join(back.frontier.withColumnRenamed("path", "rest"), "node")
+        if with_path:
+            whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
+            path = met.agg(F.min(whole).alias("path")).first()["path"]
+            if path is not None:
+                return {"distance": len(path) - 1, "path": list(path)}
+        elif not met.isEmpty():
+            return {"distance": ahead.level + back.level}
+    return None
 
 
 def within(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:

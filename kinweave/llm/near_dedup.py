@@ -10,10 +10,11 @@
 3. What survives is confirmed on full sets, and links are joined to components.
 4. Buckets that then hold more than one component are compared in full, in
    pairs of blocks of bounded size, leaving out what is in one component
-   already. So no pair that shares a bucket is passed over, while a large group
-   of copies costs a comparison per member and not one per pair.
+   already: by signatures, then by 32-bit hashes of the full sets, which can
+   only count too much. What is left is confirmed as in 3. So no pair that
+   shares a bucket is passed over, and only likely links become rows.
 
-Full sets are rebuilt from the texts of documents that survive; no set is
+Full sets are rebuilt from the texts of documents that are compared; no set is
 stored for the others.
 """
 
@@ -299,7 +300,8 @@ class NearDedup:
         others, and the others among themselves. Both are cut into blocks by a
         hash; each pair of blocks is one group. A group of copies that became
         one component thus costs as many rows as it has members, not its
-        square, and what is compared in a block leaves it only as a likely link. Of buckets with the same members the one of the first band counts.
+        square, and of the pairs compared in a block only likely links leave it.
+        Of buckets with the same members the one of the first band counts.
         """
         labels = connected(links).withColumnRenamed("v", "id")
         named = members.select("key", "band", "id", "n", "size").join(labels, "id", "left")

@@ -17,9 +17,12 @@ put before the text, spaces kept).
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,6 +38,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words of a generation that are kept between batches, so memory doesn't follow
 #: the vocabulary of the corpus; a word in use moves on to the next generation.
 CACHE = 150_000
+#: Text that is encoded together.
+GROUP_BYTES = 8_000_000
 _LINE = re.compile("(\n)")
 
 
@@ -97,15 +102,20 @@ class Model:
 class Encoder:
     def __init__(self, model: Model):
         self.model, self.ids, self.scores = model, model.ids, model.scores
-        words = [p for p in self.ids if MARK not in p.lstrip(MARK) and (len(p) == 1 or p.strip(MARK))]
-        self.words = {p: self.ids[p] for p in words}
+        self.bpe = model.algorithm == BPE
+        self.worst = min(self.scores) - 10.0
         self.cuts_lines = not any("\n" in p for p in self.ids)
-        # Lengths that pieces with this last character have, longest first.
-        lengths: dict[str, set[int]] = {}
-        for p in self.words:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(n, reverse=True) for c, n in lengths.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        # Pieces as a trie: a node's children by character, each with its own children and its piece or -1.
+        # Runs of markers are merged apart, so they aren't in it.
+        self.root: dict[str, tuple[dict, int]] = {}
+        for piece, k in self.ids.items():
+            if len(piece) > 1 and not piece.strip(MARK):
+                continue
+            node = self.root
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, -1))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], k)
+        self.pairs: dict[int, bool] = {}
         self.trees: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -152,6 +162,17 @@ class Encoder:
                 self.trees[piece] = (left[0] + own, right[1] + own) if left and right else None
         return self.trees[piece]
 
+    def follows(self, last: int, k: int) -> bool:
+        """Whether piece ``k`` may come after piece ``last`` (below 0: after nothing that merges)."""
+        key = (last + 2) << 32 | k
+        known = self.pairs.get(key)
+        if known is None:
+            if len(self.pairs) > 4 * CACHE:
+                self.pairs.clear()
+            a, b = self.model.pieces[last] if last >= 0 else "", self.model.pieces[k]
+            known = self.pairs[key] = self.tree(b) is not None and (not a or self.stays(a, b))
+        return known
+
     def stays(self, a: str, b: str) -> bool:
         """Whether merging leaves the pieces a, b as they are.
 
@@ -160,77 +181,85 @@ class Encoder:
         a piece that costs less than what either is merged into within its own
         side. Of equal costs the merge further left goes first.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
-        if len(self.pairs) > 4 * CACHE:
-            self.pairs.clear()
         left, right = self.tree(a)[1], self.tree(b)[0]
         if any(x[1] > y[1] for side in (left, right) for x, y in zip(side, side[1:], strict=False)):
-            known = self.merged(list(a + b)) == [a, b]
-        else:
-            i = j = 0
-            known = True
-            while True:
-                over_left = left[i + 1][1] if i + 1 < len(left) else np.inf
-                over_right = right[j + 1][1] if j + 1 < len(right) else np.inf
-                k = self.ids.get(left[i][0] + right[j][0])
-                if k is not None and -self.scores[k] < over_left and -self.scores[k] <= over_right:
-                    known = False
-                    break
-                if over_left == over_right == np.inf:
-                    break
-                if over_left <= over_right:
-                    i += 1
-                else:
-                    j += 1
-        self.pairs[a, b] = known
-        return known
+            return self.merged(list(a + b)) == [a, b]
+        i = j = 0
+        while True:
+            over_left = left[i + 1][1] if i + 1 < len(left) else np.inf
+            over_right = right[j + 1][1] if j + 1 < len(right) else np.inf
+            k = self.ids.get(left[i][0] + right[j][0])
+            if k is not None and -self.scores[k] < over_left and -self.scores[k] <= over_right:
+                return False
+            if over_left == over_right == np.inf:
+                return True
+            if over_left <= over_right:
+                i += 1
+            else:
+                j += 1
 
     def _fallback(self, char: str) -> tuple[int, ...]:
         return tuple(self.model.byte_ids[b] for b in char.encode())
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The words' ids, by one walk through their trie."""
-        bpe = self.model.algorithm == BPE
-        get, lengths = self.words.get, self.lengths
-        worst = min(self.scores) - 10.0
-        before = ""
-        # A state for each prefix of the current word: forward score, last piece, its length, its ids.
-        states: list[tuple[float, str, int, tuple[int, ...]]] = [(0.0, "", 0, ())]
+    def encode_words(self, words: list[str], prefix: str) -> dict[str, tuple[int, ...]]:
+        """The words' ids, each with ``prefix`` before it, by one walk through their trie."""
+        bpe, root, scores, worst, pairs = self.bpe, self.root, self.scores, self.worst, self.pairs
+        # Forward states, one for each prefix of the current word: its last piece
+        # (-1 at the start, -2 for a character without one) and where that begins,
+        # its best score, and the pieces that may still grow, longest first.
+        lasts, begins, totals, open_ = [-1], [0], [0.0], [[]]
         found: dict[str, tuple[int, ...]] = {}
+        before, base = "", len(prefix)
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best = None
-                for n in lengths.get(word[end - 1], ()):
-                    if n > end:
+            if not found:
+                fresh, at = prefix + word, 0
+            else:
+                at = shared + base
+                del lasts[at + 1 :], begins[at + 1 :], totals[at + 1 :], open_[at + 1 :]
+                fresh = word[shared:]
+            for c in fresh:
+                grown, best, begin, total = [], -2, at, worst + totals[at]
+                for node, start in open_[at]:
+                    if (child := node.get(c)) is None:
                         continue
-                    piece = word[end - n : end]
-                    k = get(piece)
-                    if k is None:
+                    children, k = child
+                    if children:
+                        grown.append((children, start))
+                    if k < 0:
                         continue
-                    score, last, _, _ = states[end - n]
                     if not bpe:
-                        if best is None or score + self.scores[k] > best[0]:
-                            best = (score + self.scores[k], piece, n, (k,))
-                    elif self.tree(piece) and (not last or last not in self.words or self.stays(last, piece)):
-                        best = (0.0, piece, n, (k,))
-                        break
-                if best is None:
-                    char = word[end - 1]
-                    best = (states[end - 1][0] + worst, char, 1, self._fallback(char))
-                states.append(best)
+                        if best < 0 or totals[start] + scores[k] > total:
+                            best, begin, total = k, start, totals[start] + scores[k]
+                    elif best < 0:
+                        ok = pairs.get((lasts[start] + 2) << 32 | k)
+                        if ok or (ok is None and self.follows(lasts[start], k)):
+                            best, begin = k, start
+                if (child := root.get(c)) is not None:
+                    children, k = child
+                    if children:
+                        grown.append((children, at))
+                    if k >= 0:
+                        if not bpe:
+                            if best < 0 or totals[at] + scores[k] > total:
+                                best, begin, total = k, at, totals[at] + scores[k]
+                        elif best < 0 and self.follows(lasts[at], k):
+                            best, begin = k, at
+                at += 1
+                lasts.append(best)
+                begins.append(begin)
+                totals.append(total)
+                open_.append(grown)
             out: list[int] = []
-            at = len(word)
             while at:
-                _, _, n, ids = states[at]
-                out[:0] = ids
-                at -= n
-            found[word] = tuple(out)
+                k, at = lasts[at], begins[at]
+                if k >= 0:
+                    out.append(k)
+                else:
+                    out.extend(reversed(self._fallback((prefix + word)[at])))
+            found[word] = tuple(reversed(out))
             before = word
         return found
 
@@ -242,9 +271,9 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Puts the ids of marked words into the cache. Words are cut at line
-        breaks first: no piece of a text model crosses one."""
+        breaks first if no piece of the model crosses one."""
         fresh: list[str] = []
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE and any(w not in self.cache for w in words):
             self.older, self.cache = self.cache, {}
         for w in words:
             if w not in self.cache:
@@ -252,14 +281,24 @@ class Encoder:
                     fresh.append(w)
                 else:
                     self.cache[w] = ids
-        cut = self.cuts_lines
-        parts = {w: [p for p in _LINE.split(MARK + w) if p] if cut and "\n" in w else [MARK + w] for w in fresh}
-        found = self.encode_words(list({p for own in parts.values() for p in own}))
-        for w, own in parts.items():
-            self.cache[w] = found[own[0]] if len(own) == 1 else tuple(i for p in own for i in found[p])
+        lines = {w for w in fresh if "\n" in w} if self.cuts_lines else set()
+        self.cache |= self.encode_words([w for w in fresh if w not in lines], MARK)
+        cut = {w: _LINE.split(w) for w in lines}
+        first = self.encode_words(list({p[0] for p in cut.values()}), MARK)
+        later = self.encode_words(list({x for p in cut.values() for x in p[1:] if x}), "")
+        for w, (head, *tail) in cut.items():
+            self.cache[w] = first[head] + tuple(i for p in tail if p for i in later[p])
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The words between markers; an empty one where markers stand together."""
+        return text.replace(MARK, " ").split(" ") if text else []
+
+    def words_of(self, texts: Iterable[str]) -> set[str]:
+        return set().union(*map(self.cut, texts)) - {""}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
+        cut = [self.cut(t) for t in texts]
         self.learn(set().union(*cut) - {""})
         get, mark = self.cache.__getitem__, self.ids[MARK]
         out = []
@@ -298,16 +337,29 @@ class Decoder:
         return out[1:] if out[:1] == " " else out
 
 
-_models: dict[int, tuple[bytes, Encoder, Decoder]] = {}
-
-
 def _tools(data: bytes) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder per worker process and model."""
-    found = _models.get(hash(data))
-    if found is None:
+    """One encoder and decoder per worker process and model, kept between tasks
+    in a module of the process, since functions sent by value have no own."""
+    kept = sys.modules.setdefault("_kinweave_worker", types.ModuleType("_kinweave_worker")).__dict__
+    key = hashlib.sha256(data).hexdigest()
+    if key not in kept:
         model = Model(data)
-        found = _models[hash(data)] = (data, Encoder(model), Decoder(model))
-    return found[1], found[2]
+        kept[key] = (Encoder(model), Decoder(model))
+    return kept[key]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together up to so many bytes: more words share the walk through their trie."""
+    group: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        group.append(batch)
+        held += batch.nbytes
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,9 +376,12 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(data.value)
-        for batch in batches:
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+        for group in _grouped(batches):
+            texts = [[t or "" for t in batch.column(1).to_pylist()] for batch in group]
+            encoder.learn(encoder.words_of(t for own in texts for t in own))
+            for batch, own in zip(group, texts, strict=True):
+                ids = pa.array(encoder.encode(own), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>")
 

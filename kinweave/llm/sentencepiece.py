@@ -22,7 +22,7 @@ import heapq
 import re
 import sys
 import types
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,9 +37,9 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words of a generation that are kept between batches, so memory doesn't follow
 #: the vocabulary of the corpus; a word in use moves on to the next generation.
-CACHE = 150_000
+CACHE = 250_000
 #: Text that is encoded together.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 _LINE = re.compile("(\n)")
 
 
@@ -167,7 +167,7 @@ class Encoder:
         key = (last + 2) << 32 | k
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) > 2 * CACHE:
                 self.pairs.clear()
             a, b = self.model.pieces[last] if last >= 0 else "", self.model.pieces[k]
             known = self.pairs[key] = self.tree(b) is not None and (not a or self.stays(a, b))
@@ -273,10 +273,10 @@ class Encoder:
         """Puts the ids of marked words into the cache. Words are cut at line
         breaks first if no piece of the model crosses one."""
         fresh: list[str] = []
-        if len(self.cache) > CACHE and any(w not in self.cache for w in words):
+        if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
         for w in words:
-            if w not in self.cache:
+            if w and w not in self.cache:
                 if (ids := self.older.get(w)) is None:
                     fresh.append(w)
                 else:
@@ -294,35 +294,32 @@ class Encoder:
         """The words between markers; an empty one where markers stand together."""
         return text.replace(MARK, " ").split(" ") if text else []
 
-    def words_of(self, texts: Iterable[str]) -> set[str]:
-        return set().union(*map(self.cut, texts)) - {""}
+    def ids_of(self, words: list[str]) -> list[int]:
+        """The ids of a text's words, which have been learned."""
+        get = self.cache.__getitem__
+        if "" not in words:
+            return list(chain.from_iterable(map(get, words)))
+        ids: list[int] = []
+        marks = 0  # not yet written: markers that may still merge with each other
+        for w in words:
+            if not w:
+                marks += 1
+                continue
+            own = get(w)
+            if marks and own[0] == self.ids[MARK]:
+                # A word's marker that stayed alone merges with the run before it.
+                ids += self.run(marks + 1)
+                ids += own[1:]
+            else:
+                ids += self.run(marks)
+                ids += own
+            marks = 0
+        return ids + list(self.run(marks))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut) - {""})
-        get, mark = self.cache.__getitem__, self.ids[MARK]
-        out = []
-        for words in cut:
-            if "" not in words:
-                out.append(list(chain.from_iterable(map(get, words))))
-                continue
-            ids: list[int] = []
-            marks = 0  # not yet written: markers that may still merge with each other
-            for w in words:
-                if not w:
-                    marks += 1
-                    continue
-                own = get(w)
-                if marks and own[0] == mark:
-                    # A word's marker that stayed alone merges with the run before it.
-                    ids += self.run(marks + 1)
-                    ids += own[1:]
-                else:
-                    ids += self.run(marks)
-                    ids += own
-                marks = 0
-            out.append(ids + list(self.run(marks)))
-        return out
+        self.learn(set().union(*cut))
+        return [self.ids_of(words) for words in cut]
 
 
 class Decoder:
@@ -377,10 +374,10 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, _ = _tools(data.value)
         for group in _grouped(batches):
-            texts = [[t or "" for t in batch.column(1).to_pylist()] for batch in group]
-            encoder.learn(encoder.words_of(t for own in texts for t in own))
-            for batch, own in zip(group, texts, strict=True):
-                ids = pa.array(encoder.encode(own), pa.list_(pa.int32()))
+            cut = [[encoder.cut(t or "") for t in batch.column(1).to_pylist()] for batch in group]
+            encoder.learn(set().union(*(w for own in cut for w in own)))
+            for batch, own in zip(group, cut, strict=True):
+                ids = pa.array([encoder.ids_of(w) for w in own], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>")

@@ -191,11 +191,22 @@ w(source, node, d) AS (SELECT source, source, 0 FROM s UNION SELECT w.source, e.
 SELECT source, node, min(d) AS distance FROM w GROUP BY source, node HAVING min(d) > 0"""
 )
 def within_distance_multi(spark, sf_dir):
+    """A search from every seventh follower only; ``within_distance_all`` searches from all."""
     edges = fx.cached_edges(spark, sf_dir)
     sources = edges.select(F.col("follower_pubkey").alias("source")).filter("source % 7 = 0").distinct()
     return trav.within(edges, sources, 3)
 
 
+@query(
+    HEAD + """,
+w(source, node, d) AS (SELECT DISTINCT follower_pubkey, follower_pubkey, 0 FROM e UNION SELECT w.source, e.followed_pubkey, d + 1 FROM w JOIN e ON e.follower_pubkey = w.node WHERE d < 3)
+SELECT source, node, min(d) AS distance FROM w GROUP BY source, node HAVING min(d) > 0"""
+)
+def within_distance_all(spark, sf_dir):
+    edges = fx.cached_edges(spark, sf_dir)
+    return trav.within(edges, edges.select(F.col("follower_pubkey").alias("source")).distinct(), 3)
+
+
 @query(HEAD + BFS + "\nSELECT * FROM rd")
 def root_distances(spark, sf_dir):
     return trav.root_distances(fx.cached_edges(spark, sf_dir), ROOT, DEPTH)

@@ -5,7 +5,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kinweave import fixtures as fx
 from kinweave import queries as q
+from tests.test_traverse import plain_bfs
 
 
 def plain(rows):
@@ -41,3 +43,9 @@ def test_entry_is_the_known_distribution(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(q.QUERIES) <= set(entry.queries())
+
+
+def test_every_follower_is_a_source(spark, sf_dir):
+    edges = [(r[0], r[1]) for r in fx.follow_edges(spark, sf_dir).select("follower_pubkey", "followed_pubkey").collect()]
+    want = {(s, n, d) for s in {a for a, _ in edges} for n, (d, _) in plain_bfs(edges, s).items() if 0 < d <= 3}
+    assert {(r["source"], r["node"], r["distance"]) for r in q.QUERIES["within_distance_all"](spark, sf_dir).collect()} == want

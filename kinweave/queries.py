@@ -255,11 +255,32 @@ w(node, d, path) AS (SELECT {ROOT}::BIGINT, 0, [{ROOT}::BIGINT] UNION ALL
 SELECT node AS target, min(d) AS distance, array_to_string(arg_min(path, (d, path)), '>') AS path FROM w GROUP BY node"""
 )
 def shortest_path(spark, sf_dir):
-    found = trav.single(fx.cached_edges(spark, sf_dir), ROOT, 4, with_path=True)
+    """Paths of up to 4 levels only, as far as this SQL enumerates; ``shortest_path_all`` goes to DEPTH."""
+    return _paths(spark, sf_dir, 4)
+
+
+def _paths(spark, sf_dir, levels):
+    found = trav.single(fx.cached_edges(spark, sf_dir), ROOT, levels, with_path=True)
     as_text = F.concat_ws(">", F.col("path").cast("array<string>"))
     return found.select(F.col("node").alias("target"), "distance", as_text.alias("path"))
 
 
+def _paths_sql() -> str:
+    """A level at a time, one smallest path per node: enumerating all paths isn't feasible this deep."""
+    parts = [f"{HEAD},\ns0 AS (SELECT {ROOT}::BIGINT AS node, 0 AS d, [{ROOT}::BIGINT] AS path)"]
+    for i in range(DEPTH):
+        parts.append(f"""s{i + 1} AS MATERIALIZED (
+  SELECT * FROM s{i} UNION ALL SELECT e.followed_pubkey, {i + 1}, min(list_append(path, e.followed_pubkey)) FROM s{i} JOIN e ON e.follower_pubkey = s{i}.node
+  WHERE d = {i} AND e.followed_pubkey NOT IN (SELECT node FROM s{i}) GROUP BY e.followed_pubkey)""")
+    return ",\n".join(parts) + f"\nSELECT node AS target, d AS distance, array_to_string(path, '>') AS path FROM s{DEPTH}"
+
+
+@query(_paths_sql())
+def shortest_path_all(spark, sf_dir):
+    """Paths to every node within DEPTH levels of the root."""
+    return _paths(spark, sf_dir, DEPTH)
+
+
 def _delta(spark, sf_dir, first, second):
     before = cut(_edges_of_events(spark, sf_dir, first))
     table = trav.root_distances(before, ROOT, DEPTH)

@@ -49,3 +49,10 @@ def test_every_follower_is_a_source(spark, sf_dir):
     edges = [(r[0], r[1]) for r in fx.follow_edges(spark, sf_dir).select("follower_pubkey", "followed_pubkey").collect()]
     want = {(s, n, d) for s in {a for a, _ in edges} for n, (d, _) in plain_bfs(edges, s).items() if 0 < d <= 3}
     assert {(r["source"], r["node"], r["distance"]) for r in q.QUERIES["within_distance_all"](spark, sf_dir).collect()} == want
+
+
+def test_paths_reach_every_level(spark, sf_dir):
+    edges = [(r[0], r[1]) for r in fx.follow_edges(spark, sf_dir).select("follower_pubkey", "followed_pubkey").collect()]
+    want = {n: (d, ">".join(map(str, p))) for n, (d, p) in plain_bfs(edges, q.ROOT).items() if d <= q.DEPTH}
+    assert {r["target"]: (r["distance"], r["path"]) for r in q.QUERIES["shortest_path_all"](spark, sf_dir).collect()} == want
+    assert max(d for d, _ in want.values()) == q.DEPTH

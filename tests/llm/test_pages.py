@@ -85,6 +85,26 @@ def test_article():
     assert blocks(ARTICLE) == (["Head & line", "One two three. four", "Five <x>", "six", "seven", "Last"], True)
 
 
+def test_marks_are_whole_tokens_of_named_attributes():
+    kept = (
+        '<article style="overflow:hidden">', '<article class="post comments-open">', '<main class="content has-sidebar">', '<article class="share-this">',
+        '<article aria-hidden="false" data-id="comments">', "<article data-state='a hidden thing' title=hidden>", '<div role="main" class="page no-sidebar">',
+    )
+    for tag in kept:
+        end = f"</{tag[1:].split()[0]}>"
+        assert blocks(f"<body><nav>Menu</nav>{tag}<p>Text</p>{end}<p>rest</p></body>") == (["Text"], True), tag
+    for outer in ('<body class="no-sidebar login">', '<html class="search"><body>', '<div class="comments-open no-sidebar">'):
+        assert blocks(f"{outer}<p>Text</p>") == (["Text"], False), outer
+        assert blocks(f"{outer}<article><p>Text</p></article>") == (["Text"], True), outer
+    gone = (
+        "<article class=comment>", '<article class="big ad">', "<article hidden>", '<div class="site-header">', '<div id="comment-list">', "<div class='related-posts'>",
+        '<div aria-hidden="true">', '<p HIDDEN="">', '<div class="x sidebar">', '<div role=navigation>',
+    )
+    for tag in gone:
+        end = f"</{tag[1:-1].split()[0]}>"
+        assert blocks(f"<body>{tag}gone{end}<p>rest</p></body>") == (["rest"], False), tag
+
+
 def test_open_pages_lose_what_they_share_with_their_neighbour(spark):
     def page(own):
         return f"<body><div>Welcome to the site</div><p>{own}</p><div>Common</div><p>{own} too</p><div>All rights reserved</div></body>"

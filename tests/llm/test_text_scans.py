@@ -76,6 +76,21 @@ def test_licenses(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    texts = {
+        1: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided", 2: "x\n" * 50 + "This work is licensed under the GNU General\nPublic License, version 3.\ny",
+        3: "a b\nPermission is\nhereby granted, free\n\nof charge, to any\nperson obtaining\na copy of this software", 4: "Released under\n" + "word " * 20 + "\nthe MIT\nLicense",
+        5: "Released under\nthe MIT", 6: "This Source Code Form is subject to the\nterms of the Mozilla Public License",
+    }
+    df = spark.createDataFrame([*texts.items(), (7, texts[1]), (7, "Released\n" * 9), (None, texts[1])], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["text_words"]): r for r in scan_licenses(df).withColumnRenamed("n_words", "text_words").collect()}
+    by = {i: r for (i, _), r in got.items()}
+    assert len(got) == 9 and by[1]["labels"] == by[7]["labels"] == "bsd" and by[1]["score"] == 1.0
+    assert "gpl-3" in by[2]["labels"].split(",") and by[2]["score"] == 1.0
+    assert (by[3]["labels"], by[3]["score"], by[6]["labels"], by[6]["score"]) == ("mit", 1.0, "mpl-2", 1.0)
+    assert by[4]["labels"] == by[5]["labels"] == by[None]["labels"] == "" and by[4]["score"] == 0
+
+
 def test_leaks(spark):
     r = random.Random(9)
     items = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 8))) for _ in range(25))) for i in range(6)]

@@ -8,6 +8,9 @@ threshold calibrated on the decided URLs.
 Symbols are mapped to an alphabet of 32, contexts have up to two symbols, so a
 model has 32**3 = 32,768 rows at most: that is the proven bound under which it
 reaches the driver and goes out as a constant. The bound doesn't depend on the input.
+
+Of a URL the models see host and path only, as the query's SQL has it: scheme,
+query and fragment change no verdict. README has figures.
 """
 
 from __future__ import annotations

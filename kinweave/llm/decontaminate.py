@@ -5,6 +5,8 @@ shares at least m + 1 - q(k + 1) q-grams with it, and all of them lie within k
 diagonals of where the item starts. Shared q-grams are counted in overlapping
 diagonal bands; bands that reach the bound are aligned with the item in a band.
 The filter loses nothing within the edit budget; the alignment decides.
+Items too short for the bound are cut into k + 1 pieces, of which one must stand
+intact, and aligned around each place of a piece.
 
 Texts are compared in lower case with white space runs as one space.
 """
@@ -54,8 +56,14 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def budget(m: int, rate: float) -> int:
-    """Allowed edits of an item of m characters: its share, but no more than leaves the bound at 1."""
-    return max(0, min(int(m * rate), (m + 1 - 1) // Q - 1))
+    """Allowed edits of an item of m characters: its share."""
+    return max(0, min(int(m * rate), m - 1))
+
+
+def pieces(clean: str, k: int) -> list[tuple[int, str]]:
+    """Place and text of k + 1 pieces; k edits leave at least one of them as it is."""
+    ends = [len(clean) * i // (k + 1) for i in range(k + 2)]
+    return [(a, clean[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def banded(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
@@ -92,6 +100,15 @@ def banded(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] |
     return (int(row[end]), int(start[end]), end) if row[end] <= k else None
 
 
+def apart(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of places that overlap, the one with fewest edits."""
+    taken: list[tuple[int, int, int, int]] = []
+    for place in sorted(places):
+        if all(place[2] <= a or place[1] >= b for _, a, b, _ in taken):
+            taken.append(place)
+    return taken
+
+
 class Index:
     """The q-grams of a block of benchmark items and where they stand."""
 
@@ -102,11 +119,12 @@ class Index:
             clean = normal(text or "")
             if not clean:
                 continue
-            if len(clean) < Q:
-                self.short.append((item_id, clean))
+            k = budget(len(clean), rate)
+            if len(clean) + 1 - Q * (k + 1) < 1:
+                self.short.append((item_id, clean, k, pieces(clean, k)))
                 continue
             g = grams(codes(clean))
-            owner, k = len(self.items), budget(len(clean), rate)
+            owner = len(self.items)
             self.items.append((item_id, clean, k, len(clean) + 1 - Q * (k + 1)))
             hashes.append(g)
             owners.append(np.full(len(g), owner))
@@ -161,12 +179,31 @@ class Index:
                     out.append((o, first - int(shift[own][0]), distinct))
         return out
 
+    @staticmethod
+    def _short_places(text: str, item_id: int, clean: str, k: int, parts: list[tuple[int, str]]) -> list[tuple[int, int, int, int, int]]:
+        """Places of an item that is too short for the q-gram bound: it is aligned around every piece that stands intact."""
+        starts: dict[int, int] = {}
+        for offset, part in parts:
+            at = text.find(part)
+            while at >= 0:
+                starts[at - offset] = starts.get(at - offset, 0) + 1
+                at = text.find(part, at + 1)
+        item, places = codes(clean), []
+        for start, n in starts.items():
+            if n == len(parts):
+                places.append((0, start, start + len(clean), n))
+                continue
+            lo = max(0, start - k)
+            aligned = banded(item, codes(text[lo : start + len(clean) + k]), k)
+            if aligned:
+                places.append((aligned[0], lo + aligned[1], lo + aligned[2], n))
+        return [(item_id, start, end, edits, n) for edits, start, end, n in apart(places)]
+
     def search(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """``item_id, start, end, edits, shared`` by place in the normal text."""
         found = []
-        for item_id, clean in self.short:
-            if (at := text.find(clean)) >= 0:
-                found.append((item_id, at, at + len(clean), 0, 1))
+        for item_id, clean, k, parts in self.short:
+            found += self._short_places(text, item_id, clean, k, parts)
         data = codes(text)
         best: dict[int, list[tuple[int, int, int, int]]] = {}
         for o, first, n in self.regions(grams(data)):
@@ -177,11 +214,7 @@ class Index:
             if aligned:
                 best.setdefault(o, []).append((aligned[0], lo + aligned[1], lo + aligned[2], n))
         for o, places in best.items():
-            taken: list[tuple[int, int]] = []
-            for edits, start, end, n in sorted(places):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
-                    found.append((self.items[o][0], start, end, edits, n))
+            found += [(self.items[o][0], start, end, edits, n) for edits, start, end, n in apart(places)]
         return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -232,8 +265,8 @@ def find_leaks(
     whole text that is within the edit budget of a benchmark item.
 
     Places count the text's characters, the end excluded. Null and empty texts
-    and items match nothing; an item shorter than Q characters is searched as
-    it is. Repeated rows are reported each. Stretches of one item that overlap
+    and items match nothing. For an item too short for the q-gram bound
+    ``shared_qgrams`` counts the pieces that stand in place. Repeated rows are reported each. Stretches of one item that overlap
     count once, the one with fewest edits. Extra columns aren't read; an empty
     table on either side gives an empty result.
     """

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from kinweave.llm.decontaminate import find_leaks
+from kinweave.llm.decontaminate import Index, find_leaks
 from kinweave.llm.licenses import scan_licenses
 from kinweave.llm.secrets import BASE_RULES, RULES, BlobLedger, scan_secrets, spans_of
 from tests.llm.helpers import ODD_TEXTS, odd_docs
@@ -118,3 +118,31 @@ def test_leaks(spark):
                 part = docs[x["doc_id"]][x["start"] : x["end"]]
                 assert " ".join(part.lower().split()) == dict(items)[x["item_id"]]
     assert find_leaks(df.limit(0), benchmark).count() == 0 and find_leaks(df, benchmark.limit(0)).count() == 0
+
+
+def test_short_items_have_their_full_budget():
+    def least(item, text):  # edits of the item against its best stretch, by the full table
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(text, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    r = random.Random(4)
+    letters = lambda n: "".join(r.choice("abcdefghijklmn") for _ in range(n))
+    hits = 0
+    for m in [*range(3, 45), *range(10, 40)]:
+        item = letters(m)
+        copy = list(item)
+        for _ in range(m // 10 + r.randrange(2)):
+            p = r.randrange(len(copy))
+            copy[p : p + 1] = r.choice([[], [copy[p], "z"], ["z"]])
+        text = letters(r.randrange(30)) + "".join(copy) + letters(r.randrange(30))
+        got = Index([(1, item)]).search(text)
+        want = least(item, text)
+        assert [e for *_, e, _ in got] == ([want] if want <= m // 10 else []), (item, text)
+        hits += bool(got) and m // 10 > max(0, m // 8 - 1)
+    assert hits > 5
+    assert [x[1:4] for x in Index([(1, "tiny q")]).search("tiny q, tiny q")] == [(0, 6, 0), (8, 14, 0)]

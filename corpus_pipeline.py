@@ -16,7 +16,7 @@ from kinweave.llm.exact_dedup import exact_dedup
 from kinweave.llm.langid import UNDECIDED, fit, identify
 from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.queries import MODEL_FILE
-from kinweave.llm.sentencepiece import decode, encode
+from kinweave.llm.sentencepiece import round_trip
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Ids of rejected documents, 8 bytes each, that are broadcast at most.
@@ -76,8 +76,12 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: the pieces of each document, and
-    the digest of the text that they decode to."""
-    back = decode(encode(docs, MODEL_FILE), MODEL_FILE)
+    the digest of the text that they decode to.
+
+    A row for each row: a null or empty text has no pieces and the digest of an
+    empty text. Texts of any length are encoded whole; an empty table stays empty.
+    """
+    back = round_trip(docs, MODEL_FILE)
     return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

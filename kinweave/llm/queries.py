@@ -15,7 +15,7 @@ from kinweave.llm.langid import fit, identify, is_held_out
 from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
 from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.secrets import scan_secrets
-from kinweave.llm.sentencepiece import decode, encode
+from kinweave.llm.sentencepiece import round_trip
 from kinweave.llm.url_filter import judge_urls
 from kinweave.llm.warc import read_records, write_archive
 
@@ -25,7 +25,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_FILE) -> DataFrame:
     """Every document's pieces, and the digest of the text that they decode to."""
-    back = decode(encode(table(spark, sf_dir, "documents"), model_file), model_file)
+    back = round_trip(table(spark, sf_dir, "documents"), model_file)
     return back.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -22,11 +22,12 @@ import heapq
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,15 @@ from kinweave.llm.common import bounded_batches, columns_only
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words of a generation that are kept between batches, so memory doesn't follow
-#: the vocabulary of the corpus; a word in use moves on to the next generation.
-CACHE = 250_000
+#: Bytes of a generation of words that are kept between batches, so memory doesn't
+#: follow the vocabulary of the corpus; a word in use moves on to the next generation.
+CACHE_BYTES = 32_000_000
+#: A longer word isn't kept.
+KEPT_CHARS = 64
+#: Pairs of pieces that are kept, about 100 bytes each.
+PAIRS = 200_000
+#: A longer word doesn't go through the trie of words but is searched by itself, in parts of this length.
+PART_CHARS = 4096
 #: Text that is encoded together.
 GROUP_BYTES = 4_000_000
 _LINE = re.compile("(\n)")
@@ -117,9 +124,12 @@ class Encoder:
             node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], k)
         self.pairs: dict[int, bool] = {}
         self.trees: dict[str, tuple[list[tuple[str, float]], list[tuple[str, float]]] | None] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[int, tuple[int, ...]] = {}
+        # Words' ids are kept as bytes, four for each id.
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.mark = array("i", [self.ids[MARK]]).tobytes() if MARK in self.ids else b""
+        self.runs: dict[int, bytes] = {}
 
     def merged(self, symbols: list[str], last: list[str] | None = None) -> list[str]:
         """The model's own merging: again and again the best-scored pair, the
@@ -167,7 +177,7 @@ class Encoder:
         key = (last + 2) << 32 | k
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2 * CACHE:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             a, b = self.model.pieces[last] if last >= 0 else "", self.model.pieces[k]
             known = self.pairs[key] = self.tree(b) is not None and (not a or self.stays(a, b))
@@ -198,150 +208,225 @@ class Encoder:
             else:
                 j += 1
 
-    def _fallback(self, char: str) -> tuple[int, ...]:
-        return tuple(self.model.byte_ids[b] for b in char.encode())
+    def _advance(self, fresh: str, at: int, lasts, begins, totals, open_) -> None:
+        """Adds the forward states of the prefixes that end in ``fresh``; ``at`` is the last state's place.
 
-    def encode_words(self, words: list[str], prefix: str) -> dict[str, tuple[int, ...]]:
-        """The words' ids, each with ``prefix`` before it, by one walk through their trie."""
+        A state is its last piece (-1 at the start, -2 for a character without
+        one) and where that begins, its best score, and the pieces that may
+        still grow, longest first.
+        """
         bpe, root, scores, worst, pairs = self.bpe, self.root, self.scores, self.worst, self.pairs
-        # Forward states, one for each prefix of the current word: its last piece
-        # (-1 at the start, -2 for a character without one) and where that begins,
-        # its best score, and the pieces that may still grow, longest first.
-        lasts, begins, totals, open_ = [-1], [0], [0.0], [[]]
-        found: dict[str, tuple[int, ...]] = {}
+        for c in fresh:
+            grown, best, begin, total = [], -2, at, 0.0 if bpe else worst + totals[at]
+            for node, start in open_[at]:
+                if (child := node.get(c)) is None:
+                    continue
+                children, k = child
+                if children:
+                    grown.append((children, start))
+                if k < 0:
+                    continue
+                if not bpe:
+                    if best < 0 or totals[start] + scores[k] > total:
+                        best, begin, total = k, start, totals[start] + scores[k]
+                elif best < 0:
+                    ok = pairs.get((lasts[start] + 2) << 32 | k)
+                    if ok or (ok is None and self.follows(lasts[start], k)):
+                        best, begin = k, start
+            if (child := root.get(c)) is not None:
+                children, k = child
+                if children:
+                    grown.append((children, at))
+                if k >= 0:
+                    if not bpe:
+                        if best < 0 or totals[at] + scores[k] > total:
+                            best, begin, total = k, at, totals[at] + scores[k]
+                    elif best < 0 and self.follows(lasts[at], k):
+                        best, begin = k, at
+            at += 1
+            lasts.append(best)
+            begins.append(begin)
+            totals.append(total)
+            open_.append(grown)
+
+    def _path(self, at: int, text: str, lasts, begins) -> bytes:
+        """The ids of the best way to the state at ``at``, whose first character is the first of ``text``."""
+        out: list[int] = []
+        while at:
+            k, at = lasts[at], begins[at]
+            if k >= 0:
+                out.append(k)
+            else:
+                out.extend(self.model.byte_ids[b] for b in reversed(text[at].encode()))
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def encode_words(self, words: list[str], prefix: str) -> dict[str, bytes]:
+        """The words' ids, each with ``prefix`` before it, by one walk through their trie."""
+        states = lasts, begins, totals, open_ = [-1], [0], [0.0], [[]]
+        found: dict[str, bytes] = {}
         before, base = "", len(prefix)
         for word in sorted(words):
-            shared, most = 0, min(len(word), len(before))
-            while shared < most and word[shared] == before[shared]:
-                shared += 1
-            if not found:
+            if len(word) > PART_CHARS:
+                found[word] = self.encode_long(prefix + word)
+                continue
+            if len(lasts) == 1:
                 fresh, at = prefix + word, 0
             else:
+                shared, most = 0, min(len(word), len(before))
+                while shared < most and word[shared] == before[shared]:
+                    shared += 1
                 at = shared + base
-                del lasts[at + 1 :], begins[at + 1 :], totals[at + 1 :], open_[at + 1 :]
+                for x in states:
+                    del x[at + 1 :]
                 fresh = word[shared:]
-            for c in fresh:
-                grown, best, begin, total = [], -2, at, worst + totals[at]
-                for node, start in open_[at]:
-                    if (child := node.get(c)) is None:
-                        continue
-                    children, k = child
-                    if children:
-                        grown.append((children, start))
-                    if k < 0:
-                        continue
-                    if not bpe:
-                        if best < 0 or totals[start] + scores[k] > total:
-                            best, begin, total = k, start, totals[start] + scores[k]
-                    elif best < 0:
-                        ok = pairs.get((lasts[start] + 2) << 32 | k)
-                        if ok or (ok is None and self.follows(lasts[start], k)):
-                            best, begin = k, start
-                if (child := root.get(c)) is not None:
-                    children, k = child
-                    if children:
-                        grown.append((children, at))
-                    if k >= 0:
-                        if not bpe:
-                            if best < 0 or totals[at] + scores[k] > total:
-                                best, begin, total = k, at, totals[at] + scores[k]
-                        elif best < 0 and self.follows(lasts[at], k):
-                            best, begin = k, at
-                at += 1
-                lasts.append(best)
-                begins.append(begin)
-                totals.append(total)
-                open_.append(grown)
-            out: list[int] = []
-            while at:
-                k, at = lasts[at], begins[at]
-                if k >= 0:
-                    out.append(k)
-                else:
-                    out.extend(reversed(self._fallback((prefix + word)[at])))
-            found[word] = tuple(reversed(out))
+            self._advance(fresh, at, *states)
+            found[word] = self._path(len(lasts) - 1, prefix + word, lasts, begins)
             before = word
         return found
 
-    def run(self, marks: int) -> tuple[int, ...]:
+    def encode_long(self, text: str) -> bytes:
+        """The ids of one long word, its marker included, part by part.
+
+        Every way to a later state leads through the last state or one that an
+        open piece begins at. Where the ways to all these meet, what lies
+        before is settled: its ids are written and its states dropped. So
+        memory holds a few parts, and eight bytes for each state and each open
+        list as long as the ways don't meet, as in one character repeated.
+        """
+        lasts, begins, totals, open_ = array("i", [-1]), array("i", [0]), [0.0], [[]]
+        out, done, tried = [], 0, 0
+        for first in range(0, len(text), PART_CHARS):
+            self._advance(text[first : first + PART_CHARS], len(lasts) - 1, lasts, begins, totals, open_)
+            end = len(lasts) - 1
+            open_[:] = [None] * end + [open_[-1]]
+            if self.bpe:
+                totals[:] = [0.0] * (end + 1)
+            if end < 2 * tried:
+                continue
+            heads = {end, *(start for _, start in open_[-1])}
+            while len(heads) > 1:
+                last = max(heads)
+                heads.remove(last)
+                heads.add(begins[last])
+            tried, met = end, heads.pop()
+            if met:
+                out.append(self._path(met, text[done : done + met], lasts, begins))
+                lasts, begins = lasts[met:], array("i", [b - met for b in begins[met:]])
+                totals = [t - totals[met] for t in totals[met:]]
+                open_ = [None] * (end - met) + [[(node, start - met) for node, start in open_[-1]]]
+                done, tried = done + met, end - met
+        out.append(self._path(len(lasts) - 1, text[done:], lasts, begins))
+        return b"".join(out)
+
+    def run(self, marks: int) -> bytes:
         """A run of markers, which the model merges among themselves."""
+        if marks > KEPT_CHARS:
+            return array("i", [self.ids[t] for t in self.merged([MARK] * marks)]).tobytes()
         if marks not in self.runs:
-            self.runs[marks] = tuple(self.ids[t] for t in self.merged([MARK] * marks)) if marks else ()
+            self.runs[marks] = array("i", [self.ids[t] for t in self.merged([MARK] * marks)]).tobytes() if marks else b""
         return self.runs[marks]
 
-    def learn(self, words: set[str]) -> None:
-        """Puts the ids of marked words into the cache. Words are cut at line
-        breaks first if no piece of the model crosses one."""
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of marked words that are too long to be kept; those of all others
+        are in the cache then. Words are cut at line breaks first if no piece of
+        the model crosses one."""
+        words.discard("")
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {}, 0
         fresh: list[str] = []
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {}
         for w in words:
-            if w and w not in self.cache:
+            if w not in self.cache:
                 if (ids := self.older.get(w)) is None:
                     fresh.append(w)
                 else:
-                    self.cache[w] = ids
+                    self._keep(w, ids)
         lines = {w for w in fresh if "\n" in w} if self.cuts_lines else set()
-        self.cache |= self.encode_words([w for w in fresh if w not in lines], MARK)
+        found = self.encode_words([w for w in fresh if w not in lines], MARK)
         cut = {w: _LINE.split(w) for w in lines}
         first = self.encode_words(list({p[0] for p in cut.values()}), MARK)
         later = self.encode_words(list({x for p in cut.values() for x in p[1:] if x}), "")
         for w, (head, *tail) in cut.items():
-            self.cache[w] = first[head] + tuple(i for p in tail if p for i in later[p])
+            found[w] = first[head] + b"".join([later[p] for p in tail if p])
+        long: dict[str, bytes] = {}
+        for w, ids in found.items():
+            if len(w) > KEPT_CHARS:
+                long[w] = ids
+            else:
+                self._keep(w, ids)
+        return long
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.held += sys.getsizeof(word) + sys.getsizeof(ids) + 100  # and its place in the table
 
     @staticmethod
     def cut(text: str) -> list[str]:
         """The words between markers; an empty one where markers stand together."""
         return text.replace(MARK, " ").split(" ") if text else []
 
-    def ids_of(self, words: list[str]) -> list[int]:
+    def ids_of(self, words: list[str], long: dict[str, bytes]) -> bytes:
         """The ids of a text's words, which have been learned."""
-        get = self.cache.__getitem__
+        cache = self.cache
+        get = (lambda w: long[w] if len(w) > KEPT_CHARS else cache[w]) if long else cache.__getitem__
         if "" not in words:
-            return list(chain.from_iterable(map(get, words)))
-        ids: list[int] = []
+            return b"".join(map(get, words))
+        parts: list[bytes] = []
         marks = 0  # not yet written: markers that may still merge with each other
         for w in words:
             if not w:
                 marks += 1
                 continue
             own = get(w)
-            if marks and own[0] == self.ids[MARK]:
+            if marks and own[:4] == self.mark:
                 # A word's marker that stayed alone merges with the run before it.
-                ids += self.run(marks + 1)
-                ids += own[1:]
+                parts += (self.run(marks + 1), own[4:])
             else:
-                ids += self.run(marks)
-                ids += own
+                parts += (self.run(marks), own)
             marks = 0
-        return ids + list(self.run(marks))
+        parts.append(self.run(marks))
+        return b"".join(parts)
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Texts are cut twice rather than held in words."""
+        long = self.learn(set().union(*(self.cut(t) for t in texts if t)))
+        return [self.ids_of(self.cut(t), long) if t else b"" for t in texts]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [self.ids_of(words) for words in cut]
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_batch(texts)]
 
 
 class Decoder:
     def __init__(self, model: Model):
         rows = zip(model.pieces, model.kinds, strict=True)
         text = {CONTROL: lambda p: b"", BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: b" \xe2\x81\x87 "}
-        self.bytes = [text.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in rows]
+        self.bytes = pa.array([text.get(k, lambda p: p.replace(MARK, " ").encode())(p) for p, k in rows], pa.large_binary())
+
+    def decode_lists(self, ids: pa.ListArray) -> list[str]:
+        """A text for each list. Bytes that aren't valid UTF-8 become replacement characters; the first marker goes."""
+        joined = self.bytes.take(ids.flatten())
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        _, offsets, data = joined.buffers()
+        places = np.frombuffer(offsets, np.int64)[joined.offset :] if offsets is not None else np.zeros(1, np.int64)
+        view = memoryview(data or b"")
+        out, at = [], int(places[0])
+        for end in places[ends].tolist():
+            text = str(view[at:end], "utf-8", "replace")
+            out.append(text[1:] if text[:1] == " " else text)
+            at = end
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        """Bytes that aren't valid UTF-8 become replacement characters; the first marker goes."""
-        out = b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
-        return out[1:] if out[:1] == " " else out
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
-def _tools(data: bytes) -> tuple[Encoder, Decoder]:
-    """One encoder and decoder per worker process and model, kept between tasks
+def _tool(data: bytes, kind: type) -> Encoder | Decoder:
+    """One encoder or decoder per worker process and model, kept between tasks
     in a module of the process, since functions sent by value have no own."""
     kept = sys.modules.setdefault("_kinweave_worker", types.ModuleType("_kinweave_worker")).__dict__
-    key = hashlib.sha256(data).hexdigest()
+    key = f"{kind.__name__}-{hashlib.sha256(data).hexdigest()}"
     if key not in kept:
-        model = Model(data)
-        kept[key] = (Encoder(model), Decoder(model))
+        kept[key] = kind(Model(data))
     return kept[key]
 
 
@@ -359,45 +444,79 @@ def _grouped(batches: Iterator[pa.RecordBatch], most: int = GROUP_BYTES) -> Iter
         yield group
 
 
+def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids of the rows and of their pieces, a batch at a time; the words of several batches are learned together."""
+    for group in _grouped(batches):
+        texts = [batch.column(1).to_pylist() for batch in group]
+        rows = encoder.encode_batch([t for own in texts for t in own])
+        at = 0
+        for batch in group:
+            own = rows[at : at + batch.num_rows]
+            at += batch.num_rows
+            offsets = np.zeros(len(own) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in own], out=offsets[1:])
+            yield batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(own), np.int32)))
+
+
+def _read_model(spark, model_file: str):
+    with open(model_file, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids`` for every row: the model's pieces of the whole text.
 
-    A null or empty text has no pieces. Texts of any length are cut into words,
-    so memory follows a batch's texts; a word of any length is searched in time
-    proportional to it. Characters without a piece become bytes. Repeated rows
-    are encoded each; extra columns aren't read; an empty table stays empty.
+    A null or empty text has no pieces. Texts of any length are cut into words;
+    what is kept of words between batches is bounded in bytes (CACHE_BYTES), and
+    a word of any length is searched part by part in time proportional to it
+    (``Encoder.encode_long``), so memory follows a batch's texts. Characters
+    without a piece become bytes. Repeated rows are encoded each; null ids stay
+    null; extra columns aren't read; an empty table stays empty.
     """
-    with open(model_file, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())
+    data = _read_model(docs.sparkSession, model_file)
     named = bounded_batches(columns_only(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tools(data.value)
-        for group in _grouped(batches):
-            cut = [[encoder.cut(t or "") for t in batch.column(1).to_pylist()] for batch in group]
-            encoder.learn(set().union(*(w for own in cut for w in own)))
-            for batch, own in zip(group, cut, strict=True):
-                ids = pa.array([encoder.ids_of(w) for w in own], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
+        for key, ids in _encoded(_tool(data.value, Encoder), batches):
+            yield pa.RecordBatch.from_arrays([key, ids], [id_col, "ids"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id, ids, text``: the text of each row's pieces; null ids count as none."""
-    with open(model_file, "rb") as f:
-        data = encoded.sparkSession.sparkContext.broadcast(f.read())
+    """``id, ids, text``: the text of each row's pieces.
+
+    Null and empty lists give an empty text; a piece that the model doesn't have
+    is an error. Lists of any length are read whole; repeated rows are decoded
+    each; null ids of rows stay null; extra columns aren't read; an empty table
+    stays empty.
+    """
+    data = _read_model(encoded.sparkSession, model_file)
     named = bounded_batches(columns_only(encoded, id_col, ids_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decoder = _tools(data.value)
+        decoder = _tool(data.value, Decoder)
         for batch in batches:
-            texts = [decoder.decode(x or []) for x in batch.column(1).to_pylist()]
+            texts = decoder.decode_lists(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [id_col, "ids", "text"])
 
     return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` with both in one worker of a task, which takes less
+    memory than two; the rules of both hold."""
+    data = _read_model(docs.sparkSession, model_file)
+    named = bounded_batches(columns_only(docs, id_col, text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = _tool(data.value, Decoder)
+        for key, ids in _encoded(_tool(data.value, Encoder), batches):
+            yield pa.RecordBatch.from_arrays([key, ids, pa.array(decoder.decode_lists(ids), pa.string())], [id_col, "ids", "text"])
+
+    return named.mapInArrow(run, f"`{id_col}` {named.dtypes[0][1]}, ids array<int>, text string")
+
+
 def expected_text(text_col: str = "text"):
     """What decoding gives back: the text, its markers read as spaces."""
     return F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(" "))

@@ -1,11 +1,15 @@
 import random
+import subprocess
+import sys
 
+import numpy as np
 import pytest
 
 spm = pytest.importorskip("sentencepiece")
 P = pytest.importorskip("public_tokenizers")
 
-from kinweave.llm.sentencepiece import MARK, Decoder, Encoder, Model, decode, encode
+from kinweave.llm import sentencepiece as sp
+from kinweave.llm.sentencepiece import MARK, Decoder, Encoder, Model, decode, encode, round_trip
 
 FILE = P.path("piece_bpe_32k.model")
 ODD = [
@@ -39,6 +43,49 @@ def test_random_texts_equal_the_library(tools):
     assert encoder.encode(letters) == library.encode(letters)
 
 
+def test_long_words_equal_the_library(tools):
+    encoder, decoder, library = tools
+    r = random.Random(6)
+    symbols = "ABCDEFGHIJabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [
+        "x" * 30_000, "ab" * 20_000, "aaab" * 5000, "日本語テキスト" * 2000, "".join(r.choices(symbols, k=60_000)), "é" * 5000 + "\n" + "z" * 9999,
+        "go " + "thequickbrownfox" * 1000 + " on", "-" * 4095 + "a", "-" * 4096 + "a", "\U0001f600" * 5000,
+    ]
+    assert encoder.encode(texts) == library.encode(texts)
+    assert [decoder.decode(x) for x in encoder.encode(texts)] == texts
+
+
+A_LONG_WORD = """
+import resource, sys
+import numpy as np
+from kinweave.llm.sentencepiece import Decoder, Encoder, Model
+model = Model(open(sys.argv[1], "rb").read())
+encoder, decoder = Encoder(model), Decoder(model)
+text = "x" * 2_500_000 + "thequickbrownfoxjumpsoverthelazydog" * 71_429
+encoder.encode([text[:40_000]])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(ids,) = encoder.encode_batch([text])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, len(encoder.cache))
+assert decoder.decode(np.frombuffer(ids, np.int32).tolist()) == text
+"""
+
+
+def test_a_word_of_5_mb_takes_little_memory():
+    found = subprocess.run([sys.executable, "-c", A_LONG_WORD, FILE], capture_output=True, text=True, timeout=300)
+    kilobytes, kept = map(int, found.stdout.split())
+    assert kilobytes < 100_000 and kept == 0
+
+
+def test_kept_words_are_bounded_in_bytes(tools, monkeypatch):
+    encoder, _, library = tools
+    monkeypatch.setattr(sp, "CACHE_BYTES", 20_000)
+    r = random.Random(8)
+    for _ in range(30):
+        texts = ["".join(r.choices("abcdefgh ", k=400)) for _ in range(20)]
+        assert encoder.encode(texts) == library.encode(texts)
+    assert encoder.held < 20_000 + 400 * 20 * 200
+
+
 def test_frames_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (0, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS ids", "text AS lang")
@@ -46,7 +93,11 @@ def test_frames_round_trip(spark):
     assert encoded.count() == len(rows)
     got = {(r["doc_id"], r["text"]) for r in decode(encoded, FILE).collect()}
     assert got == {(i, (t or "").replace(MARK, " ")) for i, t in rows}
-    assert encode(df.limit(0), FILE).count() == 0
+    both = {(r["doc_id"], tuple(r["ids"]), r["text"]) for r in round_trip(df, FILE).collect()}
+    assert both == {(r["doc_id"], tuple(r["ids"]), r["text"]) for r in decode(encoded, FILE).collect()}
+    assert encode(df.limit(0), FILE).count() == round_trip(df.limit(0), FILE).count() == 0
+    lists = spark.createDataFrame([(1, None), (2, []), (None, [1000]), (None, [1000])], "doc_id bigint, ids array<int>").selectExpr("*", "'x' AS text")
+    assert sorted((r["doc_id"] or 0, r["text"] == "") for r in decode(lists, FILE).collect()) == [(0, False), (0, False), (1, True), (2, True)]
 
 
 def test_unigram_model_takes_the_best_sum():

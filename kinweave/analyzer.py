@@ -16,6 +16,7 @@ from kinweave.functions.keys import hex_key_column, is_hex_key, normalize_pubkey
 from kinweave.operators import ingest as ing
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
+from kinweave.plans.lineage import cut
 from kinweave.sources.events import events_from_rows
 from kinweave.sources.store import open_store
 
@@ -47,6 +48,7 @@ def _open(method):
     def guarded(self, *args, **kwargs):
         if self.is_closed():
             raise RuntimeError("Analyzer has been closed")
+        self._store.refresh()
         return method(self, *args, **kwargs)
 
     return guarded
@@ -148,8 +150,17 @@ class SocialGraphAnalyzer:
             self._ingest(events, order)
 
     def _ingest(self, events: DataFrame, order: str = "ord") -> None:
-        edges = ing.ingest(self.follows, events, order, self._strict)
-        self._store.commit({"follows": edges}, {"graph_updated_at": _now()})
+        began = time.time()
+        kept = cut(ing.latest_per_author(events, order))
+        if self._strict:
+            authors, change = kept.select(F.col("pubkey").alias("follower_pubkey")), lambda old: ing.replace_lists_strictly(old, kept)
+        else:
+            fresh = cut(ing.follows_of(kept))
+            authors, change = fresh.select("follower_pubkey").distinct(), lambda old: ing.replace_lists(old, fresh)
+        log.info("Ingesting the lists of %d authors", kept.count())
+        # Only the lists of these authors change, so a store may leave the rest as it is.
+        self._store.update("follows", authors, change, {"graph_updated_at": _now()})
+        log.info("Ingested in %.1f s", time.time() - began)
         if self._root and self._root_valid:
             try:
                 if self._strict:
@@ -166,19 +177,29 @@ class SocialGraphAnalyzer:
             raise ValueError(f"Invalid pubkey format: {bad['pubkey']}")
         depth = int(float(self._store.metadata.get("root_depth") or DEFAULT_DEPTH))
         changed = authors.select(F.lower("pubkey").alias("pubkey"))
-        table = trav.relax(self.follows, self._store.table("root_distances"), changed, depth)
+        table = trav.relax(self._ahead(), self._store.table("root_distances"), changed, depth)
         self._store.commit({"root_distances": table}, {"root_built_at": _now()})
 
+    def _ahead(self) -> DataFrame:
+        """The edges dealt out by follower, for searches."""
+        return self._store.dealt("follows", "follower_pubkey")
+
+    def _back(self) -> DataFrame:
+        """The edges dealt out by followed key, for searches from their ends."""
+        return self._store.dealt("follows", "followed_pubkey")
+
     # Root distances
 
     def _build_root(self) -> None:
-        table = trav.root_distances(self.follows, self._root, int(self._max_depth))
+        table = trav.root_distances(self._ahead(), self._root, int(self._max_depth))
         about = {"root_pubkey": self._root, "root_depth": str(self._max_depth), "root_built_at": _now()}
         self._store.commit({"root_distances": table}, about)
         self._root_valid = True
 
     def _root_table(self) -> DataFrame:
-        if not self._root_valid:
+        # Another analyzer may have dropped the table or built one of its own root.
+        ours = self._store.has("root_distances") and self._store.metadata.get("root_pubkey") == self._root
+        if not self._root_valid or not ours:
             self._build_root()
         return self._store.table("root_distances")
 
@@ -230,7 +251,7 @@ class SocialGraphAnalyzer:
             return SocialPath([a], 0)
         if not rel.both_exist(self.follows, a, b):
             return None
-        row = trav.shortest(self.follows, a, b, self._max_depth if max_depth is None else max_depth, with_path=True)
+        row = trav.shortest(self._ahead(), a, b, self._max_depth if max_depth is None else max_depth, True, self._back())
         return SocialPath(list(row["path"]), row["distance"]) if row else None
 
     @_open
@@ -244,7 +265,7 @@ class SocialGraphAnalyzer:
             return 0
         if not rel.exists(self.follows, a):
             return None
-        row = trav.shortest(self.follows, a, b, self._max_depth if max_depth is None else max_depth)
+        row = trav.shortest(self._ahead(), a, b, self._max_depth if max_depth is None else max_depth, False, self._back())
         return row["distance"] if row else None
 
     @_open
@@ -256,12 +277,12 @@ class SocialGraphAnalyzer:
         if not targets:
             return out
         if self._root and a == self._root:
-            found = self._targets(out).join(self._root_table().withColumnRenamed("pubkey", "target"), "target")
+            found = trav.root_lookup(self._root_table(), self._targets(out))
             return out | {r["target"]: r["distance"] for r in found.collect()}
         if not rel.exists(self.follows, a):
             return out
         normal = {t: normalize_pubkey(t) for t in out}
-        found = trav.distances_to(self.follows, a, self._targets(set(normal.values())), self._max_depth).collect()
+        found = trav.distances_to(self._ahead(), a, self._targets(set(normal.values())), self._max_depth).collect()
         by_key = {r["target"]: r["distance"] for r in found} | {a: 0}
         return {t: by_key.get(k) for t, k in normal.items()}
 
@@ -272,13 +293,13 @@ class SocialGraphAnalyzer:
     def get_users_within_distance(self, source: str, k: int) -> list[str] | None:
         a = normalize_pubkey(source)
         if self._root and a == self._root:
-            return _keys(self._root_table().filter((F.col("distance") <= k) & (F.col("distance") > 0)))
+            return _keys(trav.root_within(self._root_table(), k))
         if k < 1:
             return []
         if not rel.exists(self.follows, a):
             return None
         seeds = self._spark.range(1).select(F.lit(a).alias("source"))
-        found = trav.within(self.follows, seeds, k).filter(F.col("node") != a)
+        found = trav.within(self._ahead(), seeds, k).filter(F.col("node") != a)
         return _keys(found.select(F.col("node").alias("pubkey")).orderBy("pubkey"))
 
     # Lookups

@@ -5,7 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.plans.lineage import cut, cut_and_count
+
 SRC, DST = "follower_pubkey", "followed_pubkey"
+#: A node counts as hot if more than one in HOT_SHARE of the edges leave it, so there are at most HOT_SHARE.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+class Steps:
+    """Edges as steps from ``node`` to ``next``, forward or backward, to be joined with rows at nodes."""
+
+    def __init__(self, edges: DataFrame, backward: bool = False):
+        near, far = (DST, SRC) if backward else (SRC, DST)
+        self.frame = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+        self._hot: DataFrame | None = None
+        self._hot_rows = 0
+
+    def hot(self) -> DataFrame:
+        """The at most HOT_SHARE hot nodes, found once, when first needed."""
+        if self._hot is None:
+            counts = cut(self.frame.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+            total = counts.agg(F.sum("n")).first()[0] or 0
+            self._hot, self._hot_rows = cut_and_count(counts.filter(F.col("n") * HOT_SHARE > total).filter(F.col("n") > SALTS).select("node"))
+        return self._hot
+
+    def join(self, rows: DataFrame, small: bool) -> DataFrame:
+        """``rows`` with ``next``, a row for each step from their ``node``.
+
+        Small rows are broadcast, and edges stay where they are. Others are
+        joined by a shuffle on the node, except at hot nodes: the steps of these
+        are dealt out by a salt of their ends and the rows there repeated for
+        each salt, so no node's steps meet in one task.
+        """
+        if small:
+            return self.frame.join(F.broadcast(rows), "node")
+        hot = F.broadcast(self.hot())
+        if not self._hot_rows:
+            return self.frame.join(rows, "node")
+        cold = self.frame.join(hot, "node", "left_anti").join(rows, "node")
+        salted = self.frame.join(hot, "node", "left_semi").withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        there = rows.join(hot, "node", "left_semi").select("*", every)
+        return cold.unionByName(salted.join(there.hint("merge"), ["node", "salt"]).drop("salt"))
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
@@ -90,11 +132,29 @@ def followers(edges: DataFrame, pubkey) -> DataFrame:
     return edges.filter(F.col(DST) == pubkey).select(F.col(SRC).alias("pubkey")).distinct().orderBy("pubkey")
 
 
-def two_hop(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """``source, target, via`` with the number of keys between, for the given
-    sources (all if none); the two ends may be the same key."""
+def two_hop(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``source, target, via`` with the number of keys between, for a table of
+    sources; the two ends may be the same key. A source has as many rows as keys
+    it reaches, so the result of very many sources is large."""
+    first = edges.select(F.col(SRC).alias("source"), F.col(DST).alias("node")).join(sources.select("source").distinct(), "source", "left_semi")
+    reached = Steps(edges).join(first, False)
+    return reached.groupBy("source", F.col("next").alias("target")).agg(F.count(F.lit(1)).alias("via"))
+
+
+def two_hop_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``source, target, mid`` for the ``pairs`` that some key stands between, and the smallest such key.
+
+    Both ends are fixed, so a pair costs as many rows as its source follows."""
+    asked = pairs.select("source", "target").distinct()
     first = edges.select(F.col(SRC).alias("source"), F.col(DST).alias("mid"))
-    if sources is not None:
-        first = first.join(sources.select("source").distinct(), "source", "left_semi")
-    second = edges.select(F.col(SRC).alias("mid"), F.col(DST).alias("target"))
-    return first.join(second, "mid").groupBy("source", "target").agg(F.count(F.lit(1)).alias("via"))
+    last = edges.select(F.col(SRC).alias("mid"), F.col(DST).alias("target"))
+    between = asked.join(first, "source").join(last, ["mid", "target"])
+    return between.groupBy("source", "target").agg(F.min("mid").alias("mid"))
+
+
+def pairs_exist(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, found_a, found_b`` for a table of pairs."""
+    known = all_pubkeys(edges)
+    one, two = (known.select(F.col("pubkey").alias(c), F.lit(True).alias(f"found_{c}")) for c in "ab")
+    out = pairs.join(one, "a", "left").join(two, "b", "left")
+    return out.select("a", "b", *[F.coalesce(f"found_{c}", F.lit(False)).alias(f"found_{c}") for c in "ab"])

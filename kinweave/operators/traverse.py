@@ -3,16 +3,17 @@
 A level is one distributed step: expand the frontier along the edges, reduce
 per (source, node), drop what was seen. Its plan is cut each level. A frontier
 is broadcast only if its counted rows are below BROADCAST_ROWS; a larger one is
-joined by a shuffle.
+joined by a shuffle, the edges of hot nodes spread over salts.
 """
 
 from __future__ import annotations
 
 import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.relational import DST, SRC
+from kinweave.operators.relational import DST, SRC, Steps
 from kinweave.plans.lineage import cut, cut_and_count
 
 BROADCAST_ROWS = 20_000
@@ -35,15 +36,14 @@ def breadth_first(
     ``seeds`` has ``source``. ``path`` is the smallest of the shortest paths,
     compared key by key. The loop ends early at an empty level.
     """
-    steps = edges.select(F.col(SRC).alias("node"), F.col(DST).alias("next"))
+    steps = Steps(edges)
     start = seeds.select("source", F.col("source").alias("node"), F.lit(0).alias("distance")).distinct()
     if with_path:
         start = start.withColumn("path", F.array("node"))
     frontier, rows = cut_and_count(start)
     seen = frontier
     for level in range(1, int(levels) + 1):
-        small = F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
-        reached = steps.join(small, "node")
+        reached = steps.join(frontier, rows <= BROADCAST_ROWS)
         best = [F.min(F.concat("path", F.array("next"))).alias("path")] if with_path else []
         found = reached.groupBy("source", F.col("next").alias("node")).agg(F.lit(level).alias("distance"), *best)
         known = seen.select("source", "node")
@@ -61,61 +61,87 @@ def single(edges: DataFrame, source, levels: int, **more) -> DataFrame:
 
 
 class _Side:
-    """One end of a two-sided search: its frontier, what it has seen, and how far it is.
+    """One end of a two-sided search: the frontiers of its origins, what they have seen, and how far they are.
 
-    A backward side walks the edges from their ends; its paths lead from a node to the target.
+    A backward side walks the edges from their ends; its paths lead from a node to the origin.
     """
 
-    def __init__(self, edges: DataFrame, start, backward: bool, with_path: bool):
-        near, far = (DST, SRC) if backward else (SRC, DST)
-        self.steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+    def __init__(self, edges: DataFrame, origins: DataFrame, backward: bool, with_path: bool):
+        self.steps = Steps(edges, backward)
         self.backward, self.with_path, self.level = backward, with_path, 0
-        seed = edges.sparkSession.range(1).select(F.lit(start).cast(edges.schema[SRC].dataType).alias("node"))
+        start = origins.select("origin", F.col("origin").alias("node")).distinct()
         if with_path:
-            seed = seed.withColumn("path", F.array("node"))
-        self.frontier, self.rows = seed, 1
-        self.seen = seed.select("node")
+            start = start.withColumn("path", F.array("node"))
+        self.frontier, self.rows = cut_and_count(start)
+        self.seen = self.frontier.select("origin", "node")
 
     def expand(self) -> None:
-        small = F.broadcast(self.frontier) if self.rows <= BROADCAST_ROWS else self.frontier
-        reached = self.steps.join(small, "node")
+        reached = self.steps.join(self.frontier, self.rows <= BROADCAST_ROWS)
+        best = []
         if self.with_path:
             one = F.array("next")
-            path = F.concat(one, "path") if self.backward else F.concat("path", one)
-            found = reached.groupBy(F.col("next").alias("node")).agg(F.min(path).alias("path"))
+            best = [F.min(F.concat(one, "path") if self.backward else F.concat("path", one)).alias("path")]
+            found = reached.groupBy("origin", F.col("next").alias("node")).agg(*best)
         else:
-            found = reached.select(F.col("next").alias("node")).distinct()
-        self.frontier, self.rows = cut_and_count(found.join(self.seen, "node", "left_anti"))
-        self.seen = self.seen.unionByName(self.frontier.select("node"))
+            found = reached.select("origin", F.col("next").alias("node")).distinct()
+        self.frontier, self.rows = cut_and_count(found.join(self.seen, ["origin", "node"], "left_anti"))
+        self.seen = self.seen.unionByName(self.frontier.select("origin", "node"))
         self.level += 1
 
+    def keep(self, origins: DataFrame) -> None:
+        """Goes on with some origins only."""
+        self.frontier, self.rows = cut_and_count(self.frontier.join(origins, "origin", "left_semi"))
+
 
-def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False) -> dict | None:
-    """``{"distance": d, "path": [...]}`` (no path unless asked for), or None if out of reach.
+def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_path: bool = False, backward: DataFrame | None = None) -> DataFrame:
+    """``source, target, distance[, path]`` of the ``pairs`` (source, target) in reach; others have no row.
 
-    Both ends are searched, each time the one with fewer nodes at its edge: two
-    searches of half the depth see far fewer nodes than one of the whole. Levels
-    are complete, so the first node that both edges hold lies on a shortest
-    path. Of several, the smallest path is returned: all meeting nodes are
-    equally far from the source, so their smallest halves make it.
+    Both ends of all pairs are searched, each time the side with fewer nodes at
+    its edge: two searches of half the depth see far fewer nodes than one of the
+    whole. Levels are complete, so the first nodes that both edges of a pair
+    hold lie on its shortest paths. Of several, the smallest path is returned:
+    all meeting nodes are equally far from the source, so their smallest halves
+    make it. Origins without an open pair are left out of later levels.
+
+    ``backward`` is a copy of the edges that is dealt out by their ends.
     """
-    if source == target:
-        return {"distance": 0, "path": [source]} if with_path else {"distance": 0}
-    ahead, back = _Side(edges, source, False, with_path), _Side(edges, target, True, with_path)
-    while ahead.level + back.level < reachable_levels(max_depth):
+    asked, _ = cut_and_count(pairs.select("source", "target").distinct())
+    path = lambda c: [F.array(c).alias("path")] if with_path else []
+    out = asked.filter("source = target").select("source", "target", F.lit(0).alias("distance"), *path("source"))
+    open_ = asked.filter("source <> target")
+    ahead = _Side(edges, open_.select(F.col("source").alias("origin")), False, with_path)
+    back = _Side(edges if backward is None else backward, open_.select(F.col("target").alias("origin")), True, with_path)
+    while ahead.rows and back.rows and ahead.level + back.level < reachable_levels(max_depth):
         side = ahead if ahead.rows <= back.rows else back
         side.expand()
         if not side.rows:
-            return None
-        met = ahead.frontier.join(back.frontier.withColumnRenamed("path", "rest"), "node")
-        if with_path:
-            whole = F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))
-            path = met.agg(F.min(whole).alias("path")).first()["path"]
-            if path is not None:
-                return {"distance": len(path) - 1, "path": list(path)}
-        elif not met.isEmpty():
-            return {"distance": ahead.level + back.level}
-    return None
+            break
+        met = open_.join(ahead.frontier.withColumnRenamed("origin", "source"), "source").join(
+            back.frontier.withColumnsRenamed({"origin": "target", "path": "rest"}), ["target", "node"]
+        )
+        distance = F.lit(ahead.level + back.level).alias("distance")
+        whole = [F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("path")] if with_path else []
+        met, n = cut_and_count(met.groupBy("source", "target").agg(F.any_value(distance).alias("distance"), *whole))
+        if n:
+            out = out.unionByName(met)
+            open_, left = cut_and_count(open_.join(met, ["source", "target"], "left_anti"))
+            if not left:
+                break
+            ahead.keep(open_.select(F.col("source").alias("origin")))
+            back.keep(open_.select(F.col("target").alias("origin")))
+    return out
+
+
+def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False, backward: DataFrame | None = None) -> dict | None:
+    """``{"distance": d, "path": [...]}`` of one pair (no path unless asked for), or None if out of reach."""
+    if source == target:
+        return {"distance": 0, "path": [source]} if with_path else {"distance": 0}
+    kind = edges.schema[SRC].dataType
+    pair = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("source"), F.lit(target).cast(kind).alias("target"))
+    row = shortest_pairs(edges, pair, max_depth, with_path, backward).first()
+    if row is None:
+        return None
+    return {"distance": row["distance"]} | ({"path": list(row["path"])} if with_path else {})
 
 
 def within(edges: DataFrame, sources: DataFrame, k: int) -> DataFrame:
@@ -134,27 +160,23 @@ def relax(edges: DataFrame, distances: DataFrame, changed: DataFrame, max_depth:
 
     Only inserts and lowers: a distance that lost its last shortest path stays.
     At most ``max_depth + 2`` rounds, each along the keys the last one updated.
+    Rounds write what they change; the whole table is put together once.
     """
-    frontier, rows = cut_and_count(changed.select("pubkey").distinct())
-    steps = edges.select(F.col(SRC).alias("pubkey"), F.col(DST).alias("next"))
+    steps, empty = Steps(edges), distances.limit(0)
+    frontier, rows = cut_and_count(changed.select("pubkey").distinct().join(distances, "pubkey"))
+    updates = cut(empty)
     for _ in range(int(max_depth) + 2):
         if not rows:
             break
-        small = F.broadcast(frontier) if rows <= BROADCAST_ROWS else frontier
-        offers = (
-            steps.join(small, "pubkey")
-            .join(distances, "pubkey")
-            .filter(F.col("distance") + 1 <= max_depth)
-            .groupBy(F.col("next").alias("pubkey"))
-            .agg((F.min("distance") + 1).alias("offer"))
-        )
+        reached = steps.join(frontier.select(F.col("pubkey").alias("node"), "distance"), rows <= BROADCAST_ROWS)
+        offers = reached.filter(F.col("distance") + 1 <= max_depth).groupBy(F.col("next").alias("pubkey")).agg((F.min("distance") + 1).alias("offer"))
         old = distances.withColumnRenamed("distance", "old")
-        better = offers.join(old, "pubkey", "left").filter("old is null or offer < old")
-        updates, rows = cut_and_count(better.select("pubkey", F.col("offer").alias("distance")))
+        newer = updates.withColumnRenamed("distance", "newer")
+        better = offers.join(old, "pubkey", "left").join(newer, "pubkey", "left").filter("coalesce(newer, old) is null or offer < coalesce(newer, old)")
+        frontier, rows = cut_and_count(better.select("pubkey", F.col("offer").alias("distance")))
         if rows:
-            distances = cut(distances.join(updates, "pubkey", "left_anti").unionByName(updates))
-            frontier = updates.select("pubkey")
-    return distances
+            updates = cut(updates.join(frontier, "pubkey", "left_anti").unionByName(frontier))
+    return distances.join(updates, "pubkey", "left_anti").unionByName(updates)
 
 
 def root_distances(edges: DataFrame, root, max_depth: int) -> DataFrame:
@@ -162,5 +184,15 @@ def root_distances(edges: DataFrame, root, max_depth: int) -> DataFrame:
     return single(edges, root, max_depth).select(F.col("node").alias("pubkey"), "distance")
 
 
+def root_within(distances: DataFrame, k: int) -> DataFrame:
+    """Keys 1..k hops from the root, by its table."""
+    return distances.filter((F.col("distance") <= k) & (F.col("distance") > 0))
+
+
+def root_lookup(distances: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target, distance`` for a table of targets by the root's table; null if it doesn't have them."""
+    return targets.join(distances.withColumnRenamed("pubkey", "target"), "target", "left")
+
+
 def distribution(distances: DataFrame) -> DataFrame:
     return distances.filter("distance > 0").groupBy("distance").agg(F.count(F.lit(1)).alias("count")).orderBy("distance")

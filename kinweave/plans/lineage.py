@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; a local one is made only where none is set."""
+    """The session's shared folder. Where none is set, a local one is made if all
+    tasks run in this process; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not root and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="kinweave-"))
     return root or context._jsc.sc().getCheckpointDir().get()
 
@@ -39,7 +42,8 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
 
     An adaptive plan doesn't say how its result is partitioned, so the frame is
     first made by one and then dealt out by a fixed plan that does. Joins on
-    the key with as many shuffle partitions leave it where it is.
+    the key with as many shuffle partitions leave it where it is. The session's
+    setting is put back when the copy is made.
     """
     made, conf = cut(df), df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")

@@ -136,15 +136,31 @@ def test_snapshots_persist(spark, tmp_path):
         g.set_root_pubkey(ADAM)
         assert g._store.metadata["root_built_at"] == built  # reused
         assert g.get_shortest_distance(ADAM, SNOWDEN) == 2
-        other = SocialGraphAnalyzer.create(path, spark=spark)
         g.ingest_event(event(BOB, [ALICE]))
-        with pytest.raises(RuntimeError, match="another writer"):
-            other.ingest_event(event(ALICE, [BOB]))
         g.drop_root_distances()
     with SocialGraphAnalyzer.create(path, spark=spark) as g:
         assert g.get_stats().total_follows == 3 and g._store.metadata["root_pubkey"] == "" and not g._store.has("root_distances")
 
 
+def test_two_open_analyzers_see_each_other(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    with SocialGraphAnalyzer.create(path, spark=spark) as one, SocialGraphAnalyzer.create(path, spark=spark) as two:
+        one.ingest_events(CHAIN)
+        assert two.get_stats() == GraphStats(2, 2, 2) and two.get_shortest_distance(ADAM, SNOWDEN) == 2
+        two.ingest_event(event(BOB, [ALICE]))
+        one.ingest_event(event(ALICE, [BOB]))
+        two.ingest_event(event(SNOWDEN, [BOB]))
+        for g in (one, two):
+            assert g.get_stats().total_follows == 5 and g.get_shortest_distance(ADAM, ALICE, 4) == 4 and g.are_mutual_follows(ALICE, BOB)
+        one.set_root_pubkey(ADAM)
+        two.set_root_pubkey(ADAM)
+        assert one.get_users_at_distance(2) == two.get_users_at_distance(2) == [SNOWDEN]
+        two.drop_root_distances()
+        assert one.get_users_at_distance(1) == [FIATJAF]  # built again
+        two.set_root_pubkey(BOB)
+        assert two.get_users_at_distance(1) == [ALICE] and one.get_users_at_distance(1) == [FIATJAF]
+
+
 def test_stream_of_events(spark, tmp_path):
     import json
 

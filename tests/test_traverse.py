@@ -107,3 +107,59 @@ def test_partitioned_edges_are_not_shuffled_again(spark):
     plan = edges.join(other, "follower_pubkey")._jdf.queryExecution().sparkPlan().toString()
     executed = edges.join(other, "follower_pubkey")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and executed.count("Exchange hashpartitioning") == 1
+
+
+def text_edges(spark, rows):
+    return spark.createDataFrame(rows, "follower_pubkey string, followed_pubkey string")
+
+
+def skewed(r, hub=2000, rest=8000):
+    """A hub that a fifth of all edges lead to, another that as many leave."""
+    out = {(f"f{i}", "hub") for i in range(hub)} | {("star", f"t{i}") for i in range(hub)} | {("hub", "star"), ("hub", "x1")}
+    names = [f"f{i}" for i in range(300)] + [f"t{i}" for i in range(300)] + [f"x{i}" for i in range(400)]
+    while len(out) < hub * 2 + rest:
+        out.add((r.choice(names), r.choice(names)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_hot_keys(spark, monkeypatch, small):
+    rows = skewed(random.Random(4))
+    edges = text_edges(spark, rows).cache()
+    monkeypatch.setattr(trav, "BROADCAST_ROWS", 20_000 if small else 0)
+    steps = rel.Steps(edges, backward=True)
+    assert {x["node"] for x in steps.hot().collect()} == {"hub"} and {x["node"] for x in rel.Steps(edges).hot().collect()} == {"star"}
+    sources = ["f1", "f2", "hub", "x1", "nobody"]
+    seeds = spark.createDataFrame([(x,) for x in sources], "source string")
+    got = {(x["source"], x["node"]): x["distance"] for x in trav.breadth_first(edges, seeds, 3).collect()}
+    want = {(s, n): d for s in sources for n, (d, _) in plain_bfs(rows, s).items() if d <= 3}
+    assert got == want
+    via = {}
+    follows = {}
+    for a, b in rows:
+        follows.setdefault(a, []).append(b)
+    for a in sources:
+        for m in follows.get(a, []):
+            for b in follows.get(m, []):
+                via[a, b] = via.get((a, b), 0) + 1
+    assert {(x["source"], x["target"]): x["via"] for x in rel.two_hop(edges, seeds).collect()} == via
+    pairs = [(s, t) for s in sources for t in ("t5", "hub", "star", "x2", "f1", "nobody")]
+    asked = spark.createDataFrame(pairs, "source string, target string")
+    found = {(x["source"], x["target"]): (x["distance"], list(x["path"])) for x in trav.shortest_pairs(edges, asked, 6, True).collect()}
+    for s, t in pairs:
+        full = plain_bfs(rows, s).get(t)
+        assert found.get((s, t)) == ((full[0], list(full[1])) if full and full[0] <= 6 else None), (s, t)
+    mids = {(x["source"], x["target"]): x["mid"] for x in rel.two_hop_pairs(edges, asked).collect()}
+    for s, t in pairs:
+        between = [m for m in follows.get(s, []) if t in follows.get(m, [])]
+        assert mids.get((s, t)) == min(between, default=None)
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """No task of the join gets more than a small share of the hub's edges."""
+    edges = text_edges(spark, [(f"f{i}", "hub") for i in range(20_000)] + [(f"f{i}", f"x{i % 500}") for i in range(20_000)])
+    steps = rel.Steps(edges, backward=True)
+    rows = spark.createDataFrame([("hub", 1), ("x1", 1)], "node string, origin int")
+    found = steps.join(rows, False)
+    plan = found._jdf.queryExecution().toString()
+    assert found.count() == 20_040 and "salt" in plan

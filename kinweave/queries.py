@@ -11,7 +11,8 @@ from kinweave import fixtures as fx
 from kinweave.operators import ingest as ing
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
-from kinweave.plans.lineage import cut
+from kinweave.plans.lineage import cut, cut_by
+from kinweave.plans.schema import EDGES
 
 ROOT, DEPTH = 0, 6
 SPLIT = "1998-01-01"
@@ -139,11 +140,7 @@ p AS (SELECT DISTINCT cast(o_custkey AS BIGINT) AS a, cast(o_orderkey % n.n AS B
 SELECT a, b, (a, b) IN (SELECT (follower_pubkey, followed_pubkey) FROM e) AS follows FROM p"""
 )
 def direct_follow(spark, sf_dir):
-    customers = fx.table(spark, sf_dir, "customer").count()
-    pairs = fx.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").cast("bigint").alias("a"), (F.col("o_orderkey") % customers).cast("bigint").alias("b")
-    )
-    return rel.direct_follow(fx.follow_edges(spark, sf_dir), pairs.distinct())
+    return rel.direct_follow(fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir))
 
 
 @query(
@@ -171,7 +168,41 @@ SELECT x.follower_pubkey AS source, y.followed_pubkey AS target, count(*) AS via
 FROM e x JOIN e y ON x.followed_pubkey = y.follower_pubkey GROUP BY ALL"""
 )
 def two_hop(spark, sf_dir):
-    return rel.two_hop(fx.follow_edges(spark, sf_dir))
+    edges = cut(fx.follow_edges(spark, sf_dir))
+    return rel.two_hop(edges, edges.select(F.col("follower_pubkey").alias("source")))
+
+
+#: Pairs of keys that aren't taken from the edges: customer and order number.
+PAIRS_SQL = "p AS (SELECT DISTINCT cast(o_custkey AS BIGINT) AS a, cast(o_orderkey % n.n AS BIGINT) AS b FROM orders CROSS JOIN n)"
+
+
+def _pairs(spark, sf_dir, a="a", b="b"):
+    customers = fx.table(spark, sf_dir, "customer").count()
+    pairs = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("bigint").alias(a), (F.col("o_orderkey") % customers).cast("bigint").alias(b)
+    )
+    return pairs.distinct()
+
+
+@query(
+    HEAD + f""",
+{PAIRS_SQL}
+SELECT p.a AS source, p.b AS target, min(x.followed_pubkey) AS mid
+FROM p JOIN e x ON x.follower_pubkey = p.a JOIN e y ON y.follower_pubkey = x.followed_pubkey AND y.followed_pubkey = p.b GROUP BY ALL"""
+)
+def two_hop_pairs(spark, sf_dir):
+    """Both ends fixed."""
+    return rel.two_hop_pairs(cut(fx.follow_edges(spark, sf_dir)), _pairs(spark, sf_dir, "source", "target"))
+
+
+@query(
+    HEAD + f""",
+{PAIRS_SQL},
+k AS (SELECT follower_pubkey AS pubkey FROM e UNION SELECT followed_pubkey FROM e)
+SELECT a, b, a IN (SELECT pubkey FROM k) AS found_a, b IN (SELECT pubkey FROM k) AS found_b FROM p"""
+)
+def both_exist(spark, sf_dir):
+    return rel.pairs_exist(fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir))
 
 
 @query(
@@ -281,6 +312,137 @@ def shortest_path_all(spark, sf_dir):
     return _paths(spark, sf_dir, DEPTH)
 
 
+PAIR_DEPTH = 4
+
+
+def _pair_paths_sql() -> str:
+    """Of each source, a level at a time, one smallest path per node."""
+    parts = [f"{HEAD},\n{PAIRS_SQL},\ns0 AS (SELECT DISTINCT a AS source, a AS node, 0 AS d, [a] AS path FROM p)"]
+    for i in range(PAIR_DEPTH):
+        parts.append(f"""s{i + 1} AS MATERIALIZED (
+  SELECT * FROM s{i} UNION ALL SELECT s.source, e.followed_pubkey, {i + 1}, min(list_append(path, e.followed_pubkey)) FROM s{i} s JOIN e ON e.follower_pubkey = s.node
+  WHERE d = {i} AND NOT EXISTS (SELECT 1 FROM s{i} t WHERE t.source = s.source AND t.node = e.followed_pubkey) GROUP BY s.source, e.followed_pubkey)""")
+    return ",\n".join(parts) + (
+        f"\nSELECT p.a AS source, p.b AS target, d AS distance, array_to_string(path, '>') AS path FROM p JOIN s{PAIR_DEPTH} s ON s.source = p.a AND s.node = p.b"
+    )
+
+
+@query(_pair_paths_sql())
+def shortest_pairs(spark, sf_dir):
+    """Paths of many pairs by the two-sided search that single ones use."""
+    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    found = trav.shortest_pairs(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, True, cut_by(edges, "followed_pubkey"))
+    return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
+
+
+@query(
+    HEAD + BFS + """,
+m AS (SELECT unnest(range(0, 8)) AS max_depth)
+SELECT cast(max_depth AS INTEGER) AS max_depth, c_custkey::BIGINT AS target, distance
+FROM customer CROSS JOIN m JOIN rd ON pubkey = c_custkey
+WHERE distance <= 1 OR (distance = 2 AND max_depth >= 2) OR (distance >= 3 AND distance <= 2 * floor(max_depth / 2))"""
+)
+def shortest_by_depth(spark, sf_dir):
+    """What a two-sided search finds at each depth; odd ones reach no further than even ones, and direct edges are always found."""
+    edges = cut(fx.follow_edges(spark, sf_dir))
+    ahead, back = cut_by(edges, "follower_pubkey"), cut_by(edges, "followed_pubkey")
+    pairs = fx.table(spark, sf_dir, "customer").select(F.lit(ROOT).cast("bigint").alias("source"), F.col("c_custkey").cast("bigint").alias("target"))
+    out = None
+    for m in range(8):
+        found = trav.shortest_pairs(ahead, pairs, m, backward=back).select(F.lit(m).alias("max_depth"), "target", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(HEAD + BFS + "\nSELECT pubkey, distance FROM rd WHERE distance BETWEEN 1 AND 3")
+def root_within(spark, sf_dir):
+    return trav.root_within(trav.root_distances(fx.cached_edges(spark, sf_dir), ROOT, DEPTH), 3)
+
+
+@query(HEAD + BFS + "\nSELECT c_custkey::BIGINT AS target, distance FROM customer LEFT JOIN rd ON pubkey = c_custkey")
+def root_lookup(spark, sf_dir):
+    """Every key looked up in the root's table."""
+    targets = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("target"))
+    return trav.root_lookup(trav.root_distances(fx.cached_edges(spark, sf_dir), ROOT, DEPTH), targets)
+
+
+@query(
+    """SELECT cast(o_orderkey AS BIGINT) AS ord, CASE WHEN o_orderstatus = 'P' THEN 'Expected Kind 3 event, got Kind 1'
+  WHEN o_orderpriority = '5-LOW' THEN 'Expected Kind 3 event, got Kind undefined' WHEN o_orderpriority = '1-URGENT' THEN 'Invalid created_at: must be a positive number'
+  WHEN o_totalprice > 300000 THEN 'Invalid tags: must be an array' END AS error FROM orders"""
+)
+def event_errors(spark, sf_dir):
+    """The first rule that each event breaks, of events that break several."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    tags = F.when(F.col("o_totalprice") <= 300000, F.array().cast("array<array<string>>"))
+    events = fx.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("bigint").alias("ord"),
+        F.when(status == "P", 1).when(priority != "5-LOW", 3).alias("kind"),
+        F.when(priority == "1-URGENT", -1).otherwise(0).cast("bigint").alias("created_at"),
+        tags.alias("tags"),
+    )
+    return events.select("ord", ing.event_error().alias("error"))
+
+
+_U = "sha256('u' || cast(l_partkey % 50 AS BIGINT))"
+
+
+@query(
+    f"""SELECT DISTINCT 'A' || cast(l_orderkey AS BIGINT) AS follower_pubkey, {_U} AS followed_pubkey, 1::BIGINT AS created_at FROM lineitem WHERE l_linenumber IN (1, 2, 7)"""
+)
+def tag_rules(spark, sf_dir):
+    """Tags of all kinds: upper case, too short, another type, no key, not hexadecimal, with relay and name."""
+    key = F.sha2(F.concat(F.lit("u"), (F.col("l_partkey") % 50).cast("bigint").cast("string")), 256)
+    p, n = F.lit("p"), F.col("l_linenumber")
+    tag = (
+        F.when(n == 1, F.array(p, F.upper(key))).when(n == 2, F.array(p, key)).when(n == 3, F.array(p, F.substring(key, 1, 63)))
+        .when(n == 4, F.array(F.lit("P"), key)).when(n == 5, F.array(p)).when(n == 6, F.array(p, F.concat(F.lit("g"), F.substring(key, 2, 63))))
+        .otherwise(F.array(p, key, F.lit("wss://relay"), F.lit("name")))
+    )
+    events = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(tag).alias("tags"))
+    author = F.concat(F.lit("A"), F.col("l_orderkey").cast("bigint").cast("string"))  # an author's key isn't checked
+    return ing.follows_of(events.select(author.alias("pubkey"), F.lit(1).cast("bigint").alias("created_at"), "tags"))
+
+
+def _two_calls_sql(strict: bool) -> str:
+    """Events from the split on come first, the older ones second; orders of status F have no tags."""
+    shown = lambda name, events: f"""{name}_kept AS (SELECT pubkey, created_at, ord FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, ord) AS rn FROM {events}) WHERE rn = 1),
+{name} AS (SELECT DISTINCT k.pubkey AS a, cast((l_partkey * 31 + l_suppkey * 17) % n.n AS BIGINT) AS b, k.created_at FROM {name}_kept k
+  JOIN orders ON o_orderkey = k.ord JOIN lineitem ON l_orderkey = k.ord CROSS JOIN n WHERE o_orderstatus <> 'F')"""
+    newer = "k.pubkey NOT IN (SELECT a FROM x1) OR k.created_at > (SELECT max(created_at) FROM x1 WHERE a = k.pubkey)"
+    replaced = f"SELECT pubkey AS a FROM x2_kept k WHERE {newer}" if strict else "SELECT a FROM x2"
+    return f"""WITH {EVENTS_SQL},
+ev1 AS (SELECT * FROM ev WHERE created_at >= {EPOCH_OF_SPLIT}), ev2 AS (SELECT * FROM ev WHERE ord IN (SELECT o_orderkey FROM orders WHERE o_orderdate < '{SPLIT}' OR o_orderpriority = '1-URGENT')),
+{shown('x1', 'ev1')},
+{shown('x2', 'ev2')},
+r AS ({replaced}),
+z AS (SELECT * FROM x1 WHERE a NOT IN (SELECT a FROM r) UNION ALL SELECT * FROM x2 WHERE a IN (SELECT a FROM r))
+SELECT sha256('u' || a) AS follower_pubkey, sha256('u' || b) AS followed_pubkey, created_at FROM z"""
+
+
+def _two_calls(spark, sf_dir, strict):
+    about = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("ord"), "o_orderstatus", "o_orderpriority")
+    empty = F.array().cast("array<array<string>>")
+    events = cut(fx.event_objects(spark, sf_dir).join(about, "ord").withColumn("tags", F.when(F.col("o_orderstatus") == "F", empty).otherwise(F.col("tags"))))
+    late = F.col("created_at") >= EPOCH_OF_SPLIT
+    columns = ["pubkey", "created_at", "kind", "tags", "ord"]
+    nothing = spark.createDataFrame([], EDGES)
+    first = cut(ing.ingest(nothing, events.filter(late).select(*columns)))
+    return ing.ingest(first, events.filter(~late | (F.col("o_orderpriority") == "1-URGENT")).select(*columns), strict=strict)
+
+
+@query(_two_calls_sql(False))
+def ingest_two_calls(spark, sf_dir):
+    """A later call's list wins even if it is older; one without follows clears nothing, though it hides older ones of its call."""
+    return _two_calls(spark, sf_dir, False)
+
+
+@query(_two_calls_sql(True))
+def ingest_two_calls_strict(spark, sf_dir):
+    """Only newer lists count, and an empty one clears."""
+    return _two_calls(spark, sf_dir, True)
+
+
 def _delta(spark, sf_dir, first, second):
     before = cut(_edges_of_events(spark, sf_dir, first))
     table = trav.root_distances(before, ROOT, DEPTH)

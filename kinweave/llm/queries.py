@@ -12,7 +12,7 @@ from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
 from kinweave.llm.html_text import extract_text
 from kinweave.llm.langid import fit, identify, is_held_out
-from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses, template_sets
+from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, reaches, scan_licenses, template_sets
 from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.sentencepiece import round_trip
@@ -162,15 +162,27 @@ def op8_sql() -> str:
         + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         for phrase, label in PHRASES
     )
-    sets = ", ".join(f"('{label}', [{', '.join(repr(w) for w in t)}])" for label, t in template_sets(TEMPLATES))
+    sets = ", ".join(
+        f"('{label}', [{', '.join(repr(w) for w in t)}], '{phrase}', {need})" for label, t, phrase, need in template_sets(TEMPLATES, THRESHOLD)
+    )
+    wrapped = " UNION ALL ".join(
+        f"""SELECT doc_id, '{phrase}' AS phrase, unnest(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))})) AS j,
+        {len(phrase.split())} AS n, {far} AS far, w, ln FROM d WHERE contains(flat, ' {phrase} ')"""
+        for phrase, far in reaches(TEMPLATES).items()
+    )
     return f"""
 WITH l AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-d AS (SELECT doc_id, list_filter(string_split_regex(t, '{seps}'), lambda x: x <> '') AS w FROM l),
+ls AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: list_filter(string_split_regex(x, '{seps}'), lambda y: y <> '')) AS ls FROM l),
+d AS (SELECT doc_id, flatten(ls) AS w, ' ' || array_to_string(flatten(ls), ' ') || ' ' AS flat,
+             flatten(list_transform(ls, lambda x, i: list_transform(x, lambda y: i))) AS ln FROM ls),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(string_split_regex(b, '{seps}')) AS b FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS b FROM l)),
-templates(label, t) AS (VALUES {sets}),
-hits AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS score FROM blocks, templates WHERE len(list_intersect(b, t)) >= ceil(round({THRESHOLD} * len(t), 9))),
+templates(label, t, phrase, need) AS (VALUES {sets}),
+occ AS ({wrapped}),
+around AS (SELECT *, greatest(1, j - far) AS x, least(len(w), j + n - 1 + far) AS y FROM occ),
+blocks AS (SELECT doc_id, label, b, t, need FROM (SELECT doc_id, unnest(ls) AS b FROM ls), templates WHERE contains(' ' || array_to_string(b, ' ') || ' ', ' ' || phrase || ' ')
+           UNION ALL SELECT doc_id, label, w[x:y], t, need FROM around JOIN templates USING (phrase) WHERE ln[x] <> ln[y]),
+hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), t)) / len(t) AS score FROM blocks WHERE len(list_intersect(list_distinct(b), t)) >= need),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM hits GROUP BY doc_id)
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, cast(first_word AS BIGINT) AS first_word, cast(last_word AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,

@@ -1,7 +1,8 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
 1. Every text's set of word shingles gets a signature; equal sets form a class
-   that goes on as one representative.
+   that goes on as one node. A node is a class, not an id, so rows that share an
+   id lose nothing.
 2. Signatures are cut into bands; representatives that share a band's key are
    candidates. The members of a bucket are first compared with its smallest
    member only. Signatures are compared batch by batch, and a pair is dropped
@@ -9,7 +10,7 @@
    threshold falls below the chosen miss probability.
 3. What survives is confirmed on full sets, and links are joined to components.
 4. Buckets that then hold more than one component are compared in full, in
-   pairs of blocks of bounded size, leaving out what is in one component
+   pairs of blocks of bounded size and members, leaving out what is in one component
    already: by signatures, then by 32-bit hashes of the full sets, which can
    only count too much. What is left is confirmed as in 3. So no pair that
    shares a bucket is passed over, and only likely links become rows.
@@ -43,6 +44,8 @@ BATCH = 16
 MISS = 1e-7
 #: Shingles of one side of a comparison, so that the two sides' sets take about 32 MB.
 BLOCK = 4_000_000
+#: Members of one side, so that short texts don't make a block of very many.
+MEMBERS = 2000
 #: Ids that go out by broadcast rather than by a shuffle, counted first.
 BROADCAST_IDS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -129,15 +132,16 @@ def _sign(k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [hashed(shingles(t, k)) for t in part.column(1).to_pylist()]
+                sets = [hashed(shingles(t, k)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        part.column("id"),
+                        part.column("own"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_key(s.tobytes()) for s in sets], pa.binary()),
                         pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["id", "n", "set_key", "sig"],
+                    ["id", "own", "n", "set_key", "sig"],
                 )
 
     return run
@@ -149,9 +153,9 @@ def _full_sets(k: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [hashed(shingles(t, k)).tobytes() for t in part.column("text").to_pylist()]
-                # An id that has other texts too goes on with the one it represents.
+                # Should two texts of an id share a hash, the one that isn't the node's own has another set.
                 own = pa.array([_key(s) == x for s, x in zip(sets, part.column("set_key").to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("id").filter(own), pa.array(sets, pa.binary()).filter(own)], ["id", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("node").filter(own), pa.array(sets, pa.binary()).filter(own)], ["node", "members"])
 
     return run
 
@@ -174,7 +178,7 @@ def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The upper halves of the hashes of full sets, in order."""
     for batch in batches:
         short = [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("members").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(short, pa.binary())], ["id", "short"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(short, pa.binary())], ["node", "short"])
 
 
 def _confirm(percent: int):
@@ -199,7 +203,7 @@ def _compare_blocks(least: np.ndarray, percent: int):
     in the first band that it shares."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels, n, side = (table.column(c).to_numpy() for c in ("id", "label", "n", "side"))
+        ids, labels, n, side = (table.column(c).to_numpy() for c in ("node", "label", "n", "side"))
         band = table.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
         sets = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
@@ -238,14 +242,19 @@ class NearDedup:
         self.k, self.percent = k, percent
         self.least = least_matches(percent / 100, miss)
         named = bounded_batches(columns_only(docs, id_col, text_col))
-        self.texts = named.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+        # Id and text's hash find a class's text again, whatever rows share the id.
+        self.texts = named.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
         self.signed = stored(
-            self.texts.mapInArrow(_sign(k), "id bigint, n bigint, set_key binary, sig binary"), "signed"
+            self.texts.mapInArrow(_sign(k), "id bigint, own bigint, n bigint, set_key binary, sig binary"), "signed"
         )
 
     def classes(self) -> DataFrame:
-        """``set_key, rep, n, copies``; the representative is the smallest id of the class."""
-        out = self.signed.groupBy("set_key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+        """``node, set_key, rep, own, n, copies, sig``: a row for each set, with the
+        smallest id that has it, that row's text hash, and a number of its own."""
+        first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "own"))).alias("first")
+        out = self.signed.groupBy("set_key").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.any_value("sig").alias("sig"))
+        # Numbers are given when the table is written, and stay.
+        out = out.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.id").alias("rep"), F.col("first.own").alias("own"), "n", "copies", "sig")
         return stored(out, "classes")
 
     def verified(self, pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -254,42 +263,38 @@ class NearDedup:
         with_sigs = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "sig_b")
         return self.confirmed(with_sigs.mapInArrow(_drop_pairs(self.least), "a bigint, b bigint"))
 
-    def full_sets(self, ids: DataFrame) -> DataFrame:
-        """``id, members`` of the representatives in ``ids``, rebuilt from their texts."""
-        wanted = stored(ids.join(self.reps.select("id", "set_key"), "id"), "wanted")
+    def full_sets(self, nodes: DataFrame) -> DataFrame:
+        """``node, members`` of the nodes, rebuilt from their texts."""
+        wanted = stored(nodes.join(self.reps.select("node", "id", "own", "set_key"), "node"), "wanted")
         few = wanted.count() <= BROADCAST_IDS
-        texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id")
-        sets = texts.mapInArrow(_full_sets(self.k), "id bigint, members binary")
-        return stored(sets.dropDuplicates(["id"]), "sets")
+        texts = self.texts.join(F.broadcast(wanted) if few else wanted, ["id", "own"])
+        sets = texts.select("node", "set_key", "text").mapInArrow(_full_sets(self.k), "node bigint, members binary")
+        return stored(sets.dropDuplicates(["node"]), "sets")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "survivors")
-        sets = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         one, two = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
         return stored(both.mapInArrow(_confirm(self.percent), "a bigint, b bigint"), "links")
 
     def links(self, classes: DataFrame) -> DataFrame:
-        """Confirmed links ``a < b`` between representatives, enough to join every
-        two that share a bucket and reach the threshold."""
-        # Of texts that share an id and represent classes, the one with the smallest key goes on.
-        named = classes.filter(F.col("rep").isNotNull() & (F.col("n") > 0)).groupBy(F.col("rep").alias("id"))
-        self.reps = stored(named.agg(F.min("set_key").alias("set_key"), F.min_by("n", "set_key").alias("n")), "reps")
-        sigs = self.signed.select("id", "set_key", "sig").join(self.reps, ["id", "set_key"])
-        sigs = stored(sigs.select("id", "n", "sig").dropDuplicates(["id"]), "sigs")
+        """Confirmed links ``a < b`` between nodes, enough to join every two that
+        share a bucket and reach the threshold."""
+        self.reps = classes.filter(F.col("rep").isNotNull() & (F.col("n") > 0)).withColumnRenamed("rep", "id")
         width = ROWS * 4
         keys = F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width)))
         )
-        bands = sigs.select("id", "n", F.posexplode(keys).alias("band", "key"))
-        sigs = sigs.select("id", "sig")
+        bands = self.reps.select("node", "n", F.posexplode(keys).alias("band", "key"))
+        sigs = self.reps.select("node", "sig")
         # Buckets of one member are dropped; the rest know their smallest member.
-        heads = bands.groupBy("key").agg(F.min_by("n", "id").alias("head_n"), F.min("id").alias("head"), F.count(F.lit(1)).alias("size"))
+        heads = bands.groupBy("key").agg(F.min_by("n", "node").alias("head_n"), F.min("node").alias("head"), F.count(F.lit(1)).alias("size"))
         heads = stored(heads.filter("size > 1"), "heads")
         total = heads.agg(F.sum("size")).first()[0] or 0
         members = stored(join_per_key(bands, heads, "key", "size", total).filter("head is not null"), "buckets")
         fits = 100 * F.least("n", "head_n") >= self.percent * F.greatest("n", "head_n")
-        stars = members.filter((F.col("id") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("id").alias("b"))
+        stars = members.filter((F.col("node") != F.col("head")) & fits).select(F.col("head").alias("a"), F.col("node").alias("b"))
         links = self.verified(stars.distinct(), sigs)
         return links.unionByName(self.rest(members, links, sigs)).distinct()
 
@@ -303,29 +308,29 @@ class NearDedup:
         square, and of the pairs compared in a block only likely links leave it.
         Of buckets with the same members the one of the first band counts.
         """
-        labels = connected(links).withColumnRenamed("v", "id")
-        named = members.select("key", "band", "id", "n", "size").join(labels, "id", "left")
-        named = stored(named.withColumn("label", F.coalesce("label", "id")), "labelled")
+        labels = connected(links).withColumnRenamed("v", "node")
+        named = members.select("key", "band", "node", "n", "size").join(labels, "node", "left")
+        named = stored(named.withColumn("label", F.coalesce("label", "node")), "labelled")
         parts = named.groupBy("key", "band", "size", "label").agg(
-            F.count(F.lit(1)).alias("own"), F.sum("n").alias("held"), F.bit_xor(F.xxhash64("id")).alias("same")
+            F.count(F.lit(1)).alias("own"), F.sum("n").alias("held"), F.bit_xor(F.xxhash64("node")).alias("same")
         )
         mixed = parts.groupBy("key", "band", "size").agg(
-            F.max_by(F.struct("label", "held"), F.struct("own", "label")).alias("main"), F.sum("held").alias("held"),
+            F.max_by(F.struct("label", "held", "own"), F.struct("own", "label")).alias("main"), F.sum("held").alias("held"), F.sum("own").alias("all"),
             F.count(F.lit(1)).alias("labels"), F.bit_xor("same").alias("same"),
         ).filter("labels > 1 and size > 2")
-        mixed = mixed.groupBy("same", "size").agg(F.min_by(F.struct("key", "main", "held"), "band").alias("m"))
-        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+        mixed = mixed.groupBy("same", "size").agg(F.min_by(F.struct("key", "main", "held", "all"), "band").alias("m"))
+        blocks = lambda held, n: F.greatest(F.ceil(held / F.lit(BLOCK)), F.ceil(n / F.lit(MEMBERS))).cast("int")
         mixed = mixed.select(
             "m.key",
             F.col("m.main.label").alias("main"),
-            blocks(F.col("m.main.held")).alias("mains"),
-            blocks(F.col("m.held") - F.col("m.main.held")).alias("others"),
+            blocks(F.col("m.main.held"), F.col("m.main.own")).alias("mains"),
+            blocks(F.col("m.held") - F.col("m.main.held"), F.col("m.all") - F.col("m.main.own")).alias("others"),
         )
         is_main = F.col("label") == F.col("main")
-        own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.when(is_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
         open_ = stored(named.drop("size").join(stored(mixed, "mixed"), "key").withColumn("own", own), "open")
-        sets = self.full_sets(open_.select("id").distinct()).mapInArrow(_shorten, "id bigint, short binary")
-        known = stored(sigs.join(sets, "id"), "open-sets")
+        sets = self.full_sets(open_.select("node").distinct()).mapInArrow(_shorten, "node bigint, short binary")
+        known = stored(sigs.join(sets, "node"), "open-sets")
         upto = lambda n: F.sequence(F.lit(0), n - 1)
         pair = lambda kind, one, two, side: F.struct(
             F.lit(kind).alias("kind"), one.alias("one"), two.alias("two"), side.alias("side")
@@ -337,10 +342,10 @@ class NearDedup:
             upto(F.col("others")), lambda o: pair("other", F.least(own, o), F.greatest(own, o), F.when(own > o, 1).otherwise(0))
         )
         dealt = open_.select(
-            "key", "band", "id", "n", "label", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_mains, among))).alias("p")
-        ).select("key", "band", "id", "n", "label", "p.*")
+            "key", "band", "node", "n", "label", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_mains, among))).alias("p")
+        ).select("key", "band", "node", "n", "label", "p.*")
         compared = (
-            dealt.join(known, "id")
+            dealt.join(known, "node")
             .groupBy("key", "kind", "one", "two")
             .applyInArrow(_compare_blocks(self.least, self.percent), "a bigint, b bigint")
         )
@@ -356,17 +361,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text has an empty set, is linked with nothing and kept. Texts are read
     whole. Equal sets are linked whatever the texts. Repeated rows are
     reported each. If rows share an id but not their text, each is in the
-    component of its own text's class; of those that represent a class only the
-    one with the smallest set key is searched for further links. A row with a
-    null id is kept and named by nothing. Extra columns aren't read; an empty
+    component of its own text. A row with a null id is kept and named by
+    nothing; other rows with its text are linked as ever, and a text that only
+    such rows have is linked with no other. Extra columns aren't read; an empty
     table gives an empty result.
     """
     run = NearDedup(docs, id_col, text_col, k, percent)
     classes = run.classes()
-    labels = connected(run.links(classes)).withColumnsRenamed({"v": "rep", "label": "component"})
+    linked = stored(connected(run.links(classes)).withColumnRenamed("v", "node").join(classes.select("node", "rep"), "node"), "linked")
+    names = stored(linked.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("nodes")), "components")
+    total = names.agg(F.sum("nodes")).first()[0] or 0
+    named = join_per_key(linked.select("node", "label"), names, "label", "nodes", total).select("node", "component")
+    per_set = classes.select("node", "set_key", "rep", "copies").join(named, "node", "left")
+    per_set = stored(per_set.select("set_key", F.coalesce("component", "rep").alias("component"), "copies"), "named")
     total = classes.agg(F.sum("copies")).first()[0] or 0
-    named = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per_set = stored(named.select("set_key", "component", "copies"), "named")
     rows = join_per_key(run.signed.select("id", "n", "set_key"), per_set, "set_key", "copies", total)
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     kept = F.col("id").eqNullSafe(component) | F.col("id").isNull()

@@ -35,9 +35,28 @@ def test_odd_rows(spark):
             assert (row["n_shingles"], row["component_id"], row["kept"]) == (len(shingle_set(texts[i], 2)), want[i], want[i] == i)
 
 
-def test_groups_equal_all_pairs(spark, monkeypatch):
+def test_rows_that_share_an_id_keep_their_links(spark):
+    r = random.Random(7)
+    near = near_texts(r, 6, 4)
+    rows = [(1, near[0]), (1, near[4]), (5, near[1]), (9, near[5]), (1, near[0]), (9, near[9]), (9, near[8]), (20, near[9]), (20, near[13])]
+    rows += [(30 + i, t) for i, t in enumerate(near)] + [(None, near[2]), (None, "of its own"), (1, None), (1, ""), (2, "of its own")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # Over rows, then the smallest id of the rows reached; rows without an id name nothing.
+    top = brute_components({i: t for i, (_, t) in enumerate(rows)}, 2, 80)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[top[i]] = min(least.get(top[i], doc_id), doc_id)
+    want = sorted((d, least[top[i]] if shingle_set(t, 2) else d, d == (least[top[i]] if shingle_set(t, 2) else d)) for i, (d, t) in enumerate(rows) if d is not None)
+    got = nd.near_duplicates(df, k=2).collect()
+    assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in got if x["doc_id"] is not None) == want
+    assert len(got) == len(rows) and all(x["kept"] and x["component_id"] is None for x in got if x["doc_id"] is None)
+
+
+@pytest.mark.parametrize("bound", ["BLOCK", "MEMBERS"])
+def test_groups_equal_all_pairs(spark, monkeypatch, bound):
     """A large group of copies around the threshold, cut into many small blocks."""
-    monkeypatch.setattr(nd, "BLOCK", 400)
+    monkeypatch.setattr(nd, bound, {"BLOCK": 400, "MEMBERS": 7}[bound])
     monkeypatch.setattr(nd, "BROADCAST_IDS", 0)
     texts = dict(enumerate(near_texts(random.Random(4), 2, 45, 40) + near_texts(random.Random(5), 10, 4)))
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")

@@ -1,8 +1,11 @@
 import hashlib
+import os
+
+import pytest
 
 from kinweave.llm.html_text import blocks, common_lines, extract_text
 from kinweave.llm.url_filter import judge_urls
-from kinweave.llm.warc import read_records, read_warc, reconstruct, write_archive, write_warc
+from kinweave.llm.warc import parse_warc, read_records, read_warc, reconstruct, write_archive, write_warc
 
 BIG = "<p>" + "é big page " * 200
 PAGES = [
@@ -39,6 +42,24 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert got == want
 
 
+def test_binary_and_long_payloads(spark, tmp_path):
+    odd = [b"\xff\xfe\x00\r\n\r\n" * 300, "é".encode() * 3_000_000, b"", None, b"\x80", b"\xff\xfe\x00\r\n\r\n" * 300]
+    df = spark.createDataFrame([(i, f"http://a.com/{i}", bytearray(b) if b is not None else None) for i, b in enumerate(odd)], "page_id bigint, url string, html binary")
+    archive = write_archive(df)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read_records(archive).collect()}
+    assert got == {
+        i: (len(b or b""), hashlib.sha1(b or b"").hexdigest(), "revisit" if i == 0 else "response", 5 if i == 0 else None) for i, b in enumerate(odd)
+    }
+    write_warc(archive, str(tmp_path / "w"))
+    back = {r["url"][-1]: bytes(r["body"]) for r in read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {str(i): b"" if i == 0 else b or b"" for i, b in enumerate(odd)}
+    write_warc(write_archive(df.limit(0)), str(tmp_path / "none"))
+    assert read_warc(spark, str(tmp_path / "none")).count() == 0
+    for bad in (b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab", b"WARC/1.1\r\nContent-Length: 5\r\n"):
+        with pytest.raises(ValueError):
+            list(parse_warc(bad))
+
+
 def test_many_records_of_one_payload(spark, monkeypatch):
     from kinweave.llm import warc
 
@@ -66,6 +87,14 @@ def test_urls(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_long_urls_and_plans(spark):
+    rows = [(i, f"http://a{i}.com/library/{i}") for i in range(5)] + [(9, "http://q.org/" + "ab/" * 300_000), (10, "http://" + "x" * 100_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    judged = judge_urls(df)
+    got = {r["page_id"]: (len(r["host"]), len(r["path"]), r["verdict"]) for r in judged.collect()}
+    assert got[9][:2] == (5, 900_001) and got[10][:2] == (100_000, 0) and got[0][2] == "allow"
+
+
 def test_url_model_tells_what_rules_taught(spark):
     good = [(i, f"http://good{i}.com/library/books/{i}") for i in range(40)]
     bad = [(100 + i, f"http://xx{i}.net/fr/win-cash-{i}") for i in range(40)]
@@ -124,6 +153,56 @@ def test_open_pages_lose_what_they_share_with_their_neighbour(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_the_nearest_page_shares_the_longest_beginning(spark):
+    paths = ["/a/x", "/b/1", "/b/2", "/b/20/z", "/b/21", "/c", "/c/d/1", "/c/d/1?x", "/d", ""]
+    rows = [(i, f"http://h.com{p}", "\n".join(f"<p>{r}</p>" for r in ["all", f"part {p[:3]}", f"deep {p[:5]}", f"own {i}", f"end {p[:2]}"])) for i, p in enumerate(paths)]
+    rows += [(50 + i, f"http://{'abcdefgh'[i]}.org/b/1", "<p>all<p>of each host") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    lists = {i: [x[3:-4].strip() for x in page.split("\n")] for i, _, page in rows if i < 50}
+    path = lambda i: paths[i].split("?")[0]
+    for i in range(len(paths)):
+        order = sorted((j for j in lists if j != i), key=lambda j: (len(os.path.commonprefix([path(i), path(j)])), path(j) < path(i)))
+        far = len(os.path.commonprefix([path(i), path(order[-1])]))
+        nearest = [j for j in order if len(os.path.commonprefix([path(i), path(j)])) == far]
+        wanted = {"\n".join(x for k, x in enumerate(lists[i]) if k not in common_lines(lists[i], lists[j])) for j in nearest}
+        assert got[i] in wanted, (paths[i], got[i], wanted)
+    assert all(got[50 + i] == "all\nof each host" for i in range(8))
+    # The page before in the order of paths is /a/x here, the nearest is /b/2.
+    assert got[1] == "own 1"
+
+
+def test_a_page_that_very_many_copies_share(spark):
+    rows = [(i, f"http://h.com/{i % 7}", "<p>menu<p>copied text") for i in range(900)] + [(1000, "http://h.com/x", "<p>menu<p>other text")]
+    got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == 901 and {got[i] for i in range(900)} == {"copied text"} and got[1000] == "other text"
+
+
+def test_elements_that_hold_text():
+    math = "<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><p class='search-term'>Term</p><p class=related>Also</p><p class=cookie-notice>No</p></article>"
+    assert blocks(math) == (["If x=1 then", "Term", "Also"], True)
+    page = "<body><nav>Menu</nav><article><p>Text</p></article><footer>Foot</footer></body>"
+    assert blocks(page, structure=False) == (["Menu", "Text", "Foot"], False)
+    assert blocks("<p>word " * 20_000) == (["word"] * 20_000, False)
+
+
+def test_large_alignments_are_halved(monkeypatch):
+    import random
+
+    from kinweave.llm import html_text
+
+    r = random.Random(3)
+    pairs = [([r.randrange(6) for _ in range(r.randrange(40))], [r.randrange(6) for _ in range(r.randrange(40))]) for _ in range(200)]
+    whole = [len(common_lines(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html_text, "CELLS", 8)
+    for (a, b), n in zip(pairs, whole, strict=True):
+        kept = common_lines(a, b)
+        rest = iter(b)
+        assert len(kept) == n and kept == sorted(set(kept)) and all(any(x == y for y in rest) for x in (a[i] for i in kept))
+    monkeypatch.setattr(html_text, "CELLS", 1 << 20)
+    a, b = ([r.randrange(3000) for _ in range(6000)] for _ in "ab")
+    assert len(common_lines(a, b)) > 0
+
+
 def test_common_lines_equal_a_table():
     import random
 

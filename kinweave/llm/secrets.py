@@ -1,9 +1,11 @@
 """Secret scans with an incremental ledger of blobs.
 
-Every text version is addressed by its SHA-256. The ledger keeps which (blob,
-rule version) pairs have been scanned and what was found in them; a scan reads
-only the pairs it hasn't seen, and findings are joined back to every row, copy
-or path that has the blob.
+Every text version is addressed by its SHA-256. The ledger is a folder with two
+tables that only grow: which (blob, rule version) pairs have been scanned, and
+what was found in them. A scan reads only the pairs it hasn't seen, and findings
+are joined back to every row, copy or path that has the blob. Findings are
+written before their blobs count as scanned, so a scan that fails in between is
+repeated; what it had written twice counts once.
 """
 
 from __future__ import annotations
@@ -16,38 +18,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, columns_only, join_per_key, stored
+from kinweave.llm.common import bounded_batches, columns_only, join_per_key, scratch, stored
 
-#: Fixed by the query's contract: kind, pattern, letters in either case, group, least length of that group.
+#: Fixed by the query's contract: kind, pattern, letters in either case, group, least length of that group;
+#: and, of our own, a pattern of a part that every kept match has, by which texts without any are passed over (None: there is none).
 BASE_RULES = [
-    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", False, 0, 16),
-    ("hex", r"[0-9a-f]+", False, 0, 32),
-]
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 8,
+     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
+    ("access", r"AKIA[A-Z0-9]+", False, 0, 16, r"AKIA[A-Z0-9]{12}"),
+    ("hex", r"[0-9a-f]+", False, 0, 32, r"[0-9a-f]{32}"),
+]
 #: Kinds of our own: token prefixes and block heads that their issuers document.
 MORE_RULES = [
-    ("github", r"gh[pousr]_[A-Za-z0-9]+", False, 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 1),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", False, 0, 20),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", False, 0, 40, r"gh[pousr]_"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 0, 40, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", False, 0, 1, r"-----BEGIN "),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{15,}", False, 0, 20, r"xox[abprs]-"),
 ]
 RULES = BASE_RULES + MORE_RULES
-#: A text that this doesn't match has no finding under RULES. Each alternative
-#: is a part that every kept match of its rule has.
-MAY_MATCH = (
-    r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-    r"|gh[pousr]_|eyJ[A-Za-z0-9_-]+\.eyJ|-----BEGIN |xox[abprs]-"
-)
+
+
+def may_match(rules: list[tuple]) -> str | None:
+    """A pattern without which a text has no finding; None if some rule has no such part."""
+    parts = [r[5] for r in rules]
+    return "|".join(f"(?:{p})" for p in parts) if all(parts) else None
 
 
 def rule_version(rules: list[tuple]) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+    return "v" + hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def spans_of(text: str, rules: list[tuple]) -> list[tuple[str, int, int]]:
     """``kind, start, end`` of the leftmost non-overlapping matches per kind, short ones dropped."""
     out = []
-    for kind, pattern, any_case, group, least in rules:
+    for kind, pattern, any_case, group, least, *_ in rules:
         flags = re.ASCII | (re.IGNORECASE if any_case else 0)
         out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, text, flags) if len(m.group(group)) >= least]
     return out
@@ -71,24 +75,43 @@ def scanner(rules: list[tuple]):
 
 
 class BlobLedger:
-    """A folder in the shared store with tables ``scanned`` and ``findings``; a new one is empty."""
+    """A folder with the tables ``scanned`` (digest, rules) and ``findings`` (digest, kind, start, end, rules).
+
+    Both are appended to and never changed; rows of a rule version stand in a
+    folder of their own. A folder that has a ledger is opened with what it holds.
+    """
+
+    SCANNED = "digest binary, rules string"
+    FINDINGS = "digest binary, kind string, start bigint, end bigint, rules string"
 
-    def __init__(self, spark: SparkSession, rules: list[tuple] = RULES, may_match: str | None = MAY_MATCH):
-        self.spark, self.rules, self.may_match = spark, rules, may_match
+    def __init__(self, spark: SparkSession, path: str | None = None, rules: list[tuple] = RULES):
+        self.spark, self.rules = spark, rules
+        self.path = (path or scratch(spark, "ledger")).rstrip("/")
         self.version = rule_version(rules)
-        self.scanned: DataFrame | None = None
-        self.findings: DataFrame | None = None
+        for name, schema in (("scanned", self.SCANNED), ("findings", self.FINDINGS)):
+            spark.createDataFrame([], schema).write.mode("ignore").partitionBy("rules").parquet(f"{self.path}/{name}")
 
-    def with_rules(self, rules: list[tuple], may_match: str | None = None) -> BlobLedger:
+    def with_rules(self, rules: list[tuple]) -> BlobLedger:
         """The same ledger under other rules: all blobs are unseen for a new version."""
-        out = BlobLedger(self.spark, rules, may_match)
-        out.scanned, out.findings = self.scanned, self.findings
-        return out
+        return BlobLedger(self.spark, self.path, rules)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    @property
+    def scanned(self) -> DataFrame:
+        return self._table("scanned", self.SCANNED).distinct()
+
+    @property
+    def findings(self) -> DataFrame:
+        return self._table("findings", self.FINDINGS).distinct()
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        rows.withColumn("rules", F.lit(self.version)).write.mode("append").partitionBy("rules").parquet(f"{self.path}/{name}")
 
     def unseen(self, blobs: DataFrame) -> DataFrame:
-        if self.scanned is None:
-            return blobs
-        return blobs.join(self.scanned.filter(F.col("rules") == self.version), "digest", "left_anti")
+        """``blobs`` that haven't been scanned under this version."""
+        return blobs.join(self._table("scanned", self.SCANNED).filter(F.col("rules") == self.version).select("digest"), "digest", "left_anti")
 
     def scan(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Scans what is unseen and returns ``digest, copies`` of all blobs of ``versions``.
@@ -98,20 +121,16 @@ class BlobLedger:
         """
         keyed = self.keyed(versions, id_col, text_col)
         blobs = stored(keyed.groupBy("digest").agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("copies")), "blobs")
-        fresh = self.unseen(blobs.select("digest", "_id"))
+        fresh = stored(self.unseen(blobs.select("digest", "_id")), "fresh")
+        if fresh.isEmpty():
+            return blobs
         texts = keyed.join(fresh, (keyed["_id"].eqNullSafe(fresh["_id"])) & (keyed["digest"] == fresh["digest"])).select(
             keyed["digest"], "_text"
         )
-        if self.may_match:
-            texts = texts.filter(F.col("_text").rlike(self.may_match))
-        found = texts.mapInArrow(scanner(self.rules), "digest binary, kind string, start bigint, end bigint").distinct()
-        found = stored(found.withColumn("rules", F.lit(self.version)), "findings")
-        new = fresh.select("digest", F.lit(self.version).alias("rules"))
-        if self.scanned is None:
-            self.scanned, self.findings = stored(new, "scanned"), found
-        else:
-            self.scanned = self.scanned.unionByName(stored(new, "scanned"))
-            self.findings = self.findings.unionByName(found)
+        if (may := may_match(self.rules)) is not None:
+            texts = texts.filter(F.col("_text").rlike(may))
+        self._append("findings", texts.mapInArrow(scanner(self.rules), "digest binary, kind string, start bigint, end bigint").distinct())
+        self._append("scanned", fresh.select("digest"))
         return blobs
 
     @staticmethod
@@ -126,7 +145,7 @@ class BlobLedger:
 
         A blob's spans are bounded by its own length."""
         kinds = F.array(*[F.lit(r[0]) for r in self.rules])
-        own = self.findings.filter(F.col("rules") == self.version)
+        own = self._table("findings", self.FINDINGS).filter(F.col("rules") == self.version).distinct()
         span = F.struct("start", F.array_position(kinds, F.col("kind")).alias("rank"), "end", "kind")
         return own.groupBy("digest").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
@@ -137,7 +156,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty and has no spans; long texts are scanned whole.
     Repeated rows and copies are reported each from one scan of their blob;
     rows that share an id keep their own texts' findings. Extra columns aren't
-    read; an empty table gives an empty result.
+    read; an empty table gives an empty result. Without a ``ledger`` a new one
+    is begun in the shared folder, and every blob is unseen.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     blobs = ledger.scan(docs, id_col, text_col)

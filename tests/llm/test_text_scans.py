@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from kinweave.llm.decontaminate import Index, find_leaks
-from kinweave.llm.licenses import scan_licenses
-from kinweave.llm.secrets import BASE_RULES, RULES, BlobLedger, scan_secrets, spans_of
+from kinweave.llm.licenses import SLACK, TEMPLATES, scan_licenses
+from kinweave.llm.secrets import BASE_RULES, RULES, BlobLedger, may_match, scan_secrets, spans_of
 from tests.llm.helpers import ODD_TEXTS, odd_docs
 
 SECRETS = [
@@ -16,7 +18,7 @@ SECRETS = [
 
 def brute_base(text):
     out = []
-    for rank, (kind, pattern, any_case, group, least) in enumerate(BASE_RULES):
+    for rank, (kind, pattern, any_case, group, least, _) in enumerate(BASE_RULES):
         if any_case:
             pattern = re.sub(r"[a-z](?![^\[]*\])", lambda m: f"[{m[0]}{m[0].upper()}]", pattern.replace(r"\x20", " "))
         out += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
@@ -39,18 +41,71 @@ def test_secrets(spark):
     assert scan_secrets(df.limit(0)).count() == 0
 
 
-def test_ledger_scans_only_what_is_unseen(spark):
-    first = spark.createDataFrame([(1, SECRETS[0]), (2, "nothing"), (3, SECRETS[0])], "doc_id bigint, text string")
-    ledger = BlobLedger(spark)
-    scan_secrets(first, ledger=ledger)
+def test_ledger_scans_only_what_is_unseen(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    files = lambda: len(list((tmp_path / "ledger" / "findings").rglob("part-*")))
+    schema = "path string, text string"
+    first = spark.createDataFrame([("a", SECRETS[0]), ("b", "nothing"), ("c", SECRETS[0])], schema)
+    scan = lambda df, ledger: {r["path"]: r["spans"] for r in scan_secrets(df, "path", ledger=ledger).collect()}
+    scan(first, BlobLedger(spark, path))
+    # Opened again, it holds what was scanned.
+    ledger = BlobLedger(spark, path)
     assert ledger.scanned.count() == 2 and ledger.findings.select("digest").distinct().count() == 1
-    later = spark.createDataFrame([(1, SECRETS[0]), (9, SECRETS[3])], "doc_id bigint, text string")
-    fresh = ledger.unseen(BlobLedger.keyed(later, "doc_id", "text").select("digest"))
-    assert fresh.count() == 1
-    got = {r["doc_id"]: r["spans"] for r in scan_secrets(later, ledger=ledger).collect()}
-    assert got[1] and got[9] and ledger.scanned.count() == 3
-    # All blobs are unseen under other rules.
-    assert ledger.with_rules(RULES[:1]).unseen(ledger.scanned.select("digest")).count() == 3
+    later = spark.createDataFrame([("a", SECRETS[0]), ("z", SECRETS[3]), ("y", SECRETS[3])], schema)
+    assert ledger.unseen(BlobLedger.keyed(later, "path", "text").select("digest").distinct()).count() == 1
+    got = scan(later, ledger)
+    assert got["a"] and got["z"] == got["y"] != "" and BlobLedger(spark, path).scanned.count() == 3
+    assert got == scan(later, None)
+    # A third scan of the same versions reads and writes nothing new.
+    n = files()
+    assert scan(later, BlobLedger(spark, path)) == got and files() == n and BlobLedger(spark, path).scanned.count() == 3
+
+
+def test_ledger_under_other_rules(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*SECRETS, SECRETS[0], None])], "doc_id bigint, text string")
+    old = {r["doc_id"]: r["spans"] for r in scan_secrets(df, ledger=BlobLedger(spark, path)).collect()}
+    plain = ("digits", r"[0-9]+", False, 0, 5, None)
+    ledger = BlobLedger(spark, path).with_rules([*RULES, plain])
+    n = len(SECRETS) + 1
+    assert ledger.unseen(ledger.scanned.select("digest")).count() == n and may_match(ledger.rules) is None and may_match(RULES)
+    new = {r["doc_id"]: r["spans"] for r in scan_secrets(df, ledger=ledger).collect()}
+    assert ledger.scanned.count() == 2 * n and any("digits" in x for x in new.values())
+    for i in old:
+        assert [x for x in new[i].split(",") if not x.startswith("digits")] == old[i].split(",")
+    # The old version's findings stand.
+    assert {r["doc_id"]: r["spans"] for r in scan_secrets(df, ledger=BlobLedger(spark, path)).collect()} == old
+
+
+def test_scan_that_failed_before_its_blobs_counted(spark, tmp_path):
+    df = spark.createDataFrame([(1, SECRETS[0]), (2, SECRETS[3])], "doc_id bigint, text string")
+    want = {r["doc_id"]: r["spans"] for r in scan_secrets(df).collect()}
+    ledger = BlobLedger(spark, str(tmp_path / "ledger"))
+    append = ledger._append
+
+    def fail(name, rows):
+        if name == "scanned":
+            raise OSError("lost")
+        append(name, rows)
+
+    ledger._append = fail
+    with pytest.raises(OSError):
+        ledger.scan(df)
+    assert ledger.scanned.count() == 0 and ledger.findings.count() > 0
+    assert {r["doc_id"]: r["spans"] for r in scan_secrets(df, ledger=BlobLedger(spark, ledger.path)).collect()} == want
+
+
+def test_more_kinds_equal_plain_searches(spark):
+    r = random.Random(3)
+    parts = ["ghp_" + "a1" * 18, "ghs_short", "xoxb-" + "12ab" * 5, "xoxb-1", "-----BEGIN PRIVATE KEY-----", "-----BEGIN RSA PUBLIC KEY-----", "eyJa.eyJb.c",
+             "eyJ" + "x" * 20 + ".eyJ" + "y" * 20 + ".zz", "AKIA" + "Z" * 16, "é", " ", "\n", "token=abcdefgh"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randrange(12)))) for i in range(200)]
+    got = {x["doc_id"]: x["spans"] for x in scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    kinds = {"github": ("gh[pousr]_[A-Za-z0-9]{36,}", 0), "slack": ("xox[abprs]-[A-Za-z0-9-]{15,}", 0), "pem": ("-----BEGIN (?:[A-Z ]*)PRIVATE KEY-----", 0)}
+    for i, text in rows:
+        for kind, (pattern, _) in kinds.items():
+            want = [f"{kind}:{m.start()}:{m.end()}" for m in re.finditer(pattern, text)]
+            assert [x for x in got[i].split(",") if x.startswith(kind)] == want, text
 
 
 def test_spans_do_not_overlap_within_a_kind():
@@ -82,13 +137,101 @@ def test_wrapped_notices(spark):
         3: "a b\nPermission is\nhereby granted, free\n\nof charge, to any\nperson obtaining\na copy of this software", 4: "Released under\n" + "word " * 20 + "\nthe MIT\nLicense",
         5: "Released under\nthe MIT", 6: "This Source Code Form is subject to the\nterms of the Mozilla Public License",
     }
-    df = spark.createDataFrame([*texts.items(), (7, texts[1]), (7, "Released\n" * 9), (None, texts[1])], "doc_id bigint, text string")
-    got = {(r["doc_id"], r["text_words"]): r for r in scan_licenses(df).withColumnRenamed("n_words", "text_words").collect()}
+    df = spark.createDataFrame([*texts.items(), (7, texts[1]), (7, "Released\n" * 9), (None, texts[1]), (None, "")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"]): r for r in scan_licenses(df).collect()}
     by = {i: r for (i, _), r in got.items()}
-    assert len(got) == 9 and by[1]["labels"] == by[7]["labels"] == "bsd" and by[1]["score"] == 1.0
-    assert "gpl-3" in by[2]["labels"].split(",") and by[2]["score"] == 1.0
+    assert len(got) == 10 and by[1]["labels"] == "bsd" and by[1]["score"] == 1.0
+    assert (by[2]["labels"], by[2]["score"]) == ("gpl-3", 1.0)
     assert (by[3]["labels"], by[3]["score"], by[6]["labels"], by[6]["score"]) == ("mit", 1.0, "mpl-2", 1.0)
-    assert by[4]["labels"] == by[5]["labels"] == by[None]["labels"] == "" and by[4]["score"] == 0
+    assert by[4]["labels"] == by[5]["labels"] == "" and by[4]["score"] == 0
+    # Each row by its own text, whatever its id.
+    n = by[1]["n_words"]
+    assert got[7, n]["labels"] == got[None, n]["labels"] == "bsd" and got[7, 9]["labels"] == got[None, 0]["labels"] == ""
+
+
+NOTICES = {
+    "agpl-3": ["This program is licensed under the GNU Affero General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or later."],
+    "apache-2": ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that:"],
+    "bsl-1": ["Distributed under the Boost Software License, Version 1.0."],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc0-1": ["has waived all copyright and related or neighboring rights to this work"],
+    "epl-2": ["are made available under the terms of the Eclipse Public License 2.0"],
+    "gpl-2": ["It is licensed under the GNU General Public License, version 2.", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or later"],
+    "gpl-3": ["It is licensed under the GNU General Public License, version 3.", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or later"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"],
+    "lgpl-2.1": ["licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl-3": ["licensed under the GNU Lesser General Public License, version 3"],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and documentation"],
+    "mpl-2": ["Licensed under the Mozilla Public License, Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it"],
+}
+
+
+def plain_labels(text):
+    """Labels and score by trying every template on every block, without any filter."""
+    cut = lambda t: [w for w in re.split("[^a-z0-9\x80-\U0010ffff]", t.translate({c: c + 32 for c in range(65, 91)})) if w]
+    holds = lambda block, phrase: any(block[i : i + len(phrase)] == phrase for i in range(len(block)))
+    lines = [cut(line) for line in text.split("\n")]
+    flat = [(w, i) for i, line in enumerate(lines) for w in line]
+    found = {}
+    for label, notice, phrase in TEMPLATES:
+        want, phrase = set(cut(notice)), cut(phrase)
+        far = max(len(cut(n)) - len(phrase) + SLACK for _, n, p in TEMPLATES if cut(p) == phrase)
+        blocks = [line for line in lines if holds(line, phrase)]
+        for i in range(len(flat)):
+            around = flat[max(0, i - far) : i + len(phrase) + far]
+            if [w for w, _ in flat[i : i + len(phrase)]] == phrase and around[0][1] != around[-1][1]:
+                blocks.append([w for w, _ in around])
+        for block in blocks:
+            share = len(want & set(block)) / len(want)
+            if share >= 0.85 - 1e-9:
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_near_licences_are_told_apart(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for label, notices in NOTICES.items():
+        for notice in notices:
+            w = notice.split(" ")
+            at = r.randrange(1, len(w))
+            two = r.randrange(1, len(w))
+            wrapped = ["\n * ".join((" ".join(w[:k]), " ".join(w[k:]))) for k in (at, two)]
+            for text in (notice, notice.upper(), "some words before\n" + notice + "\nand after", *wrapped, "\n\n// ".join(w)):
+                want[len(rows)] = label
+                rows.append((len(rows), text))
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want and len(set(want.values())) >= 12
+
+
+def test_licences_equal_plain_search(spark):
+    """Notices cut, shuffled, mixed and wrapped at random."""
+    r = random.Random(12)
+    notices = [n for own in NOTICES.values() for n in own]
+    rows = []
+    for i in range(300):
+        out = []
+        for notice in r.sample(notices, r.randrange(1, 4)):
+            w = notice.split(" ")
+            for _ in range(r.randrange(4)):
+                p = r.randrange(len(w))
+                w[p : p + 1] = r.choice([[], [w[p], "odd"], ["odd"], [w[p], w[r.randrange(len(w))]]])
+            out += w
+        rows.append((i, "".join(x + r.choice([" "] * 6 + ["\n", ", ", "\n\n"]) for x in out)))
+    got = {x["doc_id"]: (x["labels"], x["score"], x["n_base"], x["base_labels"]) for x in scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hits = 0
+    for i, text in rows:
+        found = plain_labels(text)
+        labels, score, n_base, base = got[i]
+        assert labels == ",".join(sorted({*found, *filter(None, base.split(","))})), text
+        assert score == (1.0 if n_base else max(found.values(), default=0.0))
+        hits += len(found)
+    assert hits > 100
 
 
 def test_leaks(spark):
@@ -146,3 +289,62 @@ def test_short_items_have_their_full_budget():
         hits += bool(got) and m // 10 > max(0, m // 8 - 1)
     assert hits > 5
     assert [x[1:4] for x in Index([(1, "tiny q")]).search("tiny q, tiny q")] == [(0, 6, 0), (8, 14, 0)]
+
+
+def least_edits(item, text):
+    """Edits of ``item`` against its best stretch of ``text``, by a bit for each row of the full table."""
+    at, full, top = {}, (1 << len(item)) - 1, 1 << (len(item) - 1)
+    for i, c in enumerate(item):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, score, best = full, 0, len(item), len(item)
+    for c in text:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (~(x | up) & full), up & x
+        score += bool(more & top) - bool(less & top)
+        best = min(best, score)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (~(eq | down | more) & full), more & (eq | down)
+    return best
+
+
+def test_leaks_with_edits_equal_a_full_table(spark):
+    r = random.Random(21)
+    sf_dir = "/root/testdata/sf0.001"
+    items = [(x["item_id"], " ".join(x["text"].lower().split())) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(15).collect()]
+    docs = [x["text"] for x in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) between 100 and 900").orderBy("doc_id").limit(40).collect()]
+    rows = []
+    for i, text in enumerate(docs):
+        _, item = r.choice(items)
+        copy = list(item)
+        for _ in range(r.randrange(len(item) // 10 + 4)):
+            p = r.randrange(len(copy))
+            copy[p : p + 1] = r.choice([[], [copy[p], "z"], ["z"]])
+        cut = r.randrange(len(text))
+        rows.append((i, text[:cut] + "".join(copy) + text[cut:]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for x in find_leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect():
+        got[x["doc_id"], x["item_id"]] = min(got.get((x["doc_id"], x["item_id"]), 999), x["edits"])
+    want = {}
+    for i, text in rows:
+        for item_id, item in items:
+            edits = least_edits(item, " ".join(text.lower().split()))
+            if edits <= len(item) // 10:
+                want[i, item_id] = edits
+    assert got == want and len(want) > 15 and len(set(want.values())) > 4
+
+
+def test_leaks_of_odd_rows(spark):
+    item = "the quick brown fox jumps over the lazy dog and then it rests under the old oak tree"
+    long = "some other words " * 30_000 + item.upper() + " and " + item[:40] + "x" + item[41:]
+    rows = [(1, item), (1, item), (None, item), (None, item), (2, long), (3, None), (4, ""), (5, " \n "), (6, item[:30])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS item_id", "1 AS start", "2 AS edits")
+    benchmark = spark.createDataFrame([(7, item), (7, item), (8, None), (None, item)], "item_id bigint, text string").selectExpr("*", "1 AS doc_id")
+    got = sorted((x["doc_id"] or 0, x["item_id"] or 0, x["start"], x["end"], x["edits"]) for x in find_leaks(df, benchmark).collect())
+    n = len(item)
+    first = 17 * 30_000
+    second = first + n + 5
+    places = [(0, 0, n, 0)] * 2 + [(1, 0, n, 0)] * 2 + [(2, first, first + n, 0), (2, second, second + n, 1)]
+    # Each row of the benchmark is an item of its own.
+    assert got == sorted((d, i, s, e, k) for d, s, e, k in places for i in (0, 7, 7))

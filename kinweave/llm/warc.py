@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,17 +42,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            bodies = [(x or "").encode() if not isinstance(x, bytes) else x for x in part.column("body").to_pylist()]
+            bodies = part.column("body").to_pylist()
+            digests = [hashlib.sha256(b).digest() for b in bodies]
+            if digests != part.column("digest").to_pylist():
+                raise ValueError("a payload doesn't match its digest")
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("page_id"),
-                    part.column("url"),
-                    pa.array([hashlib.sha256(b).digest() for b in bodies], pa.binary()),
-                    pa.array([hashlib.sha1(b).hexdigest() for b in bodies]),
-                    pa.array([len(b) for b in bodies], pa.int64()),
-                    pa.array([packer.compress(b) for b in bodies], pa.binary()),
-                ],
-                ["page_id", "url", "digest", "sha1", "n_bytes", "packed"],
+                [part.column("page_id"), part.column("digest"), part.column("n_bytes"), pa.array([packer.compress(b) for b in bodies], pa.binary())],
+                ["page_id", "digest", "n_bytes", "packed"],
             )
 
 
@@ -77,30 +74,38 @@ def write_archive(
     """One record per row. Of equal payloads of at least ``revisit_from`` bytes
     the record with the largest id is the response and the others revisit it.
 
-    A null body is an empty payload; a null id never wins over another; rows that share both the largest id and
-    the payload are all responses. Extra columns aren't read.
+    The body is text, stored in UTF-8, or binary, stored as it is. A null body
+    is an empty payload, of any length one is stored whole; a null id never wins
+    over another; rows that share both the largest id and the payload are all
+    responses, repeated rows are a record each. Extra columns aren't read; an
+    empty table gives an empty archive.
+
+    Payloads are packed once. The headers need only their digests and sizes,
+    which are taken without unpacking anything.
     """
     spark = pages.sparkSession
     named = bounded_batches(columns_only(pages, id_col, url_col, body_col)).toDF("page_id", "url", "body")
-    packed = named.mapInArrow(
-        _pack, f"page_id {dict(named.dtypes)['page_id']}, url string, digest binary, sha1 string, n_bytes bigint, packed binary"
+    body = F.coalesce(F.col("body").cast("binary"), F.lit(b""))
+    named = named.select("page_id", "url", body.alias("body")).withColumns(
+        {"digest": F.unhex(F.sha2("body", 256)), "n_bytes": F.octet_length("body").cast("bigint")}
+    )
+    packed = named.select("page_id", "digest", "n_bytes", "body").mapInArrow(
+        _pack, f"page_id {dict(named.dtypes)['page_id']}, digest binary, n_bytes bigint, packed binary"
     )
     place = scratch(spark, "warc")
     # Combined in each task first, so a task sends a payload once however often it has it.
-    same = F.assert_true(F.min("n_bytes") == F.max("n_bytes"), "two payloads share a digest")
     per_payload = packed.groupBy("digest").agg(
         F.any_value("packed").alias("packed"),
         F.max("page_id").alias("holder"),
         F.count(F.lit(1)).alias("records"),
         F.max("n_bytes").alias("size"),
-        same.alias("_same"),
-        F.assert_true(F.min("sha1") == F.max("sha1"), "two payloads share a digest").alias("_same_too"),
+        F.assert_true(F.min("n_bytes") == F.max("n_bytes"), "two payloads share a digest").alias("_same"),
     )
     per_payload.write.parquet(f"{place}/payloads")
     kept = spark.read.parquet(f"{place}/payloads")
     slim = kept.select("digest", "holder", "records")
     total = slim.agg(F.sum("records")).first()[0] or 0
-    records = packed.select("page_id", "url", "digest", "sha1", "n_bytes")
+    records = named.select("page_id", "url", "digest", F.sha1("body").alias("sha1"), "n_bytes")
     typed = join_per_key(records, slim, "digest", "records", total)
     revisits = (F.col("n_bytes") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("holder"))
     record_type = F.when(revisits, F.lit("revisit")).otherwise(F.lit("response"))
@@ -123,7 +128,8 @@ def reconstruct(archive: Archive) -> DataFrame:
     """``page_id, header, refers_to, digest, packed``: every record with its payload.
 
     A payload that many records share is joined in as many copies as its
-    records need, so none of them meet in one task.
+    records need, so none of them meet in one task. Null ids and empty payloads
+    come back as they were; an empty archive has no records.
     """
     return archive.headers.join(archive.payloads, ["digest", "copy"])
 
@@ -159,32 +165,43 @@ def read_records(archive: Archive) -> DataFrame:
     return records.mapInArrow(_read, schema)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         for header, packed in zip(batch.column("header").to_pylist(), batch.column("packed").to_pylist(), strict=True):
             body = b"" if "WARC-Type: revisit" in header else unpacker.decompress(packed)
-            yield pa.RecordBatch.from_arrays([pa.array([header + body.decode()])], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([header.encode() + body], pa.binary())], ["value"])
 
 
 def write_warc(archive: Archive, path: str, records_per_file: int = 10_000) -> None:
     """Standard WARC files, gzipped, by Spark's own text sink: its line end is
-    the two line breaks that end a record."""
-    texts = reconstruct(archive).select("header", "packed").mapInArrow(_texts, "value string")
+    the two line breaks that end a record.
+
+    The sink writes a string's bytes as they are, so payloads that aren't UTF-8
+    go through unchanged. Revisits have no body; an empty archive writes no record.
+    """
+    records = reconstruct(archive).select("header", "packed").mapInArrow(_records, "value binary")
     options = {"lineSep": CRLF + CRLF, "compression": "gzip", "maxRecordsPerFile": records_per_file}
-    texts.write.options(**options).text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.options(**options).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """``header, body`` of each record of a file's bytes; gzip members are joined."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at) + 4
-        header = data[at:end].decode()
+    """``header, body`` of each record of a file's bytes, gzipped or not, one record at a time; gzip members are joined."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := stream.readline():
+        lines = [line]
+        while line not in (b"\r\n", b""):
+            line = stream.readline()
+            lines.append(line)
+        if line == b"":
+            raise ValueError("a record's header has no end")
+        header = b"".join(lines).decode()
         size = int(_field(header, "Content-Length") or 0)
-        yield header, data[end : end + size]
-        at = end + size + 4
+        body = stream.read(size)
+        if len(body) != size:
+            raise ValueError("a record is cut off")
+        yield header, body
+        stream.read(4)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +215,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``header, record_type, url, body`` of WARC files, a file per task at a time."""
+    """``header, record_type, url, body`` of WARC files.
+
+    A task holds a file as it is stored and one record of it at a time. A file
+    that is cut off is an error; an empty file has no records.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_parse, "header string, record_type string, url string, body binary")
-

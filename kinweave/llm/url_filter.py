@@ -98,7 +98,7 @@ def markov_ratio(spark: SparkSession, counts: DataFrame) -> DataFrame:
         own = counts.filter(F.col("verdict") == verdict)
         estimate: Column = F.lit(1.0 / size)
         for order in (0, 1, 2):
-            context = F.substring("gram", 3 - order, order) if order else F.lit("")
+            context = F.substring("gram", 3 - order, order)  # empty for order 0, but not a constant: its join is by key too
             tail = F.substring("gram", 3 - order, order + 1)
             pair, ctx, n = f"_p{order}", f"_c{order}", f"{verdict}{order}"
             pairs = own.groupBy(tail.alias(pair)).agg(F.sum("n").alias(f"n_{n}"))

@@ -215,7 +215,7 @@ class Index:
                 best.setdefault(o, []).append((aligned[0], lo + aligned[1], lo + aligned[2], n))
         for o, places in best.items():
             found += [(self.items[o][0], start, end, edits, n) for edits, start, end, n in apart(places)]
-        return sorted(found, key=lambda x: (x[1], x[0]))
+        return sorted(found, key=lambda x: (x[1], x[0] is not None, x[0] or 0))
 
 
 def original_places(text: str) -> np.ndarray:

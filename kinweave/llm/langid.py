@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import bounded_batches, columns_only
+from kinweave.llm.common import bounded_batches, columns_only, stored
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
@@ -29,13 +29,17 @@ FILTERS = 12
 SAMPLE = 8000
 EPOCHS = 12
 UNDECIDED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is of the Unicode category L, as ``isalpha`` has it."""
+    return any(map(str.isalpha, text))
+
+
 def to_bytes(text: str) -> np.ndarray:
     """Lower-cased UTF-8; digits are one symbol, white space another."""
     folded = re.sub(r"\s+", " ", re.sub(r"\d", "0", text.lower()))
@@ -127,23 +131,25 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """At most ``size`` pairs of label and text part, about as many for each label.
 
     Rows are chosen by a hash of their id, parts by another, so the choice
-    doesn't depend on partitions. Held-out rows aren't read.
+    doesn't depend on partitions. Held-out rows aren't read. More labels than
+    ``size`` are an error, so what reaches the driver is bounded by it.
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return []
-    each = max(1, size // len(counts))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, each / n))).otherwise(share)
+    usable = usable.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.col(lang_col).alias("lang"))
+    counts = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "labels")
+    labels = counts.count()
+    if labels > size:
+        raise ValueError(f"{labels} labels are more than the {size} texts of a sample")
+    each = max(1, size // max(1, labels))
+    usable = usable.join(F.broadcast(counts), "lang")  # at most ``size`` rows
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("_n"))
     h = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     length = F.length(text_col)
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(length - 60, F.lit(1))) + 1
     part = F.substring(F.col(text_col), start.cast("int"), F.lit(2 * WINDOW))
-    chosen = usable.filter(h < share).select(F.col(lang_col).alias("lang"), part.alias("part"), F.xxhash64(id_col).alias("h"))
+    chosen = usable.filter(h < share).select("lang", part.alias("part"), F.xxhash64(id_col).alias("h"))
     rows = chosen.orderBy("h", "lang", "part").limit(size).collect()
-    return [(r["lang"], r["part"]) for r in rows if _LETTER.search(r["part"])]
+    return [(r["lang"], r["part"]) for r in rows if has_letter(r["part"])]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SAMPLE) -> Network | None:
@@ -167,7 +173,7 @@ def _predictor(net: Network | None):
         names, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
         if net is None:
             return names, scores
-        kept = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        kept = [i for i, t in enumerate(texts) if t and has_letter(t)]
         total = np.zeros((len(kept), len(net.labels)), np.float64)
         weight = np.zeros(len(kept), np.float64)
         part_x, part_of, part_held, rows = [], [], [], 0

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import stored, table
+from kinweave.llm.common import MADE, remove_made, stored, table
 from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
 from kinweave.llm.langid import UNDECIDED, fit, identify
@@ -53,7 +53,10 @@ def _lost(decided: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays, once if its row is repeated."""
+    """Of equal texts the document with the largest id stays, once if its row is repeated.
+
+    A null text equals an empty one. Rows without an id stay; texts of any
+    length are compared whole; an empty table stays empty."""
     decided = exact_dedup(docs)
     left = _without(docs, _lost(decided))
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
@@ -65,12 +68,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles at 0.8, the one with the smallest id stays."""
+    """Of texts linked by five-word shingles at 0.8, the one with the smallest id stays.
+
+    Texts without a word and rows without an id stay; texts of any length are
+    compared whole, rows that share an id each by its own text, an id goes if
+    none of its rows is kept; an empty table stays empty."""
     return _without(docs, _lost(near_duplicates(docs, k=5, percent=80)))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its edit budget go."""
+    """Documents that hold a benchmark item within its edit budget go, with all rows of their id.
+
+    Null and empty texts hold none, texts are searched whole, rows without an
+    id stay; an empty table or benchmark changes nothing."""
     return _without(docs, find_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
@@ -95,9 +105,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents. What a stage has written besides its result is
+    removed when the result stands, and the result when the next one does."""
+    docs, before = table(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_made(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

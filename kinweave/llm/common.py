@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.plans.lineage import shared_root
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -16,22 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has made, in order.
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) is a local folder made and set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    local folder is made if all tasks run in this process (tests, a laptop);
+    on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="kinweave-")
-        spark.sparkContext.setCheckpointDir(root)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get()
-    return f"{root.rstrip('/')}/kinweave-{purpose}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_root(spark).rstrip('/')}/kinweave-{purpose}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def remove_made(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Removes the folders made after the first ``since``, but for the last ``keep``.
+
+    Results that read them must have been written or used by then."""
+    gone = MADE[since : len(MADE) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        MADE.remove(path)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

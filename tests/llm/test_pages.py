@@ -167,8 +167,8 @@ def test_the_nearest_page_shares_the_longest_beginning(spark):
         wanted = {"\n".join(x for k, x in enumerate(lists[i]) if k not in common_lines(lists[i], lists[j])) for j in nearest}
         assert got[i] in wanted, (paths[i], got[i], wanted)
     assert all(got[50 + i] == "all\nof each host" for i in range(8))
-    # The page before in the order of paths is /a/x here, the nearest is /b/2.
-    assert got[1] == "own 1"
+    # The page before in the order of paths is /a/x here, the nearest is /b/2, with which more lines are shared.
+    assert got[1] == "deep /b/1\nown 1"
 
 
 def test_a_page_that_very_many_copies_share(spark):

@@ -1,9 +1,12 @@
 """Registered queries against their SQL on the smallest tables, and the pipeline against brute force."""
 
+import hashlib
+
 import pytest
 
 import corpus_pipeline
 from kinweave.llm import queries as q
+from kinweave.llm.common import MADE
 from tests.llm.helpers import brute_components, odd_docs
 from tests.test_queries import same
 
@@ -24,8 +27,14 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     top = brute_components(left, 5, 80)
     left = {i: t for i, t in left.items() if top[i] == i}
     left = {i: t for i, t in left.items() if not any(b in " ".join(t.lower().split()) for b in items)}
-    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
-    assert set(got) == set(left) and all(n > 0 for n in got.values())
+    before = len(MADE)
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert set(got) == set(left) and all(r["n_tokens"] == len(r["ids"]) > 0 for r in got.values())
+    assert all(got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in left.items())
+    # Of what the stages wrote, only the last one's input is left.
+    assert len(MADE) == before + 1 and "stage-decontaminate" in MADE[-1]
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=q.MODEL_FILE)
+    assert {i: r["ids"] for i, r in got.items()} == dict(zip(left, library.encode(list(left.values())), strict=True))
 
 
 def test_stages_stand_odd_tables(spark, sf_dir):
@@ -35,5 +44,7 @@ def test_stages_stand_odd_tables(spark, sf_dir):
             out = stage(spark, table, sf_dir)
             assert out.columns == corpus_pipeline.COLUMNS and out.count() <= table.count()
         assert corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).count() == table.count()
+    with_null = docs.union(docs.filter("doc_id is null"))
+    assert corpus_pipeline.exact_duplicates(spark, with_null, sf_dir).filter("doc_id is null").count() == 2
     kept = [r["doc_id"] for r in corpus_pipeline.exact_duplicates(spark, docs, sf_dir).collect()]
     assert len(kept) == len(set(kept)) and None in kept

@@ -61,22 +61,6 @@ def parsed_follows(spark, sf_dir):
     return ing.follows_of(ing.latest_per_author(fx.event_objects(spark, sf_dir)))
 
 
-MALFORMED = [
-    ("a" * 64, [["p", "B" * 64], ["p", "b" * 64], ["p"], ["p", "invalid"], ["e", "c" * 64], ["p", "d" * 64, "wss://relay", "name"], []]),
-    ("C" * 64, [["p", "e" * 64]]),
-    ("f" * 64, [["P", "e" * 64], ["p", "e" * 63 + "g"], ["p", "e" * 65]]),
-]
-
-
-@query(
-    "SELECT * FROM (VALUES (repeat('a', 64), repeat('b', 64), 1::BIGINT), (repeat('a', 64), repeat('d', 64), 1::BIGINT), "
-    "(repeat('C', 64), repeat('e', 64), 1::BIGINT)) AS t(follower_pubkey, followed_pubkey, created_at)"
-)
-def malformed_tags(spark, sf_dir):
-    rows = [(k, 1, 3, t) for k, t in MALFORMED]
-    return ing.follows_of(spark.createDataFrame(rows, "pubkey string, created_at bigint, kind int, tags array<array<string>>"))
-
-
 def _halves(spark, sf_dir):
     events = fx.order_events(spark, sf_dir)
     return events.filter(F.col("created_at") < EPOCH_OF_SPLIT), events.filter(F.col("created_at") >= EPOCH_OF_SPLIT)
@@ -215,25 +199,13 @@ def users_within_distance(spark, sf_dir):
     return found.select(F.col("node").alias("pubkey")).orderBy("pubkey")
 
 
-@query(
-    HEAD + """,
-s AS (SELECT DISTINCT follower_pubkey AS source FROM e WHERE follower_pubkey % 7 = 0),
-w(source, node, d) AS (SELECT source, source, 0 FROM s UNION SELECT w.source, e.followed_pubkey, d + 1 FROM w JOIN e ON e.follower_pubkey = w.node WHERE d < 3)
-SELECT source, node, min(d) AS distance FROM w GROUP BY source, node HAVING min(d) > 0"""
-)
-def within_distance_multi(spark, sf_dir):
-    """A search from every seventh follower only; ``within_distance_all`` searches from all."""
-    edges = fx.cached_edges(spark, sf_dir)
-    sources = edges.select(F.col("follower_pubkey").alias("source")).filter("source % 7 = 0").distinct()
-    return trav.within(edges, sources, 3)
-
-
 @query(
     HEAD + """,
 w(source, node, d) AS (SELECT DISTINCT follower_pubkey, follower_pubkey, 0 FROM e UNION SELECT w.source, e.followed_pubkey, d + 1 FROM w JOIN e ON e.follower_pubkey = w.node WHERE d < 3)
 SELECT source, node, min(d) AS distance FROM w GROUP BY source, node HAVING min(d) > 0"""
 )
 def within_distance_all(spark, sf_dir):
+    """From every follower."""
     edges = fx.cached_edges(spark, sf_dir)
     return trav.within(edges, edges.select(F.col("follower_pubkey").alias("source")).distinct(), 3)
 
@@ -278,24 +250,6 @@ def shortest_distance_contract(spark, sf_dir):
     return found.select("target", F.explode(depths).alias("m")).select("m.max_depth", "target", "m.distance")
 
 
-@query(
-    HEAD + f""",
-w(node, d, path) AS (SELECT {ROOT}::BIGINT, 0, [{ROOT}::BIGINT] UNION ALL
-  SELECT e.followed_pubkey, d + 1, list_append(path, e.followed_pubkey) FROM w JOIN e ON e.follower_pubkey = w.node
-  WHERE d < 4 AND NOT list_contains(path, e.followed_pubkey))
-SELECT node AS target, min(d) AS distance, array_to_string(arg_min(path, (d, path)), '>') AS path FROM w GROUP BY node"""
-)
-def shortest_path(spark, sf_dir):
-    """Paths of up to 4 levels only, as far as this SQL enumerates; ``shortest_path_all`` goes to DEPTH."""
-    return _paths(spark, sf_dir, 4)
-
-
-def _paths(spark, sf_dir, levels):
-    found = trav.single(fx.cached_edges(spark, sf_dir), ROOT, levels, with_path=True)
-    as_text = F.concat_ws(">", F.col("path").cast("array<string>"))
-    return found.select(F.col("node").alias("target"), "distance", as_text.alias("path"))
-
-
 def _paths_sql() -> str:
     """A level at a time, one smallest path per node: enumerating all paths isn't feasible this deep."""
     parts = [f"{HEAD},\ns0 AS (SELECT {ROOT}::BIGINT AS node, 0 AS d, [{ROOT}::BIGINT] AS path)"]
@@ -309,7 +263,9 @@ def _paths_sql() -> str:
 @query(_paths_sql())
 def shortest_path_all(spark, sf_dir):
     """Paths to every node within DEPTH levels of the root."""
-    return _paths(spark, sf_dir, DEPTH)
+    found = trav.single(fx.cached_edges(spark, sf_dir), ROOT, DEPTH, with_path=True)
+    as_text = F.concat_ws(">", F.col("path").cast("array<string>"))
+    return found.select(F.col("node").alias("target"), "distance", as_text.alias("path"))
 
 
 PAIR_DEPTH = 4

@@ -37,7 +37,8 @@ def test_frames_are_validated(spark):
 
 
 def test_tags(spark):
-    tags = [["p"], ["p", "bad"], ["e", FIATJAF], [], ["p", FIATJAF.upper(), "wss://x", "name"], ["p", FIATJAF], ["p", SNOWDEN], "x", [1, 2]]
+    tags = [["p"], ["p", "bad"], ["e", FIATJAF], [], ["p", FIATJAF.upper(), "wss://x", "name"], ["p", FIATJAF], ["p", SNOWDEN], "x", [1, 2],
+            ["P", SIRIUS], ["p", SIRIUS[:63] + "g"], ["p", SIRIUS + "0"]]
     assert edges_after(spark, [event(ADAM, [], tags=tags)]) == {(ADAM, FIATJAF), (ADAM, SNOWDEN)}
     assert edges_after(spark, [event(ADAM, [])]) == set()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from kinweave.llm.common import table
 from kinweave.llm.decontaminate import find_leaks
 from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.filter_audit import audit_filters
 from kinweave.llm.html_text import extract_text
+from kinweave.llm.kmeans import lloyd
 from kinweave.llm.langid import fit, identify, is_held_out
 from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, reaches, scan_licenses, template_sets
 from kinweave.llm.near_dedup import near_duplicates
@@ -69,6 +72,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP10_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -192,6 +203,58 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
+def op11_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds, unrolled."""
+    parts = [f"""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY d) - 1 AS cluster, q AS c FROM (SELECT sha256('3:' || vec_id) AS d, q FROM v ORDER BY d LIMIT {k}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""far{i} AS (
+  SELECT vec_id, q, cluster, cast(list_sum(list_transform(range(1, {dims + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) AS BIGINT) AS distance FROM v CROSS JOIN c{i}),
+a{i} AS MATERIALIZED (SELECT vec_id, q, cluster, distance FROM far{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT cluster, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, LATERAL (SELECT unnest(range(1, {dims + 1})) AS j) GROUP BY cluster, j),
+m{i} AS (SELECT cluster, list(cast((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c FROM s{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, cast(cluster AS INTEGER) AS cluster, distance, cast(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       cast(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+def op12_sql(names: str = "ABCDE") -> str:
+    places = ", ".join(
+        f"('{''.join(order)}', {i + 1}, {1 << names.index(f)}, {sum(1 << names.index(g) for g in order[:i])})"
+        for order in permutations(names)
+        for i, f in enumerate(order)
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM d),
+f AS (
+  SELECT part, doc_id, cast(len(w) < 200 AS INTEGER) + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+         + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER)
+         + 8 * cast(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * cast(e AS INTEGER) AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, count_if(coalesce(good, false)) AS good, count_if(coalesce(toxic, false)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+p(filter_order, step, bit, before) AS (VALUES {places}),
+r AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0) AS toxic_lost
+  FROM m CROSS JOIN p GROUP BY ALL)
+SELECT part, filter_order, cast(step AS INTEGER) AS step, cast(kept AS BIGINT) AS kept, cast(removed AS BIGINT) AS removed, cast(redundant AS BIGINT) AS redundant,
+       cast(unique_fails AS BIGINT) AS unique_fails, cast(good_lost AS BIGINT) AS good_lost, cast(toxic_lost AS BIGINT) AS toxic_lost,
+       cast(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_warc": (op2_warc, OP2_SQL),
@@ -203,6 +266,8 @@ QUERIES = {
     "op8_license_scan": (op8_license_scan, op8_sql()),
     "op9_url_filter": (op9_url_filter, OP9_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_centroids": (op11_centroids, op11_sql()),
+    "op12_filter_audit": (op12_filter_audit, op12_sql()),
 }
 
 

@@ -19,6 +19,7 @@ from kinweave.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, reaches, scan_l
 from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.secrets import scan_secrets
 from kinweave.llm.sentencepiece import round_trip
+from kinweave.llm.suffix_dedup import remove_repeats
 from kinweave.llm.url_filter import judge_urls
 from kinweave.llm.warc import read_records, write_archive
 
@@ -80,6 +81,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 OP10_SQL = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
@@ -255,6 +260,27 @@ FROM r
 """
 
 
+#: Bytes as hexadecimal digits, in blocks so that no long text is searched for each of its windows.
+OP13_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+blocks AS (SELECT doc_id, b, substr(h, 2 * b + 1, 2 * (512 + 49)) AS x FROM n, LATERAL (SELECT unnest(range(0, n, 512)) AS b)),
+w AS (SELECT doc_id, b + i AS p, substr(x, 2 * i + 1, 100) AS w FROM blocks, LATERAL (SELECT unnest(range(0, least(512, length(x) // 2 - 49))) AS i)),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN f USING (w) WHERE doc_id > first),
+run AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM hit),
+span AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM run GROUP BY doc_id, k),
+part AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+kept AS (
+  SELECT part.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS h FROM part JOIN n USING (doc_id) GROUP BY part.doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_bytes, cast(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_warc": (op2_warc, OP2_SQL),
@@ -268,6 +294,7 @@ QUERIES = {
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
     "op11_centroids": (op11_centroids, op11_sql()),
     "op12_filter_audit": (op12_filter_audit, op12_sql()),
+    "op13_suffix_dedup": (op13_suffix_dedup, OP13_SQL),
 }
 
 

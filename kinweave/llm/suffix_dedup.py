@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -54,6 +55,7 @@ _REMOVED = np.dtype([("at", "<u4"), ("n", "<u4")])
 _WANTED = np.dtype([("anchor", "<u8"), ("at", "<u4"), ("n", "<u4"), ("parts", "<u4")])
 _FOUND = "_id bigint, _key bigint, removed binary, wanted binary"
 _RUNS = "bucket int, ids binary, keys binary, unit binary, at binary, n binary, rest binary, form binary"
+_CUT = "_id bigint, _key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 _PIECES = "_id bigint, _key bigint, anchor bigint, piece binary, places binary"
 
 
@@ -107,13 +109,24 @@ def _beyond_first(keys: tuple[np.ndarray, ...], owner: np.ndarray) -> np.ndarray
     return out
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Ascending or small numbers: their differences, byte by byte of all, compressed."""
+    steps = np.diff(x.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unsqueezed(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype="<u4")
+
+
 def _dealt(buckets: int, length: int, gram: int):
     """A function of a task's documents: their runs, packed by bucket."""
 
     def packed(bucket: int, chosen: np.ndarray, x: dict[str, np.ndarray], with_form: bool) -> list:
         units, unit = np.unique(x["unit"][chosen], return_inverse=True)
         head = [bucket, x["ids"][units].tobytes(), x["keys"][units].tobytes()]
-        head += [unit.astype("<u4").tobytes(), x["at"][chosen].astype("<u4").tobytes(), x["n"][chosen].astype("<u4").tobytes()]
+        head += [_squeezed(unit), _squeezed(x["at"][chosen]), zlib.compress(x["n"][chosen].astype(np.uint8).tobytes(), 1)]
         return [*head, x["rest"][chosen].tobytes(), x["form"][chosen].tobytes()] if with_form else [*head, b"", b""]
 
     def combined(parts: dict[str, list], ids: list[int], keys: list[int]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +192,12 @@ def _met(buckets: int):
     def met(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         read = lambda c, kind: [np.frombuffer(b, kind) for b in table[c].to_pylist()]
-        ids, keys, unit = read("ids", "<i8"), read("keys", "<i8"), read("unit", "<u4")
+        ids, keys, unit = read("ids", "<i8"), read("keys", "<i8"), [_unsqueezed(b) for b in table["unit"].to_pylist()]
         base = np.cumsum([0, *map(len, ids)])
         pairs, known = np.unique(np.stack([np.concatenate(ids), np.concatenate(keys)], axis=1), axis=0, return_inverse=True)
         unit = known.reshape(-1)[np.concatenate([u.astype(np.int64) + b for u, b in zip(unit, base, strict=False)])]
-        at, n = np.concatenate(read("at", "<u4")), np.concatenate(read("n", "<u4"))
+        at = np.concatenate([_unsqueezed(b) for b in table["at"].to_pylist()])
+        n = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for b in table["n"].to_pylist()]).astype("<u4")
         # A repeated row brings the same places again.
         _, once = np.unique(unit.astype(np.uint64) << np.uint64(32) | at, return_index=True)
         unit, at, n = unit[once], at[once], n[once]
@@ -371,8 +385,8 @@ def _cut(length: int):
                 digests.append(hashlib.sha256(raw).hexdigest())
                 kept.append(raw)
             sizes = pa.array([len(x or b"") for x in batch["_raw"].to_pylist()], pa.int64())
-            columns = [batch["_id"], sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [batch["_id"], batch["_key"], sizes, pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return cut
 
@@ -408,8 +422,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     searched = met.mapInArrow(_searched(length), "_id bigint, _key bigint, removed binary")
     gone = found.filter(F.octet_length("removed") > 0).select("_id", "_key", "removed").unionByName(searched)
     gone = gone.groupBy("_id", "_key").agg(F.collect_list("removed").alias("removed"))
-    whole = known.join(gone.hint("merge"), ["_id", "_key"], "left").select("_id", "_raw", "removed")
-    rest = named.filter("_id is null").select("_id", "_raw", F.lit(None).cast("array<binary>").alias("removed"))
-    schema = "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    cut = whole.unionByName(rest).mapInArrow(_cut(length), schema)
-    return cut.select(F.col("_id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    # The texts are shuffled once: this join reads what the one before has dealt out.
+    cut = texts.join(gone.hint("merge"), ["_id", "_key"], "left").select("_id", "_key", "_raw", "removed").mapInArrow(_cut(length), _CUT)
+    rest = named.filter("_id is null").select("_id", "_key", "_raw", F.lit(None).cast("array<binary>").alias("removed")).mapInArrow(_cut(length), _CUT)
+    rows = known.select("_id", "_key").join(cut, ["_id", "_key"]).unionByName(rest)
+    return rows.select(F.col("_id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -120,10 +120,20 @@ def _packed(rows):
 def test_a_task_sends_a_form_once(spark):
     rows = [(i, "the same long text, which stands here in very many documents of the corpus" + chr(97 + i % 2)) for i in range(300)]
     table = next(iter(_packed(rows)))
-    assert sum(len(b) for b in table["at"].to_pylist()) // 4 < 12
+    assert sum(len(b) for b in table["form"].to_pylist()) // 8 < 12
     assert found(spark, rows, 50) == brute(rows, 50)
 
 
+def test_texts_are_shuffled_once(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in range(90)], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sd.remove_repeats(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan and plan.count("partial_first(_raw") == 1
+
+
 def test_odd_tables(spark):
     docs = odd_docs(spark, ["word " * 3])
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

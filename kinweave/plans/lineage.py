@@ -8,6 +8,7 @@ lost executor costs a re-read, not the traversal.
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +38,24 @@ def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     return out, int(seen.get["rows"])
 
 
+@contextmanager
+def fixed_plans(spark: SparkSession):
+    """Within it plans are made without adaptive execution: an adaptive plan doesn't
+    say how its result is partitioned. The session's setting is put back."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """The cut frame, hash-partitioned by ``key``, for joins at every level of a search.
 
-    An adaptive plan doesn't say how its result is partitioned, so the frame is
-    first made by one and then dealt out by a fixed plan that does. Joins on
-    the key with as many shuffle partitions leave it where it is. The session's
-    setting is put back when the copy is made.
+    The frame is first made by an adaptive plan and then dealt out by a fixed
+    one. Joins on the key with as many shuffle partitions leave it where it is.
     """
-    made, conf = cut(df), df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return cut(made.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+    made = cut(df)
+    with fixed_plans(df.sparkSession):
+        return cut(made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))

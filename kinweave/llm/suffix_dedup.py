@@ -42,12 +42,14 @@ GRAM = 16
 MOST_WINDOWS = 128
 #: Text of a task, about, whose runs are combined before they are sent.
 COMBINED_BYTES = 32 << 20
-#: Text, about, whose runs meet in one group; there are as many groups as shuffle partitions at least.
+#: Text, about, whose runs meet in one group.
 BUCKET_BYTES = 64 << 20
-#: Windows, about, of an anchor's forms that meet in one group.
-GROUP_WINDOWS = 4000
-#: A window can only be repeated if its first so many bytes are.
-PREFIX = 40
+#: There are as many groups of runs as shuffle partitions, and so many at least.
+LEAST_BUCKETS = 64
+#: Windows, about, of an anchor's forms that meet in one group (a MB or two of bytes).
+GROUP_WINDOWS = 200_000
+#: A window can only be repeated if its first and its last so many bytes are.
+EDGE = 40
 #: Bytes of a suffix array's text, about.
 BLOCK_BYTES = 1 << 17
 
@@ -194,30 +196,40 @@ def _met(buckets: int):
         read = lambda c, kind: [np.frombuffer(b, kind) for b in table[c].to_pylist()]
         ids, keys, unit = read("ids", "<i8"), read("keys", "<i8"), [_unsqueezed(b) for b in table["unit"].to_pylist()]
         base = np.cumsum([0, *map(len, ids)])
-        pairs, known = np.unique(np.stack([np.concatenate(ids), np.concatenate(keys)], axis=1), axis=0, return_inverse=True)
-        unit = known.reshape(-1)[np.concatenate([u.astype(np.int64) + b for u, b in zip(unit, base, strict=False)])]
+        ids, keys = np.concatenate(ids), np.concatenate(keys)
+        order = np.lexsort((keys, ids))
+        new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])])
+        known = np.empty(len(order), np.int64)
+        known[order] = np.cumsum(new) - 1
+        unit = known[np.concatenate([u.astype(np.int64) + b for u, b in zip(unit, base, strict=False)])]
+        ids, keys = ids[order[new]], keys[order[new]]
         at = np.concatenate([_unsqueezed(b) for b in table["at"].to_pylist()])
         n = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for b in table["n"].to_pylist()]).astype("<u4")
+        if bucket < buckets:
+            # Most anchors are met once, and are done with.
+            rest, form = np.concatenate(read("rest", "<u4")), np.concatenate(read("form", "<u8"))
+            order = np.argsort(rest, kind="stable")
+            same = rest[order][1:] == rest[order][:-1]
+            often = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            unit, at, n, rest, form = unit[often], at[often], n[often], rest[often], form[often]
         # A repeated row brings the same places again.
         _, once = np.unique(unit.astype(np.uint64) << np.uint64(32) | at, return_index=True)
         unit, at, n = unit[once], at[once], n[once]
-        ids, keys = pairs[:, 0], pairs[:, 1]
-        if bucket >= buckets:
-            lost, wanted = np.ones(len(unit), bool), np.zeros(0, np.int64)
-        else:
-            rest, form = np.concatenate(read("rest", "<u4"))[once], np.concatenate(read("form", "<u8"))[once]
-            owner = ids[unit]
+        lost, wanted = np.ones(len(unit), bool), np.zeros(0, np.int64)
+        if bucket < buckets:
+            rest, form, owner = rest[once], form[once], ids[unit]
             lost = _beyond_first((rest, form), owner)
             left = np.flatnonzero(~lost)
-            order = left[np.lexsort((owner[left], form[left], rest[left]))]
-            new = np.concatenate([[True], rest[order][1:] != rest[order][:-1]])
-            fresh = new | np.concatenate([[True], form[order][1:] != form[order][:-1]])
-            group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
-            several = np.add.reduceat(fresh.astype(np.int64), heads) > 1
-            several &= np.minimum.reduceat(owner[order], heads) < np.maximum.reduceat(owner[order], heads)
-            windows = np.add.reduceat(np.where(fresh, n[order], 0).astype(np.int64), heads)
-            asked = several[group]
-            wanted, parts = order[asked], -(-windows[group][asked] // GROUP_WINDOWS)
+            if len(left):
+                order = left[np.lexsort((owner[left], form[left], rest[left]))]
+                new = np.concatenate([[True], rest[order][1:] != rest[order][:-1]])
+                fresh = new | np.concatenate([[True], form[order][1:] != form[order][:-1]])
+                group, heads = np.cumsum(new) - 1, np.flatnonzero(new)
+                several = np.add.reduceat(fresh.astype(np.int64), heads) > 1
+                several &= np.minimum.reduceat(owner[order], heads) < np.maximum.reduceat(owner[order], heads)
+                windows = np.add.reduceat(np.where(fresh, n[order], 0).astype(np.int64), heads)
+                asked = several[group]
+                wanted, parts = order[asked], -(-windows[group][asked] // GROUP_WINDOWS)
         gone = np.empty(int(lost.sum()), _REMOVED)
         gone["at"], gone["n"] = at[lost], n[lost]
         out = [*_by_unit(ids, keys, unit[lost], gone)]
@@ -276,40 +288,77 @@ def _pieces(length: int):
     return pieces
 
 
+def _beyond_least(group: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least owner of each entry's group, and whether the group has several."""
+    n = int(group.max()) + 1
+    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(least, group, owner)
+    np.maximum.at(most, group, owner)
+    return least[group], (least < most)[group]
+
+
 def held_before(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """Of each piece the windows of which an equal one stands in a piece with a smaller owner.
 
-    Equal windows are neighbours in the suffix array. Only windows whose first
-    PREFIX bytes occur with another owner get into its text; a window's own
-    bytes are compared, so it doesn't matter what follows them there."""
+    Only windows whose first EDGE bytes occur with another owner, and whose last
+    do, can be such; what they cover are spans. Equal spans are taken once, with
+    their least owner, and one suffix array over all spans brings equal windows
+    next to each other. A window's own bytes are compared, so it doesn't matter
+    what follows them there."""
     sizes = np.array([len(p) for p in pieces])
     starts, text = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), np.uint8)
     counts = sizes - length + 1
+    firsts = np.cumsum(counts) - counts
     piece = np.repeat(np.arange(len(pieces)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    offset = np.arange(counts.sum()) - firsts[piece]
     at, owner = starts[piece] + offset, owners[piece]
-    _, same = np.unique(gram_hashes(text, min(PREFIX, length))[at], return_inverse=True)
-    least, most = np.full(same.max() + 1, np.iinfo(np.int64).max), np.full(same.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, same, owner)
-    np.maximum.at(most, same, owner)
-    kept = np.flatnonzero((least < most)[same])
+    edge = min(EDGE, length)
+    hashes = gram_hashes(text, edge)
+    kept = np.arange(len(at))
+    for shift in (0, length - edge):
+        if len(kept):
+            _, same = np.unique(hashes[at[kept] + shift], return_inverse=True)
+            kept = kept[_beyond_least(same, owner[kept])[1]]
     gone = np.zeros(len(at), bool)
     if len(kept):
-        edges = np.zeros(len(text) + 1, np.int64)
-        np.add.at(edges, at[kept], 1)
-        np.add.at(edges, at[kept] + length, -1)
-        inside = np.cumsum(edges[:-1]) > 0
-        short = text[inside]
-        window = np.full(len(short), -1)
-        window[(np.cumsum(inside) - 1)[at[kept]]] = kept
-        order = np.array(suffix_array(short.tobytes()))
-        order = order[window[order] >= 0]
-        rows = np.lib.stride_tricks.sliding_window_view(short, length)[order]
-        heads = np.concatenate([[0], np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1])
-        which = window[order]
-        run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        gone[which] = owner[which] > np.minimum.reduceat(owner[which], heads)[run]
-    return [offset[a:b][gone[a:b]] for a, b in zip(np.cumsum(counts) - counts, np.cumsum(counts), strict=True)]
+        # A span: windows of a piece that follow each other.
+        heads = np.flatnonzero((np.diff(at[kept], prepend=-2) > 1) | (np.diff(piece[kept], prepend=-1) != 0))
+        n_windows = np.diff(np.append(heads, len(kept)))
+        raw, lo = text.tobytes(), at[kept][heads]
+        known: dict[bytes, int] = {}
+        which = np.array([known.setdefault(raw[a : a + n + length - 1], len(known)) for a, n in zip(lo.tolist(), n_windows.tolist(), strict=True)])
+        first_owner, _ = _beyond_least(which, owner[kept][heads])
+        spans = list(known)
+        span_owner = np.zeros(len(spans), np.int64)
+        span_owner[which] = first_owner
+        lost = _sorted_windows(spans, span_owner, length)
+        ends = np.cumsum([len(x) for x in lost])
+        flat = np.concatenate(lost)
+        of = np.repeat(np.arange(len(heads)), n_windows)
+        within = np.arange(len(kept)) - heads[of]
+        gone[kept] = (owner[kept] > first_owner[of]) | flat[(ends - [len(x) for x in lost])[which][of] + within]
+    return [offset[a:b][gone[a:b]] for a, b in zip(firsts, firsts + counts, strict=True)]
+
+
+def _sorted_windows(spans: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each window of each span whether an equal one belongs to a smaller owner."""
+    counts = np.array([len(s) - length + 1 for s in spans])
+    firsts = np.cumsum(counts) - counts
+    text = b"".join(spans)
+    span = np.repeat(np.arange(len(spans)), counts)
+    at = np.arange(counts.sum()) - firsts[span] + (np.cumsum([len(s) for s in spans]) - [len(s) for s in spans])[span]
+    number = np.full(len(text), -1)
+    number[at] = np.arange(len(at))
+    order = np.array(suffix_array(text))
+    order = order[number[order] >= 0]
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)[order]
+    heads = np.concatenate([[0], np.flatnonzero((rows[1:] != rows[:-1]).any(axis=1)) + 1])
+    which = number[order]
+    owner = owners[span[which]]
+    run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    gone = np.zeros(len(at), bool)
+    gone[which] = owner > np.minimum.reduceat(owner, heads)[run]
+    return np.split(gone, firsts[1:])
 
 
 def _as_runs(windows: np.ndarray) -> bytes:
@@ -412,7 +461,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = bounded_batches(named.select("_id", F.xxhash64("_raw").alias("_key"), "_raw"))
     known = named.filter("_id is not null")
     size = known.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
     dealt = known.mapInArrow(_dealt(buckets, length, gram), _RUNS)
     found = stored(dealt.groupBy("bucket").applyInArrow(_met(buckets), _FOUND), "repeats")
     wanted = found.filter(F.octet_length("wanted") > 0).groupBy("_id", "_key").agg(F.collect_list("wanted").alias("wanted"))

@@ -14,11 +14,12 @@ from pyspark.sql import types as T
 
 from kinweave.functions.keys import hex_key_column, is_hex_key, normalize_pubkey
 from kinweave.operators import ingest as ing
+from kinweave.operators import mutes as mut
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
 from kinweave.plans.lineage import cut
-from kinweave.sources.events import events_from_rows
-from kinweave.sources.store import open_store
+from kinweave.sources.events import events_from_rows, events_of_lists
+from kinweave.sources.store import Change, open_store
 
 log = logging.getLogger(__name__)
 DEFAULT_DEPTH = 6
@@ -149,7 +150,25 @@ class SocialGraphAnalyzer:
         if not events.isEmpty():
             self._ingest(events, order)
 
-    def _ingest(self, events: DataFrame, order: str = "ord") -> None:
+    @_open
+    def ingest_lists(self, events: Iterable[Mapping], known_authors_only: bool = False, overmute_threshold: float | None = None) -> None:
+        """Follow lists (kind 3) and mute lists (kind 10000), both tables in one commit; other kinds are passed over.
+
+        Of mute lists only newer ones count. On request events are ignored whose
+        author has no distance from the root, or is overmuted at the threshold.
+        """
+        rows = cut(events_of_lists(self._spark, events, (ing.FOLLOW_LIST_KIND, mut.MUTE_LIST_KIND)))
+        if known_authors_only:
+            rows = rows.join(self._distances().select("pubkey"), "pubkey", "left_semi")
+        if overmute_threshold is not None:
+            rows = rows.join(mut.overmuted(self.mute_counts(), overmute_threshold).select("pubkey"), "pubkey", "left_anti")
+        rows = cut(rows)
+        if not rows.isEmpty():
+            silent = cut(ing.latest_per_author(rows.filter(F.col("kind") == mut.MUTE_LIST_KIND)))
+            mutes = ("mutes", silent.select("pubkey"), lambda old: mut.replace_mutes(old, silent))
+            self._ingest(rows.filter(F.col("kind") == ing.FOLLOW_LIST_KIND), more=[mutes])
+
+    def _ingest(self, events: DataFrame, order: str = "ord", more: list[Change] | None = None) -> None:
         began = time.time()
         kept = cut(ing.latest_per_author(events, order))
         if self._strict:
@@ -158,19 +177,33 @@ class SocialGraphAnalyzer:
             fresh = cut(ing.follows_of(kept))
             authors, change = fresh.select("follower_pubkey").distinct(), lambda old: ing.replace_lists(old, fresh)
         log.info("Ingesting the lists of %d authors", kept.count())
+        before = self._lists_of(authors)
         # Only the lists of these authors change, so a store may leave the rest as it is.
-        self._store.update("follows", authors, change, {"graph_updated_at": _now()})
+        self._store.update_all([("follows", authors, change), *(more or [])], {"graph_updated_at": _now()})
         log.info("Ingested in %.1f s", time.time() - began)
         if self._root and self._root_valid:
             try:
                 if self._strict:
-                    self._build_root()
+                    self._follow_up(*trav.changes(before, self._lists_of(authors)))
                 else:
                     self._delta(events.select("pubkey").distinct())
             except Exception:  # noqa: BLE001  the ingest itself stands
                 log.exception("Delta update failed, marking root table as invalid")
                 self._root_valid = False
 
+    def _lists_of(self, authors: DataFrame) -> DataFrame:
+        """The authors' edges as they are now; they stay readable after a commit."""
+        return self.follows.join(authors, "follower_pubkey", "left_semi")
+
+    def _follow_up(self, lost: DataFrame, gained: DataFrame) -> None:
+        """Root distances as a rebuild would give, from what changed."""
+        ours = self._store.has("root_distances") and self._store.metadata.get("root_pubkey") == self._root
+        if not ours:
+            return self._build_root()
+        depth = int(float(self._store.metadata.get("root_depth") or DEFAULT_DEPTH))
+        table = trav.refresh(self._ahead(), self._store.table("root_distances"), cut(lost), cut(gained), depth)
+        self._store.commit({"root_distances": table}, {"root_built_at": _now()})
+
     def _delta(self, authors: DataFrame) -> None:
         bad = authors.filter(~F.coalesce(hex_key_column(F.col("pubkey")), F.lit(False))).first()
         if bad is not None:
@@ -242,6 +275,80 @@ class SocialGraphAnalyzer:
             raise ValueError("Root pubkey must be set to use getDistanceDistribution")
         return {r["distance"]: r["count"] for r in trav.distribution(self._root_table()).collect()}
 
+    # Mutes
+
+    @property
+    def mutes(self) -> DataFrame:
+        return self._store.table("mutes")
+
+    def _distances(self) -> DataFrame:
+        if not self._root:
+            raise ValueError("Root pubkey must be set to use distances")
+        return self._root_table()
+
+    @_open
+    def mute_counts(self) -> DataFrame:
+        """``pubkey, distance, followers, muters`` of every key, by distance from the root."""
+        return mut.counts_by_distance(self.follows, self.mutes, self._distances())
+
+    @_open
+    def get_mute_stats(self, pubkey: str) -> dict[int, tuple[int, int]]:
+        """Followers and muters of a key by their distance from the root."""
+        key = normalize_pubkey(pubkey)
+        follows, mutes = self.follows.filter(F.col("followed_pubkey") == key), self.mutes.filter(F.col("muted_pubkey") == key)
+        rows = mut.counts_by_distance(follows, mutes, self._distances()).collect()
+        return {r["distance"]: (r["followers"], r["muters"]) for r in sorted(rows, key=lambda r: r["distance"])}
+
+    @_open
+    def is_overmuted(self, pubkey: str, threshold: float = 1.0) -> bool:
+        """By the nearest distance at which anybody follows or mutes the key."""
+        for followers, muters in self.get_mute_stats(pubkey).values():
+            return muters * threshold > followers
+        return False
+
+    @_open
+    def get_muted_by(self, pubkey: str) -> list[str]:
+        return _keys(self.mutes.filter(F.col("muter_pubkey") == pubkey).select(F.col("muted_pubkey").alias("pubkey")).orderBy("pubkey"))
+
+    @_open
+    def get_muters(self, pubkey: str) -> list[str]:
+        return _keys(self.mutes.filter(F.col("muted_pubkey") == pubkey).select(F.col("muter_pubkey").alias("pubkey")).orderBy("pubkey"))
+
+    @_open
+    def remove_muted_not_followed(self) -> int:
+        """Removes the keys that somebody mutes and nobody follows, with all their edges,
+        from both tables in one commit; returns their number."""
+        keys = cut(mut.muted_without_followers(self.follows, self.mutes))
+        n = keys.count()
+        if n:
+            authors, gone = keys.select(F.col("pubkey").alias("follower_pubkey")), keys.withColumnRenamed("pubkey", "muted_pubkey")
+            muters = self.mutes.join(gone, "muted_pubkey", "left_semi").select("muter_pubkey").union(keys)
+            lost = cut(self._lists_of(authors))  # nobody follows the keys, so these are all edges that go
+            less = lambda old: mut.without(old, keys)
+            self._store.update_all([("follows", authors, less), ("mutes", cut(muters), less)], {"graph_updated_at": _now()})
+            if self._root and self._root_valid:
+                self._follow_up(lost, lost.limit(0))
+        return n
+
+    # Whole results as frames, for those that don't fit a list
+
+    @_open
+    def frame(self, what: str, *args) -> DataFrame:
+        """What a list call returns, as a frame with the column ``pubkey``: "all_unique_pubkeys",
+        "users_at_distance", "users_within_distance", "following" or "followers", with the call's arguments."""
+        if what == "all_unique_pubkeys":
+            return rel.all_pubkeys(self.follows)
+        if what == "users_at_distance":
+            return self._distances().filter(F.col("distance") == args[0]).select("pubkey")
+        if what == "users_within_distance":
+            a = normalize_pubkey(args[0])
+            seeds = self._spark.range(1).select(F.lit(a).alias("source"))
+            found = trav.within(self._ahead(), seeds, args[1]).filter(F.col("node") != a)
+            return found.select(F.col("node").alias("pubkey"))
+        if what in ("following", "followers"):
+            return getattr(rel, what)(self.follows, args[0])
+        raise ValueError(f"there is no list of {what}")
+
     # Searches
 
     @_open

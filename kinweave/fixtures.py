@@ -50,6 +50,20 @@ def cached_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_by(follow_edges(spark, sf_dir), "follower_pubkey")
 
 
+def mute_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mute lists of the same authors: orders of priority 1-URGENT are events of kind
+    10000, the newest counts, and their line items name the muted keys by another rule."""
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("bigint").alias("ord"))
+    kept = ing.latest_per_author(order_events(spark, sf_dir).join(urgent, "ord", "left_semi").select("pubkey", "created_at", "ord"))
+    customers = table(spark, sf_dir, "customer").count()
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("bigint").alias("ord"),
+        ((F.col("l_partkey") * 13 + F.col("l_suppkey") * 7) % customers).cast("bigint").alias("muted_pubkey"),
+    )
+    named = kept.join(items, "ord").select(F.col("pubkey").alias("muter_pubkey"), "muted_pubkey", "created_at")
+    return named.groupBy("muter_pubkey", "muted_pubkey").agg(F.first("created_at").alias("created_at"))
+
+
 def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags form of the same events, hashed keys, for the parser."""
     customers = table(spark, sf_dir, "customer").count()

@@ -158,13 +158,20 @@ def distances_to(edges: DataFrame, source, targets: DataFrame, max_depth: float)
 def relax(edges: DataFrame, distances: DataFrame, changed: DataFrame, max_depth: int) -> DataFrame:
     """Distances after edges of the ``changed`` keys came in.
 
-    Only inserts and lowers: a distance that lost its last shortest path stays.
-    At most ``max_depth + 2`` rounds, each along the keys the last one updated.
-    Rounds write what they change; the whole table is put together once.
+    Only inserts and lowers: a distance that lost its last shortest path stays
+    (``refresh`` sees to these). At most ``max_depth + 2`` rounds, each along the
+    keys the last one updated. Rounds write what they change; the whole table is
+    put together once.
     """
-    steps, empty = Steps(edges), distances.limit(0)
-    frontier, rows = cut_and_count(changed.select("pubkey").distinct().join(distances, "pubkey"))
-    updates = cut(empty)
+    frontier = changed.select("pubkey").distinct().join(distances, "pubkey")
+    return _spread(edges, distances, frontier, distances.limit(0), max_depth)
+
+
+def _spread(edges: DataFrame, distances: DataFrame, frontier: DataFrame, updates: DataFrame, max_depth: int) -> DataFrame:
+    """``distances`` with ``updates`` and all that follows from the distances of the ``frontier``'s keys."""
+    steps = Steps(edges)
+    frontier, rows = cut_and_count(frontier)
+    updates = cut(updates)
     for _ in range(int(max_depth) + 2):
         if not rows:
             break
@@ -179,6 +186,70 @@ def relax(edges: DataFrame, distances: DataFrame, changed: DataFrame, max_depth:
     return distances.join(updates, "pubkey", "left_anti").unionByName(updates)
 
 
+def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges that were lost and those that were gained, as (follower, followed)."""
+    old, new = before.select(SRC, DST), after.select(SRC, DST)
+    return old.join(new, [SRC, DST], "left_anti"), new.join(old, [SRC, DST], "left_anti")
+
+
+def orphans(edges: DataFrame, distances: DataFrame, lost: DataFrame, backward: DataFrame | None = None) -> DataFrame:
+    """``pubkey, distance`` of the keys none of whose shortest paths is left, with their old distances.
+
+    ``edges`` are those after the removal of the ``lost`` ones. By level: a key
+    is looked at if it lost an edge of a shortest path or one of its parents
+    before it is an orphan, and is one if no follower a level nearer remains
+    that isn't. Only the edges of keys that are looked at are read.
+    """
+    ahead, back = Steps(edges), Steps(edges if backward is None else backward, backward=True)
+    near = distances.withColumnsRenamed({"pubkey": SRC, "distance": "near"})
+    far = distances.withColumnsRenamed({"pubkey": DST, "distance": "far"})
+    hit = lost.select(SRC, DST).join(near, SRC).join(far, DST).filter("far = near + 1")
+    hit = cut(hit.select(F.col(DST).alias("node"), F.col("far").alias("distance")).distinct())
+    levels = sorted(r[0] for r in hit.select("distance").distinct().collect())  # no more than the depth of the table
+    found = distances.limit(0).select(F.col("pubkey").alias("node"), "distance")
+    if not levels:
+        return found.withColumnRenamed("node", "pubkey")
+    parents = distances.withColumnsRenamed({"pubkey": "next", "distance": "near"})
+    level, passed_on = levels[0], None
+    while level <= levels[-1] or passed_on is not None:
+        now = hit.filter(F.col("distance") == level)
+        now = now if passed_on is None else now.unionByName(passed_on).distinct()
+        now, rows = cut_and_count(now)
+        passed_on = None
+        if rows:
+            there = back.join(now, rows <= BROADCAST_ROWS).join(parents, "next").filter("near = distance - 1")
+            saved = there.join(found.select(F.col("node").alias("next")), "next", "left_anti").select("node").distinct()
+            gone, rows = cut_and_count(now.join(saved, "node", "left_anti"))
+            if rows:
+                found = cut(found.unionByName(gone))
+                after = ahead.join(gone.select("node"), rows <= BROADCAST_ROWS).select(F.col("next").alias("node")).distinct()
+                passed_on = after.join(distances.withColumnRenamed("pubkey", "node"), "node").filter(F.col("distance") == level + 1)
+        level += 1
+    return found.withColumnRenamed("node", "pubkey")
+
+
+def refresh(
+    edges: DataFrame, distances: DataFrame, lost: DataFrame, gained: DataFrame, max_depth: int, backward: DataFrame | None = None
+) -> DataFrame:
+    """Root distances after edges were ``lost`` and ``gained``; equal to a rebuild over ``edges``, those after.
+
+    Keys that lost all their shortest paths are set free (``orphans``) and get
+    the best offer of the others that follow them; gained edges make offers too;
+    what gets better is passed on. The rest of the table isn't looked at.
+    """
+    free = cut(orphans(edges, distances, lost, backward))
+    kept = distances.join(free.select("pubkey"), "pubkey", "left_anti")
+    known = kept.withColumnsRenamed({"pubkey": "next"})
+    back = Steps(edges if backward is None else backward, backward=True)
+    few = free.count() <= BROADCAST_ROWS
+    again = back.join(free.select(F.col("pubkey").alias("node")), few).join(known, "next").select(F.col("node").alias("pubkey"), "distance")
+    new = gained.select(F.col(SRC).alias("next"), F.col(DST).alias("pubkey")).join(known, "next").select("pubkey", "distance")
+    offers = again.unionByName(new).groupBy("pubkey").agg((F.min("distance") + 1).alias("distance")).filter(F.col("distance") <= max_depth)
+    better = offers.join(kept.withColumnRenamed("distance", "old"), "pubkey", "left").filter("old is null or distance < old").drop("old")
+    start = cut(better)
+    return _spread(edges, kept, start, start, max_depth)
+
+
 def root_distances(edges: DataFrame, root, max_depth: int) -> DataFrame:
     """``pubkey, distance`` from the root, which has 0 even if it is in no edge."""
     return single(edges, root, max_depth).select(F.col("node").alias("pubkey"), "distance")

@@ -21,3 +21,10 @@ EDGES = T.StructType(
     ]
 )
 DISTANCES = T.StructType([T.StructField("pubkey", T.StringType()), T.StructField("distance", T.IntegerType())])
+MUTES = T.StructType(
+    [
+        T.StructField("muter_pubkey", T.StringType()),
+        T.StructField("muted_pubkey", T.StringType()),
+        T.StructField("created_at", T.LongType()),
+    ]
+)

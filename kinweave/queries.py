@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kinweave import fixtures as fx
 from kinweave.operators import ingest as ing
+from kinweave.operators import measure
+from kinweave.operators import mutes as mut
+from kinweave.operators import paths
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
 from kinweave.plans.lineage import cut, cut_by
@@ -449,6 +452,166 @@ def json_graph_stats(spark, sf_dir):
     return rel.graph_stats(edges.filter("followed_pubkey is not null").distinct())
 
 
+RANK_SQL = f"""{HEAD},
+k AS MATERIALIZED (SELECT pubkey, count(e.followed_pubkey) AS o FROM (SELECT follower_pubkey AS pubkey FROM e UNION SELECT followed_pubkey FROM e) LEFT JOIN e ON e.follower_pubkey = pubkey GROUP BY pubkey),
+c AS (SELECT count(*) AS c FROM k),
+r(i, pubkey, rank, change) AS (
+  SELECT 0, pubkey, 1.0::DOUBLE / c.c, 1.0::DOUBLE FROM k CROSS JOIN c
+  UNION ALL
+  SELECT i, pubkey, rank, sum(abs(rank - old)) OVER () FROM (
+    SELECT r.i + 1 AS i, r.pubkey, r.rank AS old,
+           (1 - {measure.DAMPING}::DOUBLE) / c.c + {measure.DAMPING}::DOUBLE * coalesce((SELECT sum(z.rank) FROM r z JOIN k USING (pubkey) WHERE k.o = 0), 0) / c.c + {measure.DAMPING}::DOUBLE * coalesce(g.got, 0) AS rank
+    FROM r CROSS JOIN c LEFT JOIN (
+      SELECT e.followed_pubkey AS pubkey, sum(x.rank / k.o) AS got FROM r x JOIN k USING (pubkey) JOIN e ON e.follower_pubkey = x.pubkey GROUP BY 1) g ON g.pubkey = r.pubkey
+    WHERE r.change >= {measure.TOLERANCE} AND r.i < {measure.MOST_ROUNDS}))
+SELECT pubkey, round(rank, 12) AS rank FROM r WHERE i = (SELECT max(i) FROM r)"""
+
+
+@query(RANK_SQL)
+def pagerank(spark, sf_dir):
+    """Until the ranks' changes add up to less than the tolerance."""
+    found = measure.pagerank(fx.follow_edges(spark, sf_dir))
+    return found.select("pubkey", F.round("rank", 12).alias("rank"))
+
+
+@query(
+    HEAD + """,
+p AS (SELECT DISTINCT least(follower_pubkey, followed_pubkey) AS a, greatest(follower_pubkey, followed_pubkey) AS b FROM e WHERE follower_pubkey <> followed_pubkey),
+s AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+d AS (SELECT x, count(*) AS n FROM s GROUP BY x),
+t AS (SELECT u.x, count(*) AS t FROM s u JOIN s v ON u.x = v.x AND u.y < v.y JOIN p ON p.a = u.y AND p.b = v.y GROUP BY u.x),
+k AS (SELECT follower_pubkey AS pubkey FROM e UNION SELECT followed_pubkey FROM e)
+SELECT pubkey, CASE WHEN n > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (n * (n - 1)) ELSE 0 END AS coefficient FROM k LEFT JOIN d ON d.x = pubkey LEFT JOIN t ON t.x = pubkey"""
+)
+def clustering_coefficient(spark, sf_dir):
+    return measure.clustering_coefficient(cut(fx.follow_edges(spark, sf_dir)))
+
+
+@query(
+    HEAD + """,
+s AS (SELECT follower_pubkey AS x, followed_pubkey AS y FROM e UNION SELECT followed_pubkey, follower_pubkey FROM e),
+c(pubkey, component) AS (SELECT x, x FROM s UNION SELECT s.y, c.component FROM c JOIN s ON s.x = c.pubkey WHERE c.component < s.y)
+SELECT pubkey, min(component) AS component FROM c GROUP BY pubkey"""
+)
+def weak_components(spark, sf_dir):
+    return measure.weak_components(cut(fx.follow_edges(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {REPLACED},
+b(node, d) AS (SELECT {ROOT}::BIGINT, 0 UNION SELECT e.followed_pubkey, d + 1 FROM b JOIN e ON e.follower_pubkey = b.node WHERE d < {DEPTH})
+SELECT node AS pubkey, min(d) AS distance FROM b GROUP BY node""")
+def root_delta_removal(spark, sf_dir):
+    """Lists are replaced, and what lost its path is found and reached anew: equal to a rebuild."""
+    first, second = _halves(spark, sf_dir)
+    before = cut(_edges_of_events(spark, sf_dir, first))
+    table = cut(trav.root_distances(before, ROOT, DEPTH))
+    after = cut(ing.replace_lists(before, _edges_of_events(spark, sf_dir, second)))
+    return trav.refresh(after, table, *trav.changes(before, after), DEPTH)
+
+
+#: Distances of every node from each source of a pair, then whatever is built on them.
+_FROM_SOURCES = f""",
+{PAIRS_SQL},
+w(source, node, d) AS (SELECT DISTINCT a, a, 0 FROM p UNION SELECT w.source, e.followed_pubkey, d + 1 FROM w JOIN e ON e.follower_pubkey = w.node WHERE d < {PAIR_DEPTH}),
+near AS MATERIALIZED (SELECT source, node, min(d) AS d FROM w GROUP BY ALL)"""
+
+
+@query(
+    HEAD + _FROM_SOURCES + """,
+m(source, node, d, paths) AS (
+  SELECT DISTINCT a, a, 0, 1::HUGEINT FROM p
+  UNION ALL SELECT m.source, e.followed_pubkey, m.d + 1, sum(m.paths) FROM m JOIN e ON e.follower_pubkey = m.node JOIN near ON near.source = m.source AND near.node = e.followed_pubkey AND near.d = m.d + 1 GROUP BY ALL)
+SELECT p.a AS source, p.b AS target, d AS distance, cast(paths AS BIGINT) AS paths FROM p JOIN m ON m.source = p.a AND m.node = p.b"""
+)
+def shortest_path_counts(spark, sf_dir):
+    """How many shortest paths each pair has."""
+    return paths.count_shortest_paths(fx.cached_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target"), PAIR_DEPTH)
+
+
+@query(
+    HEAD + _FROM_SOURCES + """,
+s(source, node, d, path) AS (
+  SELECT DISTINCT a, a, 0, cast(a AS VARCHAR) FROM p
+  UNION ALL SELECT s.source, e.followed_pubkey, s.d + 1, s.path || '>' || e.followed_pubkey FROM s JOIN e ON e.follower_pubkey = s.node JOIN near ON near.source = s.source AND near.node = e.followed_pubkey AND near.d = s.d + 1)
+SELECT p.a AS source, p.b AS target, d AS distance, path FROM p JOIN s ON s.source = p.a AND s.node = p.b"""
+)
+def all_shortest_paths(spark, sf_dir):
+    """Every shortest path of each pair."""
+    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    found = paths.all_shortest_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, cut_by(edges, "followed_pubkey"))
+    return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
+
+
+@query(
+    HEAD + f""",
+{PAIRS_SQL},
+s(source, target, node, path) AS (
+  SELECT a, b, a, [a] FROM p WHERE a <> b
+  UNION ALL SELECT s.source, s.target, e.followed_pubkey, list_append(path, e.followed_pubkey) FROM s JOIN e ON e.follower_pubkey = s.node
+  WHERE s.node <> s.target AND len(path) <= {PAIR_DEPTH} AND NOT list_contains(path, e.followed_pubkey))
+SELECT source, target, array_to_string(path, '>') AS path FROM s WHERE node = target"""
+)
+def simple_paths(spark, sf_dir):
+    """Every path of each pair that repeats no key and has at most so many edges."""
+    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    found = paths.simple_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, cut_by(edges, "followed_pubkey"))
+    return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
+
+
+@query(
+    HEAD + """,
+w(there, here, d) AS (SELECT DISTINCT followed_pubkey, followed_pubkey, 0 FROM e UNION SELECT w.there, e.follower_pubkey, d + 1 FROM w JOIN e ON e.followed_pubkey = w.here WHERE d < 3),
+near AS MATERIALIZED (SELECT there, here, min(d) AS d FROM w GROUP BY ALL)
+SELECT x.here, x.there, min(e.followed_pubkey) AS via, x.d AS len FROM near x JOIN e ON e.follower_pubkey = x.here JOIN near y ON y.there = x.there AND y.here = e.followed_pubkey AND y.d = x.d - 1
+GROUP BY ALL"""
+)
+def routing_table(spark, sf_dir):
+    """Next hops to every followed key from all keys within three steps."""
+    edges = fx.follow_edges(spark, sf_dir)
+    back = cut_by(edges, "followed_pubkey")
+    return paths.routing_table(back, back.select(F.col("followed_pubkey").alias("target")).distinct(), 3, back)
+
+
+MUTES_SQL = """mu_kept AS (SELECT pubkey, created_at, ord FROM (SELECT ev.*, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, ord) AS rn FROM ev JOIN orders ON o_orderkey = ord WHERE o_orderpriority = '1-URGENT') WHERE rn = 1),
+mu AS (SELECT DISTINCT k.pubkey AS muter_pubkey, cast((l_partkey * 13 + l_suppkey * 7) % n.n AS BIGINT) AS muted_pubkey, k.created_at FROM mu_kept k JOIN lineitem ON l_orderkey = k.ord CROSS JOIN n)"""
+_COUNTS_SQL = f"""{HEAD}{BFS},
+{MUTES_SQL},
+x AS (SELECT follower_pubkey AS author, followed_pubkey AS pubkey, 1 AS f, 0 AS m FROM e UNION ALL SELECT muter_pubkey, muted_pubkey, 0, 1 FROM mu),
+cd AS (SELECT x.pubkey, rd.distance, cast(sum(f) AS BIGINT) AS followers, cast(sum(m) AS BIGINT) AS muters FROM x JOIN rd ON rd.pubkey = author WHERE author <> x.pubkey GROUP BY ALL)"""
+
+
+def _mute_counts(spark, sf_dir):
+    edges = fx.cached_edges(spark, sf_dir)
+    return mut.counts_by_distance(edges, fx.mute_edges(spark, sf_dir), cut(trav.root_distances(edges, ROOT, DEPTH)))
+
+
+@query(_COUNTS_SQL + "\nSELECT * FROM cd")
+def mute_counts(spark, sf_dir):
+    """Followers and muters of every key by their distance from the root."""
+    return _mute_counts(spark, sf_dir)
+
+
+@query(_COUNTS_SQL + "\nSELECT * FROM cd x WHERE distance = (SELECT min(distance) FROM cd y WHERE y.pubkey = x.pubkey) AND muters > followers")
+def overmuted(spark, sf_dir):
+    return mut.overmuted(_mute_counts(spark, sf_dir))
+
+
+@query(
+    HEAD + f""",
+{MUTES_SQL},
+bad AS (SELECT DISTINCT muted_pubkey AS k FROM mu WHERE muted_pubkey NOT IN (SELECT followed_pubkey FROM e))
+SELECT 'follow' AS kind, * FROM e WHERE follower_pubkey NOT IN (SELECT k FROM bad) AND followed_pubkey NOT IN (SELECT k FROM bad)
+UNION ALL SELECT 'mute', * FROM mu WHERE muter_pubkey NOT IN (SELECT k FROM bad) AND muted_pubkey NOT IN (SELECT k FROM bad)"""
+)
+def muted_removed(spark, sf_dir):
+    """Both tables less all keys that are muted and not followed."""
+    follows, mutes = cut(fx.follow_edges(spark, sf_dir)), cut(fx.mute_edges(spark, sf_dir))
+    gone = cut(mut.muted_without_followers(follows, mutes))
+    left, silent = mut.without(follows, gone), mut.without(mutes, gone)
+    silent = silent.withColumnsRenamed({"muter_pubkey": "follower_pubkey", "muted_pubkey": "followed_pubkey"})
+    return left.withColumn("kind", F.lit("follow")).unionByName(silent.withColumn("kind", F.lit("mute")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.plans.lineage import cut_by
-from kinweave.plans.schema import DISTANCES, EDGES
+from kinweave.plans.schema import DISTANCES, EDGES, MUTES
 
-TABLES = {"follows": EDGES, "root_distances": DISTANCES}
+TABLES = {"follows": EDGES, "mutes": MUTES, "root_distances": DISTANCES}
+#: A table, the keys of its first column whose rows change, and what becomes of rows in their buckets.
+Change = tuple[str, DataFrame, Callable[[DataFrame], DataFrame]]
 #: Buckets of a new snapshot store's tables, by a hash of their first column.
 BUCKETS = 64
 TRIES = 10
@@ -46,6 +48,10 @@ class _Store:
             known = self._dealt[name, key] = (state, cut_by(self.table(name), key))
         return known[1]
 
+    def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], metadata: dict[str, str]) -> None:
+        """``update_all`` of one table."""
+        self.update_all([(name, keys, change)], metadata)
+
     def close(self) -> None:
         self._dealt = {}
 
@@ -81,9 +87,9 @@ class MemoryStore(_Store):
         self._tables = {k: v for k, v in (self._tables | fresh).items() if v is not None}
         self.metadata = self.metadata | metadata
 
-    def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], metadata: dict[str, str]) -> None:
-        """Replaces a table by what ``change`` makes of it."""
-        self.commit({name: change(self.table(name))}, metadata)
+    def update_all(self, changes: list[Change], metadata: dict[str, str]) -> None:
+        """Replaces each table by what its change makes of it, all together."""
+        self.commit({name: change(self.table(name)) for name, _, change in changes}, metadata)
 
     def close(self) -> None:
         super().close()
@@ -172,21 +178,25 @@ class SnapshotStore(_Store):
                 self.refresh()
         raise Taken(f"other writers kept committing to {self.path}")
 
-    def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], metadata: dict[str, str]) -> None:
-        """Replaces the rows in the buckets of ``keys`` by what ``change`` makes of them.
+    def update_all(self, changes: list[Change], metadata: dict[str, str]) -> None:
+        """Replaces the rows in the buckets of the keys by what the changes make of them,
+        in all tables by one manifest.
 
-        ``change`` must leave rows of other keys as they are. Only the buckets'
+        A change must leave rows of other keys as they are. Only the buckets'
         numbers reach the driver. If another writer commits meanwhile, the
-        change is made again on the new state.
+        changes are made again on the new state.
         """
-        touched = [r[0] for r in keys.select(self._bucket(F.col(keys.columns[0])).alias("b")).distinct().collect()]
+        touched = [[r[0] for r in keys.select(self._bucket(F.col(keys.columns[0])).alias("b")).distinct().collect()] for _, keys, _ in changes]
         for _ in range(TRIES):
-            fresh = self._write(name, change(self.table(name, touched)))
-            old = {b: f for b, f in self._folders.get(name, {}).items() if int(b) not in touched}
+            folders, made = dict(self._folders), []
+            for (name, _, change), numbers in zip(changes, touched, strict=True):
+                fresh = self._write(name, change(self.table(name, numbers)))
+                made += fresh.values()
+                folders[name] = {b: f for b, f in folders.get(name, {}).items() if int(b) not in numbers} | fresh
             try:
-                return self._publish(self._folders | {name: old | fresh}, self.metadata | metadata)
+                return self._publish(folders, self.metadata | metadata)
             except Taken:
-                for top in {f.split("/")[0] for f in fresh.values()}:
+                for top in {f.split("/")[0] for f in made}:
                     self._fs.delete(self._Path(f"{self.path}/{top}"), True)
                 self.refresh()
         raise Taken(f"other writers kept committing to {self.path}")

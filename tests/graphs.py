@@ -1,14 +1,10 @@
 """Keys and tiny graphs for tests."""
 
-KEYS = {
-    "adam": "020f2d21ae09bf35fcdfb65decf1478b846f5f728ab30c5eaabcd6d081a81c3e",
-    "fiatjaf": "3bf0c63fcb93463407af97a5e5ee64fa883d107ef9e558472c4eb9aaaefa459d",
-    "snowden": "84dee6e676e5bb67b4ad4e042cf70cbd8681155db535942fcc6a0533858a7240",
-    "sirius": "4523be58d395b1b196a9b8c82b038b6895cb02b683d0c253a955068dba1facd0",
-    "bob": "abcdef1234567890" * 4,
-    "alice": "fedcba0987654321" * 4,
-}
-ADAM, FIATJAF, SNOWDEN, SIRIUS, BOB, ALICE = KEYS.values()
+import hashlib
+
+#: Made-up keys, in ascending order of their digests.
+EDA, FOX, SUE, TOM = sorted(hashlib.sha256(f"key {i}".encode()).hexdigest() for i in range(4))
+BOB, ALICE = "0123456789abcdef" * 4, "9876543210fedcba" * 4
 ROOT, L1A, L1B, L2A, L2B, L3A, L3B = (c * 64 for c in "abcdef1")
 
 
@@ -17,5 +13,5 @@ def event(author, follows, at=1000, kind=3, tags=None):
     return {"id": "0" * 64, "pubkey": author, "created_at": at, "kind": kind, "tags": tags, "content": "", "sig": "0" * 128}
 
 
-CHAIN = [event(ADAM, [FIATJAF]), event(FIATJAF, [SNOWDEN])]
-COMPLEX = [event(ADAM, [FIATJAF, SNOWDEN]), event(FIATJAF, [SNOWDEN, SIRIUS]), event(SNOWDEN, [ADAM]), event(SIRIUS, [ADAM])]
+CHAIN = [event(EDA, [FOX]), event(FOX, [SUE])]
+COMPLEX = [event(EDA, [FOX, SUE]), event(FOX, [SUE, TOM]), event(SUE, [EDA]), event(TOM, [EDA])]

@@ -3,7 +3,7 @@ import pytest
 from kinweave.operators import ingest as ing
 from kinweave.plans import EDGES
 from kinweave.sources import events_from_rows, read_events
-from tests.graphs import ADAM, BOB, FIATJAF, SIRIUS, SNOWDEN, event
+from tests.graphs import EDA, BOB, FOX, TOM, SUE, event
 
 
 def edges_after(spark, *calls, strict=False):
@@ -25,11 +25,11 @@ def edges_after(spark, *calls, strict=False):
 )
 def test_one_bad_event_rejects_the_call(spark, bad, says):
     with pytest.raises(ValueError, match=says):
-        events_from_rows(spark, [event(ADAM, [FIATJAF]), bad])
+        events_from_rows(spark, [event(EDA, [FOX]), bad])
 
 
 def test_frames_are_validated(spark):
-    good = events_from_rows(spark, [event(ADAM, [FIATJAF], at=0)])
+    good = events_from_rows(spark, [event(EDA, [FOX], at=0)])
     ing.validate(good)
     for column, value, says in (("kind", "1", "got Kind 1"), ("created_at", "-1L", "created_at"), ("tags", "cast(null as array<array<string>>)", "tags")):
         with pytest.raises(ValueError, match=says):
@@ -37,34 +37,49 @@ def test_frames_are_validated(spark):
 
 
 def test_tags(spark):
-    tags = [["p"], ["p", "bad"], ["e", FIATJAF], [], ["p", FIATJAF.upper(), "wss://x", "name"], ["p", FIATJAF], ["p", SNOWDEN], "x", [1, 2],
-            ["P", SIRIUS], ["p", SIRIUS[:63] + "g"], ["p", SIRIUS + "0"]]
-    assert edges_after(spark, [event(ADAM, [], tags=tags)]) == {(ADAM, FIATJAF), (ADAM, SNOWDEN)}
-    assert edges_after(spark, [event(ADAM, [])]) == set()
+    tags = [["p"], ["p", "bad"], ["e", FOX], [], ["p", FOX.upper(), "wss://x", "name"], ["p", FOX], ["p", SUE], "x", [1, 2],
+            ["P", TOM], ["p", TOM[:63] + "g"], ["p", TOM + "0"]]
+    assert edges_after(spark, [event(EDA, [], tags=tags)]) == {(EDA, FOX), (EDA, SUE)}
+    assert edges_after(spark, [event(EDA, [])]) == set()
 
 
 def test_latest_event_within_a_call(spark):
-    assert edges_after(spark, [event(ADAM, [FIATJAF], 1), event(ADAM, [SNOWDEN], 4102444800)]) == {(ADAM, SNOWDEN)}
-    assert edges_after(spark, [event(ADAM, [FIATJAF]), event(ADAM, [SNOWDEN])]) == {(ADAM, FIATJAF)}
+    assert edges_after(spark, [event(EDA, [FOX], 1), event(EDA, [SUE], 4102444800)]) == {(EDA, SUE)}
+    assert edges_after(spark, [event(EDA, [FOX]), event(EDA, [SUE])]) == {(EDA, FOX)}
     # A newer empty list shadows the older one of the same call.
-    assert edges_after(spark, [event(ADAM, [FIATJAF], 1), event(ADAM, [], 2)]) == set()
+    assert edges_after(spark, [event(EDA, [FOX], 1), event(EDA, [], 2)]) == set()
 
 
 def test_replacement_across_calls(spark):
-    first, later = [event(ADAM, [FIATJAF, SIRIUS], 2000), event(BOB, [ADAM])], [event(ADAM, [SNOWDEN], 1000)]
-    assert edges_after(spark, first, later) == {(ADAM, SNOWDEN), (BOB, ADAM)}
-    assert edges_after(spark, first, [event(ADAM, [], 3000)]) == {(ADAM, FIATJAF), (ADAM, SIRIUS), (BOB, ADAM)}
-    assert edges_after(spark, first, later, strict=True) == {(ADAM, FIATJAF), (ADAM, SIRIUS), (BOB, ADAM)}
-    assert edges_after(spark, first, [event(ADAM, [], 3000)], strict=True) == {(BOB, ADAM)}
+    first, later = [event(EDA, [FOX, TOM], 2000), event(BOB, [EDA])], [event(EDA, [SUE], 1000)]
+    assert edges_after(spark, first, later) == {(EDA, SUE), (BOB, EDA)}
+    assert edges_after(spark, first, [event(EDA, [], 3000)]) == {(EDA, FOX), (EDA, TOM), (BOB, EDA)}
+    assert edges_after(spark, first, later, strict=True) == {(EDA, FOX), (EDA, TOM), (BOB, EDA)}
+    assert edges_after(spark, first, [event(EDA, [], 3000)], strict=True) == {(BOB, EDA)}
 
 
 def test_author_is_kept_as_is(spark):
-    assert edges_after(spark, [event(ADAM.upper(), [FIATJAF])]) == {(ADAM.upper(), FIATJAF)}
+    assert edges_after(spark, [event(EDA.upper(), [FOX])]) == {(EDA.upper(), FOX)}
 
 
 def test_json_lines(spark, tmp_path):
     import json
 
-    (tmp_path / "e.jsonl").write_text("\n\n".join(json.dumps(event(k, [FIATJAF])) for k in (ADAM, BOB)) + "\n")
+    (tmp_path / "e.jsonl").write_text("\n\n".join(json.dumps(event(k, [FOX])) for k in (EDA, BOB)) + "\n")
     kept = ing.latest_per_author(read_events(spark, str(tmp_path)), "id")
     assert ing.follows_of(kept).count() == 2
+
+
+def test_broken_json_lines_are_not_lost_in_silence(spark, tmp_path):
+    import json
+
+    good = [json.dumps(event(k, [FOX])) for k in (EDA, BOB)]
+    (tmp_path / "e.jsonl").write_text("\n".join([good[0], "", '{"pubkey": "x", "tags": [', "   ", good[1], '{"created_at": "late"}']) + "\n")
+    path = str(tmp_path)
+    assert {r["pubkey"] for r in read_events(spark, path, "drop").collect()} == {EDA, BOB}
+    kept = read_events(spark, path, "keep")
+    assert kept.filter("broken is not null").count() == 2 and kept.count() == 4
+    with pytest.raises(Exception, match="not an event: "):
+        ing.latest_per_author(read_events(spark, path), "id").collect()
+    with pytest.raises(ValueError, match="broken must be"):
+        read_events(spark, path, "ignore")

@@ -191,6 +191,23 @@ class SocialGraphAnalyzer:
                 log.exception("Delta update failed, marking root table as invalid")
                 self._root_valid = False
 
+    @_open
+    def merge(self, other: SocialGraphAnalyzer) -> int:
+        """Takes on the other graph's follow and mute lists that are newer than this one's,
+        in one commit; returns how many. Only the buckets of their authors are written."""
+        changes, n, before = [], 0, None
+        for name in ("follows", "mutes"):
+            fresh = cut(ing.newer_lists(self._store.table(name), other._store.table(name)))
+            authors = cut(fresh.select(fresh.columns[0]).distinct())
+            n += authors.count()
+            before = self._lists_of(authors) if name == "follows" else before
+            changes.append((name, authors, lambda old, fresh=fresh: ing.merge(old, fresh)))
+        if n:
+            self._store.update_all(changes, {"graph_updated_at": _now()})
+            if self._root and self._root_valid:
+                self._follow_up(*trav.changes(before, self._lists_of(changes[0][1])))
+        return n
+
     def _lists_of(self, authors: DataFrame) -> DataFrame:
         """The authors' edges as they are now; they stay readable after a commit."""
         return self.follows.join(authors, "follower_pubkey", "left_semi")

@@ -78,3 +78,21 @@ def replace_lists_strictly(edges: DataFrame, events: DataFrame) -> DataFrame:
 def ingest(edges: DataFrame, events: DataFrame, order: str = "ord", strict: bool = False) -> DataFrame:
     kept = latest_per_author(events, order)
     return replace_lists_strictly(edges, kept) if strict else replace_lists(edges, follows_of(kept))
+
+
+def newer_lists(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The rows of ``theirs`` whose author has no list in ``ours`` or an older one.
+
+    For follows and mutes: the author is the first column, and all rows of a list
+    have its ``created_at``. Lists are compared by one row each."""
+    author = theirs.columns[0]
+    known = ours.groupBy(author).agg(F.max("created_at").alias("_at"))
+    lists = theirs.groupBy(author).agg(F.max("created_at").alias("_new"))
+    newer = lists.join(known, author, "left").filter("_at is null or _new > _at").select(author)
+    return theirs.join(newer, author, "left_semi")
+
+
+def merge(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Each author's newer list; of equally new ones ours stays."""
+    fresh = newer_lists(ours, theirs)
+    return ours.join(fresh.select(ours.columns[0]).distinct(), ours.columns[0], "left_anti").unionByName(fresh)

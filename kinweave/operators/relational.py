@@ -144,11 +144,14 @@ def two_hop(edges: DataFrame, sources: DataFrame) -> DataFrame:
 def two_hop_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``source, target, mid`` for the ``pairs`` that some key stands between, and the smallest such key.
 
-    Both ends are fixed, so a pair costs as many rows as its source follows."""
+    Both ends are fixed, so a pair costs as many rows as its source follows; the
+    edges of a source that follows very many are dealt out by salts (``Steps``).
+    The second join is on whole edges, of which none is there twice."""
     asked = pairs.select("source", "target").distinct()
-    first = edges.select(F.col(SRC).alias("source"), F.col(DST).alias("mid"))
+    first = Steps(edges).join(asked.select("target", F.col("source").alias("node")), False)
+    first = first.select(F.col("node").alias("source"), "target", F.col("next").alias("mid"))
     last = edges.select(F.col(SRC).alias("mid"), F.col(DST).alias("target"))
-    between = asked.join(first, "source").join(last, ["mid", "target"])
+    between = first.join(last, ["mid", "target"])
     return between.groupBy("source", "target").agg(F.min("mid").alias("mid"))
 
 

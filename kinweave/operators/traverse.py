@@ -116,9 +116,13 @@ def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_pa
         side.expand()
         if not side.rows:
             break
-        met = open_.join(ahead.frontier.withColumnRenamed("origin", "source"), "source").join(
-            back.frontier.withColumnsRenamed({"origin": "target", "path": "rest"}), ["target", "node"]
-        )
+        there = ahead.frontier.withColumnRenamed("origin", "source")
+        here = back.frontier.withColumnsRenamed({"origin": "target", "path": "rest"})
+        # Pairs are first put beside the smaller edge, so fewer rows look for the other.
+        if ahead.rows <= back.rows:
+            met = open_.join(there, "source").join(here, ["target", "node"])
+        else:
+            met = open_.join(here, "target").join(there, ["source", "node"])
         distance = F.lit(ahead.level + back.level).alias("distance")
         whole = [F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("path")] if with_path else []
         met, n = cut_and_count(met.groupBy("source", "target").agg(F.any_value(distance).alias("distance"), *whole))

@@ -161,7 +161,9 @@ class SnapshotStore(_Store):
     def _write(self, name: str, rows: DataFrame) -> dict[str, str]:
         """Folders of the buckets that have rows, all in one new folder."""
         top, key = f"{name}-{uuid.uuid4().hex}", TABLES[name].names[0]
-        dealt = rows.select(*TABLES[name].names, self._bucket(F.col(key)).alias("bucket")).repartition("bucket")
+        # Rebalanced, not only dealt by bucket: tasks follow the rows, so a large bucket
+        # or one author's long list is written by several tasks and small buckets share one.
+        dealt = rows.select(*TABLES[name].names, self._bucket(F.col(key)).alias("bucket")).hint("rebalance", "bucket")
         # Sorted within files, so that a lookup by key skips row groups by their ranges.
         dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{top}")
         names = [f.getPath().getName() for f in self._fs.listStatus(self._Path(f"{self.path}/{top}"))]

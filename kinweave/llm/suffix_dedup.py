@@ -41,7 +41,7 @@ GRAM = 16
 #: A run has so many windows at most; longer ones (periodic texts) are cut.
 MOST_WINDOWS = 128
 #: Text of a task, about, whose runs are combined before they are sent.
-COMBINED_BYTES = 32 << 20
+COMBINED_BYTES = 16 << 20
 #: Text, about, whose runs meet in one group.
 BUCKET_BYTES = 64 << 20
 #: There are as many groups of runs as shuffle partitions, and so many at least.

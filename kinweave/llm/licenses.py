@@ -3,14 +3,15 @@
 A block is a line, or the words around a template's own phrase where these run
 over a line break, so a wrapped notice is found however often it breaks. A block
 matches a template if it holds at least the threshold's share of the template's
-distinct words, and the template's phrase in one piece: licences differ in one
-word, such as "Lesser", which a share alone can't demand.
+distinct words. Licences differ in one word, such as "Lesser", so a block often
+matches several: then those count whose phrase stands in it in one piece, or
+else in another block of the text, or else those of which it holds the largest
+share. So every block that meets the threshold gives a label.
 
 Tokens are ordered by how many lines of the whole input have them, rarest first;
 a match must share a token of the template's prefix, have enough tokens (length
 filter) and enough left after the first shared one (positional filter); what
-passes is counted exactly, then looked up for the phrase. Phrases of the
-contract are searched besides.
+passes is counted exactly. Phrases of the contract are searched besides.
 
 Only template words can add to an overlap, so a block's token set is cut to
 them first: the broadcast side and the frequencies have at most as many rows as
@@ -55,8 +56,12 @@ TEMPLATES = [
     ("gpl-3", "licensed under the GNU General Public License, version 3", "GNU General Public License, version 3"),
     ("gpl-3", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
      "either version 3 of the License", "GNU General Public License as published by the Free Software Foundation, either version 3"),
+    ("gpl-2", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
+     "version 2 of the License", "GNU General Public License as published by the Free Software Foundation; version 2"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
      "distribute this software for any purpose with or without fee"),
+    ("lgpl-2.1", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; "
+     "either version 2.1 of the License", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
     ("lgpl-2.1", "licensed under the GNU Lesser General Public License version 2.1", "GNU Lesser General Public License version 2.1"),
     ("lgpl-3", "licensed under the GNU Lesser General Public License version 3", "GNU Lesser General Public License version 3"),
     ("mit", "Released under the MIT License", "MIT License"),
@@ -67,6 +72,9 @@ TEMPLATES = [
     ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications",
      "anyone to use this software for any purpose, including commercial applications"),
 ]
+#: Short identifiers in source files: label and identifier.
+IDENTIFIERS = [("apache-2", "Apache-2.0"), ("bsd", "BSD-3-Clause"), ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("mit", "MIT"), ("mpl-2", "MPL-2.0")]
+TEMPLATES += [(label, f"SPDX-License-Identifier: {name}", f"SPDX-License-Identifier: {name}") for label, name in IDENTIFIERS]
 THRESHOLD = 0.85
 #: Words that may stand between those of a wrapped notice, on each side of its phrase.
 SLACK = 3
@@ -183,7 +191,8 @@ def wrapped_blocks(vocabulary: list[str], reach: dict[str, int]) -> Column:
 
 
 def similar_blocks(blocks: DataFrame, sets: list[tuple[str, list[str], str, int]]) -> DataFrame:
-    """``key, block, template, score`` of all blocks that meet the threshold, exactly.
+    """``key, block, phrases, template, score, own`` of all blocks that meet the threshold,
+    exactly; ``own``: whether the template's phrase stands in the block.
 
     ``blocks`` has ``key, block, tokens, phrases``; lines are numbered from 0 up."""
     spark = blocks.sparkSession
@@ -207,8 +216,39 @@ def similar_blocks(blocks: DataFrame, sets: list[tuple[str, list[str], str, int]
         .filter((F.col("m") >= F.col("need")) & (F.least(F.col("n") - F.col("at_t"), F.col("m") - F.col("at_b")) >= F.col("need")))
     )
     checked = candidates.withColumn("overlap", F.size(F.array_intersect("tokens", "words"))).filter("overlap >= need")
-    own = checked.filter(F.array_contains("phrases", F.col("phrase")))
-    return own.select("key", "block", "template", (F.col("overlap") / F.col("n")).alias("score"))
+    own = F.array_contains("phrases", F.col("phrase")).alias("own")
+    return checked.select("key", "block", "phrases", "template", (F.col("overlap") / F.col("n")).alias("score"), own)
+
+
+def labels_of(hits: DataFrame, labels: list[str]) -> DataFrame:
+    """``key, more, best, similar`` of each text with a block over the threshold: the labels
+    chosen for its blocks, the largest share among these, and the labels of all
+    templates that any block matches.
+
+    Of a block's templates those count whose phrase stands in it; if there is
+    none, those whose label the text's other blocks name so (a wrapped notice's
+    line says less than the notice); if there is none either, those of which the
+    block holds the largest share. A block's matches are gathered as a set, so
+    copies of a text add nothing to them."""
+    names = F.array(*[F.lit(x) for x in labels])
+    match = F.struct("score", F.get(names, F.col("template")).alias("label"), "own")
+    per_block = hits.groupBy("key", "block", "phrases").agg(F.collect_set(match).alias("all"))
+    per_text = per_block.groupBy("key").agg(F.collect_set("all").alias("blocks"))
+    named = F.transform(F.filter(F.flatten("blocks"), lambda m: m["own"]), lambda m: m["label"])
+
+    def chosen(block: Column) -> Column:
+        own = F.filter(block, lambda m: m["own"])
+        known = F.filter(block, lambda m: F.array_contains(F.col("named"), m["label"]))
+        most = F.filter(block, lambda m: m["score"] == F.array_max(F.transform(block, lambda x: x["score"])))
+        return F.when(F.size(own) > 0, own).when(F.size(known) > 0, known).otherwise(most)
+
+    picked = per_text.withColumn("named", named).select("key", "blocks", F.flatten(F.transform("blocks", chosen)).alias("chosen"))
+    return picked.select(
+        "key",
+        F.array_distinct(F.transform("chosen", lambda m: m["label"])).alias("more"),
+        F.array_max(F.transform("chosen", lambda m: m["score"])).alias("best"),
+        F.array_distinct(F.transform(F.flatten("blocks"), lambda m: m["label"])).alias("similar"),
+    )
 
 
 def scan_licenses(
@@ -219,12 +259,13 @@ def scan_licenses(
     phrases: list[tuple[str, str]] = PHRASES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """``id, n_words, n_base, first_word, last_word, base_labels, labels, score`` per row.
+    """``id, n_words, n_base, first_word, last_word, base_labels, labels, score, similar`` per row.
 
     A null text counts as empty: no words, no labels, score 0. Texts are
-    searched whole, however long, and over line breaks. ``score`` is the largest
-    containment of any template that matches, else 0; 1 where a phrase of
-    ``phrases`` stands. Every row is judged by its own text, whatever its id:
+    searched whole, however long, and over line breaks. ``similar`` has the labels
+    of all templates that any block matches, ``labels`` those that are chosen
+    for the blocks and ``base_labels``; ``score`` is the largest share of a
+    chosen template, else 0; 1 where a phrase of ``phrases`` stands. Every row is judged by its own text, whatever its id:
     repeated rows, rows that share an id and rows with a null id are reported
     each. Extra columns aren't read; an empty table gives an empty result.
     """
@@ -248,8 +289,7 @@ def scan_licenses(
         flat.select("_id", "key", n_words.alias("n_words"), *[c.alias(name) for name, c in base.items()], blocks.alias("blocks")), "license-blocks"
     )
     hits = similar_blocks(read.select("key", F.explode("blocks").alias("b")).select("key", "b.*"), sets)
-    names = F.array(*[F.lit(label) for label, *_ in sets])
-    per_text = hits.groupBy("key").agg(F.collect_set(F.get(names, F.col("template"))).alias("more"), F.max("score").alias("best"))
+    per_text = labels_of(hits, [label for label, *_ in sets])
     # Rows of a text are counted where it has a hit, for those that very many rows share.
     per_text = stored(per_text, "license-hits")
     counts = read.join(per_text.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
@@ -268,4 +308,5 @@ def scan_licenses(
         text(F.col("base_labels")).alias("base_labels"),
         text(F.concat("base_labels", F.coalesce("more", none))).alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
+        text(F.coalesce("similar", none)).alias("similar"),
     )

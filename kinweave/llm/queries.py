@@ -196,14 +196,19 @@ base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start)
 templates(label, t, phrase, need) AS (VALUES {sets}),
 occ AS ({wrapped}),
 around AS (SELECT *, greatest(1, j - far) AS x, least(len(w), j + n - 1 + far) AS y FROM occ),
-blocks AS (SELECT doc_id, label, b, t, need FROM (SELECT doc_id, unnest(ls) AS b FROM ls), templates WHERE contains(' ' || array_to_string(b, ' ') || ' ', ' ' || phrase || ' ')
-           UNION ALL SELECT doc_id, label, w[x:y], t, need FROM around JOIN templates USING (phrase) WHERE ln[x] <> ln[y]),
-hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), t)) / len(t) AS score FROM blocks WHERE len(list_intersect(list_distinct(b), t)) >= need),
-more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM hits GROUP BY doc_id)
+blocks AS (SELECT doc_id, 'l' || i AS blk, ls[i] AS b, contains(' ' || array_to_string(ls[i], ' ') || ' ', ' ' || templates.phrase || ' ') AS own, label, t, need
+           FROM ls, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i), templates
+           UNION ALL SELECT doc_id, 'w' || j || around.phrase, w[x:y], templates.phrase = around.phrase, label, t, need FROM around, templates WHERE ln[x] <> ln[y]),
+hits AS (SELECT doc_id, blk, label, own, len(list_intersect(list_distinct(b), t)) / len(t) AS score FROM blocks WHERE len(list_intersect(list_distinct(b), t)) >= need),
+named AS (SELECT DISTINCT doc_id, label, true AS named FROM hits WHERE own),
+top AS (SELECT *, bool_or(own) OVER (PARTITION BY doc_id, blk) AS any_own, bool_or(coalesce(named, false)) OVER (PARTITION BY doc_id, blk) AS any_named, max(score) OVER (PARTITION BY doc_id, blk) AS most
+        FROM hits LEFT JOIN named USING (doc_id, label)),
+pick AS (SELECT *, CASE WHEN any_own THEN own WHEN any_named THEN coalesce(named, false) ELSE score = most END AS chosen FROM top),
+more AS (SELECT doc_id, list(DISTINCT label) FILTER (chosen) AS labels, list(DISTINCT label) AS similar, max(score) FILTER (chosen) AS score FROM pick GROUP BY doc_id)
 SELECT d.doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, cast(first_word AS BIGINT) AS first_word, cast(last_word AS BIGINT) AS last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
-       cast(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(more.score, 0) END AS DOUBLE) AS score
+       cast(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(more.score, 0) END AS DOUBLE) AS score, array_to_string(list_sort(coalesce(more.similar, [])), ',') AS similar
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 

@@ -177,22 +177,47 @@ def plain_labels(text):
     holds = lambda block, phrase: any(block[i : i + len(phrase)] == phrase for i in range(len(block)))
     lines = [cut(line) for line in text.split("\n")]
     flat = [(w, i) for i, line in enumerate(lines) for w in line]
-    found = {}
-    for label, notice, phrase in TEMPLATES:
-        want, phrase = set(cut(notice)), cut(phrase)
-        far = max(len(cut(n)) - len(phrase) + SLACK for _, n, p in TEMPLATES if cut(p) == phrase)
-        blocks = [line for line in lines if holds(line, phrase)]
+    phrases = {}
+    for _, notice, phrase in TEMPLATES:
+        own = tuple(cut(phrase))
+        phrases[own] = max(phrases.get(own, 0), len(cut(notice)) - len(own) + SLACK)
+    blocks = [(line, [p for p in phrases if holds(line, list(p))]) for line in lines]
+    for own, far in phrases.items():
         for i in range(len(flat)):
-            around = flat[max(0, i - far) : i + len(phrase) + far]
-            if [w for w, _ in flat[i : i + len(phrase)]] == phrase and around[0][1] != around[-1][1]:
-                blocks.append([w for w, _ in around])
-        for block in blocks:
-            share = len(want & set(block)) / len(want)
-            if share >= 0.85 - 1e-9:
-                found[label] = max(found.get(label, 0), share)
+            around = flat[max(0, i - far) : i + len(own) + far]
+            if tuple(w for w, _ in flat[i : i + len(own)]) == own and around[0][1] != around[-1][1]:
+                blocks.append(([w for w, _ in around], [own]))
+    matched = []
+    for block, standing in blocks:
+        shares = [(label, len(set(cut(n)) & set(block)) / len(set(cut(n))), tuple(cut(p)) in standing) for label, n, p in TEMPLATES]
+        matched.append([x for x in shares if x[1] >= 0.85 - 1e-9])
+    named = {label for found in matched for label, _, own in found if own}
+    found = {}
+    for own in matched:
+        for pick in ([x for x in own if x[2]], [x for x in own if x[0] in named], [x for x in own if x[1] == max(y[1] for y in own)]):
+            if pick:
+                for label, share, _ in pick:
+                    found[label] = max(found.get(label, 0), share)
+                break
     return found
 
 
+def test_every_block_over_the_threshold_has_a_label(spark):
+    """Without a template's phrase, and forms of notices that differ in a few words."""
+    texts = {
+        "bsd": "Redistribution and use in source and in binary forms, with or without modification, are permitted",
+        "gpl-2": "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+        "lgpl-2.1": "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or redistribute it",
+        "mit": "// SPDX-License-Identifier: MIT",
+        "apache-2": "# SPDX-License-Identifier: Apache-2.0",
+        "": "A clean line about software, source forms and permission.",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in scan_licenses(df).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts) and all(set(r["labels"].split(",")) <= set(r["similar"].split(",")) for r in got.values())
+    assert got[0]["score"] == 1.0 and got[5]["score"] == 0.0
+
+
 def test_near_licences_are_told_apart(spark):
     r = random.Random(11)
     rows, want = [], {}

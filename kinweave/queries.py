@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from kinweave.operators import ingest as ing
 from kinweave.operators import measure
 from kinweave.operators import mutes as mut
 from kinweave.operators import paths
+from kinweave.operators import patterns as pat
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
-from kinweave.plans.lineage import cut, cut_by
+from kinweave.plans.lineage import cut, cut_by, shared_root
 from kinweave.plans.schema import EDGES
+from kinweave.sources import compact
 
 ROOT, DEPTH = 0, 6
 SPLIT = "1998-01-01"
@@ -612,6 +615,56 @@ def muted_removed(spark, sf_dir):
     return left.withColumn("kind", F.lit("follow")).unionByName(silent.withColumn("kind", F.lit("mute")))
 
 
+@query(HEAD + "\nSELECT DISTINCT x.follower_pubkey AS source, y.follower_pubkey AS target, 2 AS hops FROM e x JOIN e y ON x.followed_pubkey = y.followed_pubkey")
+def pattern_same_interest(spark, sf_dir):
+    """(a)->(x)<-(b): keys that follow a common key."""
+    return pat.match(cut(fx.follow_edges(spark, sf_dir)), [pat.Step("out"), pat.Step("in")])
+
+
+@query(
+    HEAD + """,
+w(source, node, d) AS (SELECT DISTINCT pubkey, pubkey, 0 FROM (SELECT follower_pubkey AS pubkey FROM e UNION SELECT followed_pubkey FROM e) UNION SELECT w.source, e.followed_pubkey, d + 1 FROM w JOIN e ON e.follower_pubkey = w.node WHERE d < 3)
+SELECT source, node AS target, min(d) AS hops FROM w WHERE d >= 2 GROUP BY ALL"""
+)
+def pattern_two_to_three(spark, sf_dir):
+    """(a)->{2,3}(b): walks of two or three edges, the shorter of each pair."""
+    return pat.match(fx.cached_edges(spark, sf_dir), [pat.Step("out", 2, 3)])
+
+
+@query(
+    HEAD + """,
+m AS (SELECT x.follower_pubkey AS a, x.followed_pubkey AS b FROM e x JOIN e y ON x.follower_pubkey = y.followed_pubkey AND x.followed_pubkey = y.follower_pubkey),
+s AS (SELECT follower_pubkey AS a, followed_pubkey AS b FROM e UNION SELECT followed_pubkey, follower_pubkey FROM e),
+r AS (SELECT a AS source, b AS target, 1 AS hops FROM m UNION ALL SELECT m.a, s.b, 2 FROM m JOIN s ON s.a = m.b)
+SELECT source, target, min(hops) AS hops FROM r GROUP BY ALL"""
+)
+def pattern_friends_circle(spark, sf_dir):
+    """(a)<->(b)-{0,1}(c): keys at or next to a mutual follow, in any direction."""
+    return pat.match(cut(fx.follow_edges(spark, sf_dir)), [pat.Step("mutual"), pat.Step("any", 0, 1)])
+
+
+@query(HEAD + f""",
+{edges_sql('(SELECT * FROM ev WHERE ord % 2 = 0)', 'e1')},
+{edges_sql('(SELECT * FROM ev WHERE ord % 2 = 1)', 'e2')},
+t1 AS (SELECT follower_pubkey AS k, max(created_at) AS last FROM e1 GROUP BY 1), t2 AS (SELECT follower_pubkey AS k, max(created_at) AS last FROM e2 GROUP BY 1)
+SELECT e1.* FROM e1 LEFT JOIN t2 ON k = follower_pubkey WHERE last IS NULL OR last <= created_at
+UNION ALL SELECT e2.* FROM e2 LEFT JOIN t1 ON k = follower_pubkey WHERE last IS NULL OR last < created_at""")
+def merged_lists(spark, sf_dir):
+    """Two graphs of half the events each, merged by the newer list of each author."""
+    events = fx.order_events(spark, sf_dir)
+    ours, theirs = (cut(_edges_of_events(spark, sf_dir, events.filter(F.col("ord") % 2 == k))) for k in (0, 1))
+    return ing.merge(ours, theirs)
+
+
+@query(HEAD + """
+SELECT follower_pubkey, followed_pubkey, created_at FROM e""")
+def compact_round_trip(spark, sf_dir):
+    """Every edge, written in the compact form and read from it."""
+    path = f"{shared_root(spark).rstrip('/')}/kinweave-compact-{uuid.uuid4().hex}"
+    compact.write_compact(cut(fx.follow_edges(spark, sf_dir)), path)
+    return compact.read_compact(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

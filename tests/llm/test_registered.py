@@ -48,3 +48,10 @@ def test_stages_stand_odd_tables(spark, sf_dir):
     assert corpus_pipeline.exact_duplicates(spark, with_null, sf_dir).filter("doc_id is null").count() == 2
     kept = [r["doc_id"] for r in corpus_pipeline.exact_duplicates(spark, docs, sf_dir).collect()]
     assert len(kept) == len(set(kept)) and None in kept
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark, sf_dir):
+    rows = [(1, "a text here", "en", "s", 1), (1, "another one", "en", "s", 1), (2, "a text here", "en", "s", 1), (3, None, "en", "s", 0), (3, "", "en", "s", 0), (4, "once", "en", "s", 1)]
+    docs = spark.createDataFrame(rows + rows[-1:], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.exact_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(left) == [(1, "another one"), (2, "a text here"), (3, ""), (4, "once")]

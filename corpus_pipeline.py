@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import MADE, remove_made, stored, table
 from kinweave.llm.decontaminate import find_leaks
-from kinweave.llm.exact_dedup import exact_dedup
+from kinweave.llm.exact_dedup import exact_dedup, sha256_bytes
 from kinweave.llm.langid import UNDECIDED, fit, identify
 from kinweave.llm.near_dedup import near_duplicates
 from kinweave.llm.queries import MODEL_FILE
@@ -55,15 +55,18 @@ def _lost(decided: DataFrame) -> DataFrame:
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays, once if its row is repeated.
 
-    A null text equals an empty one. Rows without an id stay; texts of any
+    Rows are judged by id and text, so of rows that share an id each has its own
+    fate. A null text equals an empty one. Rows without an id stay; texts of any
     length are compared whole; an empty table stays empty."""
-    decided = exact_dedup(docs)
-    left = _without(docs, _lost(decided))
+    lost = stored(exact_dedup(docs).filter("not kept and doc_id is not null").select("doc_id", "digest").distinct(), "rejected")
+    few = lost.count() <= BROADCAST_IDS
+    keyed = docs.withColumn("digest", sha256_bytes(F.coalesce(F.col("text"), F.lit(""))))
+    left = keyed.join(F.broadcast(lost) if few else lost.hint("merge"), ["doc_id", "digest"], "left_anti").select(*COLUMNS)
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     if repeated.isEmpty():
         return left
     repeated = stored(repeated.select("doc_id"), "repeated")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    once = left.join(repeated, "doc_id", "left_semi").withColumn("_text", F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", "_text"])
     return _without(left, repeated).unionByName(once.select(*COLUMNS))
 
 

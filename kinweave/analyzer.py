@@ -234,9 +234,9 @@ class SocialGraphAnalyzer:
         """The edges dealt out by follower, for searches."""
         return self._store.dealt("follows", "follower_pubkey")
 
-    def _back(self) -> DataFrame:
+    def _back(self) -> rel.Dealt:
         """The edges dealt out by followed key, for searches from their ends."""
-        return self._store.dealt("follows", "followed_pubkey")
+        return self._store.dealt_back()
 
     # Root distances
 

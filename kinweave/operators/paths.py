@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.relational import Steps
+from kinweave.operators.relational import Dealt, Steps
 from kinweave.operators.traverse import BROADCAST_ROWS
 from kinweave.plans.lineage import cut, cut_and_count
 
@@ -43,7 +43,7 @@ def count_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int) -> Dat
     return _levels(edges, pairs, levels)[1]
 
 
-def all_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | None = None) -> DataFrame:
+def all_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``source, target, distance, path``, a row for each shortest path of each pair in reach.
 
     The search forward leaves every node's distance from the source; paths are
@@ -88,7 +88,7 @@ def _distances_to(back: Steps, targets: DataFrame, levels: int) -> DataFrame:
     return seen
 
 
-def routing_table(edges: DataFrame, targets: DataFrame, levels: int, backward: DataFrame | None = None) -> DataFrame:
+def routing_table(edges: DataFrame, targets: DataFrame, levels: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``here, there, via, len``: of every key within ``levels`` of each target (column
     ``target``) the next hop of a shortest path there and its length."""
     found = _distances_to(Steps(edges if backward is None else backward, backward=True), targets, levels)
@@ -109,7 +109,7 @@ def follow_routes(routes: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def simple_paths(edges: DataFrame, pairs: DataFrame, most: int, backward: DataFrame | None = None) -> DataFrame:
+def simple_paths(edges: DataFrame, pairs: DataFrame, most: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``source, target, path``, a row for each path without a repeated key and with at most
     ``most`` edges. A key has none to itself.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.plans.lineage import cut, cut_and_count
+from kinweave.plans.lineage import cut, cut_and_count, cut_by
 
 SRC, DST = "follower_pubkey", "followed_pubkey"
 #: A node counts as hot if more than one in HOT_SHARE of the edges leave it, so there are at most HOT_SHARE.
@@ -13,21 +13,55 @@ HOT_SHARE = 1000
 SALTS = 64
 
 
-class Steps:
-    """Edges as steps from ``node`` to ``next``, forward or backward, to be joined with rows at nodes."""
+class Dealt:
+    """A copy of the edges for searches, dealt out by one end once, hot keys and all.
+
+    ``cold`` is dealt by the key. The edges of hot keys are in ``hot``, dealt by key
+    and a salt of the other end, so no partition holds a celebrity's followers;
+    ``keys`` are these at most HOT_SHARE keys, None if there is none."""
 
     def __init__(self, edges: DataFrame, backward: bool = False):
         near, far = (DST, SRC) if backward else (SRC, DST)
-        self.frame = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+        steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+        self.keys, n_hot = _hot_nodes(steps)
+        self.backward, self.hot = backward, None
+        if not n_hot:
+            self.keys, self.cold = None, cut_by(steps, "node")
+            return
+        few = F.broadcast(self.keys)
+        self.cold = cut_by(steps.join(few, "node", "left_anti"), "node")
+        self.hot = cut_by(steps.join(few, "node", "left_semi").withColumn("salt", _salt()), "node", "salt")
+
+
+def _salt():
+    return F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")
+
+
+def _hot_nodes(steps: DataFrame) -> tuple[DataFrame, int]:
+    counts = cut(steps.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return cut_and_count(counts.filter(F.col("n") * HOT_SHARE > total).filter(F.col("n") > SALTS).select("node"))
+
+
+class Steps:
+    """Edges as steps from ``node`` to ``next``, forward or backward, to be joined with rows at nodes."""
+
+    def __init__(self, edges: DataFrame | Dealt, backward: bool = False):
+        self.dealt = edges if isinstance(edges, Dealt) else None
+        if self.dealt:
+            if self.dealt.backward != backward:
+                raise ValueError("the edges are dealt out by their other end")
+            self.frame = self.dealt.cold if self.dealt.hot is None else self.dealt.cold.unionByName(self.dealt.hot.drop("salt"))
+        else:
+            near, far = (DST, SRC) if backward else (SRC, DST)
+            self.frame = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
         self._hot: DataFrame | None = None
         self._hot_rows = 0
 
     def hot(self) -> DataFrame:
         """The at most HOT_SHARE hot nodes, found once, when first needed."""
         if self._hot is None:
-            counts = cut(self.frame.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
-            total = counts.agg(F.sum("n")).first()[0] or 0
-            self._hot, self._hot_rows = cut_and_count(counts.filter(F.col("n") * HOT_SHARE > total).filter(F.col("n") > SALTS).select("node"))
+            self._hot, self._hot_rows = _hot_nodes(self.frame)
         return self._hot
 
     def join(self, rows: DataFrame, small: bool) -> DataFrame:
@@ -36,18 +70,25 @@ class Steps:
         Small rows are broadcast, and edges stay where they are. Others are
         joined by a shuffle on the node, except at hot nodes: the steps of these
         are dealt out by a salt of their ends and the rows there repeated for
-        each salt, so no node's steps meet in one task.
+        each salt, so no node's steps meet in one task. Edges that are ``Dealt``
+        stay where they are then too.
         """
         if small:
             return self.frame.join(F.broadcast(rows), "node")
+        if self.dealt:
+            if self.dealt.hot is None:
+                return self.dealt.cold.join(rows, "node")
+            return self._salted(self.dealt.cold, self.dealt.hot, rows, F.broadcast(self.dealt.keys))
         hot = F.broadcast(self.hot())
         if not self._hot_rows:
             return self.frame.join(rows, "node")
-        cold = self.frame.join(hot, "node", "left_anti").join(rows, "node")
-        salted = self.frame.join(hot, "node", "left_semi").withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int"))
+        salted = self.frame.join(hot, "node", "left_semi").withColumn("salt", _salt())
+        return self._salted(self.frame.join(hot, "node", "left_anti"), salted, rows, hot)
+
+    def _salted(self, cold: DataFrame, salted: DataFrame, rows: DataFrame, hot: DataFrame) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         there = rows.join(hot, "node", "left_semi").select("*", every)
-        return cold.unionByName(salted.join(there.hint("merge"), ["node", "salt"]).drop("salt"))
+        return cold.join(rows, "node").unionByName(salted.join(there.hint("merge"), ["node", "salt"]).drop("salt"))
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:

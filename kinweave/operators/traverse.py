@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.operators.relational import DST, SRC, Steps
+from kinweave.operators.relational import DST, SRC, Dealt, Steps
 from kinweave.plans.lineage import cut, cut_and_count
 
 BROADCAST_ROWS = 20_000
@@ -66,7 +66,7 @@ class _Side:
     A backward side walks the edges from their ends; its paths lead from a node to the origin.
     """
 
-    def __init__(self, edges: DataFrame, origins: DataFrame, backward: bool, with_path: bool):
+    def __init__(self, edges: DataFrame | Dealt, origins: DataFrame, backward: bool, with_path: bool):
         self.steps = Steps(edges, backward)
         self.backward, self.with_path, self.level = backward, with_path, 0
         start = origins.select("origin", F.col("origin").alias("node")).distinct()
@@ -93,7 +93,7 @@ class _Side:
         self.frontier, self.rows = cut_and_count(self.frontier.join(origins, "origin", "left_semi"))
 
 
-def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_path: bool = False, backward: DataFrame | None = None) -> DataFrame:
+def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_path: bool = False, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``source, target, distance[, path]`` of the ``pairs`` (source, target) in reach; others have no row.
 
     Both ends of all pairs are searched, each time the side with fewer nodes at
@@ -136,7 +136,7 @@ def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_pa
     return out
 
 
-def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False, backward: DataFrame | None = None) -> dict | None:
+def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False, backward: DataFrame | Dealt | None = None) -> dict | None:
     """``{"distance": d, "path": [...]}`` of one pair (no path unless asked for), or None if out of reach."""
     if source == target:
         return {"distance": 0, "path": [source]} if with_path else {"distance": 0}
@@ -196,7 +196,7 @@ def changes(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old.join(new, [SRC, DST], "left_anti"), new.join(old, [SRC, DST], "left_anti")
 
 
-def orphans(edges: DataFrame, distances: DataFrame, lost: DataFrame, backward: DataFrame | None = None) -> DataFrame:
+def orphans(edges: DataFrame, distances: DataFrame, lost: DataFrame, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``pubkey, distance`` of the keys none of whose shortest paths is left, with their old distances.
 
     ``edges`` are those after the removal of the ``lost`` ones. By level: a key
@@ -233,7 +233,7 @@ def orphans(edges: DataFrame, distances: DataFrame, lost: DataFrame, backward: D
 
 
 def refresh(
-    edges: DataFrame, distances: DataFrame, lost: DataFrame, gained: DataFrame, max_depth: int, backward: DataFrame | None = None
+    edges: DataFrame, distances: DataFrame, lost: DataFrame, gained: DataFrame, max_depth: int, backward: DataFrame | Dealt | None = None
 ) -> DataFrame:
     """Root distances after edges were ``lost`` and ``gained``; equal to a rebuild over ``edges``, those after.
 

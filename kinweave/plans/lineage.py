@@ -50,12 +50,12 @@ def fixed_plans(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """The cut frame, hash-partitioned by ``key``, for joins at every level of a search.
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """The cut frame, hash-partitioned by the ``keys``, for joins at every level of a search.
 
     The frame is first made by an adaptive plan and then dealt out by a fixed
-    one. Joins on the key with as many shuffle partitions leave it where it is.
+    one. Joins on the keys with as many shuffle partitions leave it where it is.
     """
     made = cut(df)
     with fixed_plans(df.sparkSession):
-        return cut(made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key))
+        return cut(made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys))

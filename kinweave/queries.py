@@ -293,7 +293,7 @@ def _pair_paths_sql() -> str:
 def shortest_pairs(spark, sf_dir):
     """Paths of many pairs by the two-sided search that single ones use."""
     edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
-    found = trav.shortest_pairs(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, True, cut_by(edges, "followed_pubkey"))
+    found = trav.shortest_pairs(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, True, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
 
@@ -307,7 +307,7 @@ WHERE distance <= 1 OR (distance = 2 AND max_depth >= 2) OR (distance >= 3 AND d
 def shortest_by_depth(spark, sf_dir):
     """What a two-sided search finds at each depth; odd ones reach no further than even ones, and direct edges are always found."""
     edges = cut(fx.follow_edges(spark, sf_dir))
-    ahead, back = cut_by(edges, "follower_pubkey"), cut_by(edges, "followed_pubkey")
+    ahead, back = cut_by(edges, "follower_pubkey"), rel.Dealt(edges, backward=True)
     pairs = fx.table(spark, sf_dir, "customer").select(F.lit(ROOT).cast("bigint").alias("source"), F.col("c_custkey").cast("bigint").alias("target"))
     out = None
     for m in range(8):
@@ -541,7 +541,7 @@ SELECT p.a AS source, p.b AS target, d AS distance, path FROM p JOIN s ON s.sour
 def all_shortest_paths(spark, sf_dir):
     """Every shortest path of each pair."""
     edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
-    found = paths.all_shortest_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, cut_by(edges, "followed_pubkey"))
+    found = paths.all_shortest_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
 
@@ -557,7 +557,7 @@ SELECT source, target, array_to_string(path, '>') AS path FROM s WHERE node = ta
 def simple_paths(spark, sf_dir):
     """Every path of each pair that repeats no key and has at most so many edges."""
     edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
-    found = paths.simple_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, cut_by(edges, "followed_pubkey"))
+    found = paths.simple_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
 

@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.relational import Dealt
 from kinweave.plans.lineage import cut_by
 from kinweave.plans.schema import DISTANCES, EDGES, MUTES
 
@@ -38,7 +39,7 @@ class _Store:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self._dealt: dict[tuple[str, str], tuple[object, DataFrame]] = {}
+        self._dealt: dict[tuple[str, str], tuple[object, DataFrame | Dealt]] = {}
 
     def dealt(self, name: str, key: str) -> DataFrame:
         """The table dealt out by ``key`` once for each of its versions, so the levels of searches don't shuffle it."""
@@ -48,6 +49,14 @@ class _Store:
             known = self._dealt[name, key] = (state, cut_by(self.table(name), key))
         return known[1]
 
+    def dealt_back(self) -> Dealt:
+        """The follows dealt out by followed key, celebrities' followers spread, once for each version."""
+        state = self.state_of("follows")
+        known = self._dealt.get(("follows", "back"))
+        if known is None or known[0] != state:
+            known = self._dealt["follows", "back"] = (state, Dealt(self.table("follows"), backward=True))
+        return known[1]
+
     def update(self, name: str, keys: DataFrame, change: Callable[[DataFrame], DataFrame], metadata: dict[str, str]) -> None:
         """``update_all`` of one table."""
         self.update_all([(name, keys, change)], metadata)

@@ -79,3 +79,17 @@ def test_a_level_shuffles_no_edges(spark, tmp_path, key):
     assert store.dealt("follows", key) is dealt
     replace(store, spark, [("a1", "a2")])
     assert store.dealt("follows", key) is not dealt
+
+
+def test_write_tasks_follow_the_rows(spark, tmp_path):
+    """One author with most rows is written by several tasks, and small buckets don't get a file each per task."""
+    store = SnapshotStore(spark, str(tmp_path / "s"), buckets=4)
+    conf = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "64k")
+    try:
+        rows = spark.range(40_000).select(F.lit("hub").alias("follower_pubkey"), F.sha2(F.col("id").cast("string"), 256).alias("followed_pubkey"), F.lit(1).cast("bigint").alias("created_at"))
+        store.update("follows", rows.select("follower_pubkey").limit(1), lambda old: rows, {})
+    finally:
+        spark.conf.set(conf, before)
+    assert len(list((tmp_path / "s").glob("follows-*/bucket=*/*.parquet"))) > 3 and store.table("follows").count() == 40_000

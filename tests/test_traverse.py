@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
@@ -163,3 +164,26 @@ def test_a_hot_key_is_spread_over_tasks(spark):
     found = steps.join(rows, False)
     plan = found._jdf.queryExecution().toString()
     assert found.count() == 20_040 and "salt" in plan
+
+
+def test_a_celebrity_is_dealt_out(spark, monkeypatch):
+    """A key with a fifth of all followers: no partition holds its edges, and joins don't shuffle any."""
+    edges = text_edges(spark, [(f"f{i}", "hub") for i in range(4000)] + [(f"f{i}", f"x{i % 700}") for i in range(16_000)])
+    dealt = rel.Dealt(edges, backward=True)
+    assert [r["node"] for r in dealt.keys.collect()] == ["hub"]
+    for part in (dealt.cold, dealt.hot):
+        sizes = [r["count"] for r in part.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4
+    rows = spark.createDataFrame([("hub", 1), ("x1", 1), ("f1", 2)], "node string, origin int").hint("merge")
+    steps = rel.Steps(dealt, True)
+    found = steps.join(rows, False)
+    want = 4000 + sum(i % 700 == 1 for i in range(16_000))
+    assert found.count() == steps.join(rows, True).count() == want
+    # One exchange of the rows for the cold edges, one for the salted ones; none of the edges.
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    monkeypatch.setattr(trav, "BROADCAST_ROWS", 0)
+    asked = spark.createDataFrame([("f1", "hub"), ("f2", "x2"), ("f1", "f2"), ("hub", "f1")], "source string, target string")
+    got = {(r["source"], r["target"]): r["distance"] for r in trav.shortest_pairs(edges, asked, 4, backward=dealt).collect()}
+    assert got == {("f1", "hub"): 1, ("f2", "x2"): 1}
+    with pytest.raises(ValueError, match="other end"):
+        rel.Steps(dealt)

@@ -185,8 +185,26 @@ def write_warc(archive: Archive, path: str, records_per_file: int = 10_000) -> N
     records.select(F.col("value").cast("string").alias("value")).write.options(**options).text(path)
 
 
+def header_fields(header: str) -> dict[str, str]:
+    """A header's values by their names in lower case, with or without blanks around
+    them; a line that begins with a blank goes on with the one before, and of a
+    name that is there twice the first counts."""
+    out, last = {}, None
+    for line in header.split(CRLF)[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] = f"{out[last]} {line.strip()}"
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            out.setdefault(last, value.strip())
+    return out
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """``header, body`` of each record of a file's bytes, gzipped or not, one record at a time; gzip members are joined."""
+    """``header, body`` of each record of a file's bytes, gzipped or not, one record at a time; gzip members are joined.
+
+    What isn't a record is an error, never skipped: another first line, no length
+    or one that isn't a number, a body that is cut off, another ending than two line breaks."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := stream.readline():
         lines = [line]
@@ -196,22 +214,24 @@ def parse_warc(data: bytes) -> Iterator[tuple[str, bytes]]:
         if line == b"":
             raise ValueError("a record's header has no end")
         header = b"".join(lines).decode()
-        size = int(_field(header, "Content-Length") or 0)
-        body = stream.read(size)
-        if len(body) != size:
+        length = header_fields(header).get("content-length", "")
+        if not header.startswith("WARC/") or not (length.isascii() and length.isdigit()):
+            raise ValueError(f"not a record with a Content-Length: {header[:80]!r}")
+        body = stream.read(int(length))
+        if len(body) != int(length):
             raise ValueError("a record is cut off")
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError("a record's ending is missing, so its length is wrong")
         yield header, body
-        stream.read(4)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content").to_pylist():
             for header, body in parse_warc(content):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([header]), pa.array([_field(header, "WARC-Type")]), pa.array([_field(header, "WARC-Target-URI")]), pa.array([body], pa.binary())],
-                    ["header", "record_type", "url", "body"],
-                )
+                fields = header_fields(header)
+                about = [pa.array([x], pa.string()) for x in (header, fields.get("warc-type"), fields.get("warc-target-uri"))]
+                yield pa.RecordBatch.from_arrays([*about, pa.array([body], pa.binary())], ["header", "record_type", "url", "body"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

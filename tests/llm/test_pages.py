@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import os
 
@@ -5,7 +6,7 @@ import pytest
 
 from kinweave.llm.html_text import blocks, common_lines, extract_text
 from kinweave.llm.url_filter import judge_urls
-from kinweave.llm.warc import parse_warc, read_records, read_warc, reconstruct, write_archive, write_warc
+from kinweave.llm.warc import header_fields, parse_warc, read_records, read_warc, reconstruct, write_archive, write_warc
 
 BIG = "<p>" + "é big page " * 200
 PAGES = [
@@ -217,3 +218,19 @@ def test_common_lines_equal_a_table():
         assert len(kept) == best[-1][-1] and kept == sorted(set(kept))
         rest = iter(b)
         assert all(any(x == y for y in rest) for x in (a[i] for i in kept))
+
+
+def test_warc_headers_of_other_writers():
+    def record(head, body=b"hello", end=b"\r\n\r\n"):
+        return b"WARC/1.0\r\n" + head + b"\r\n\r\n" + body + end
+
+    good = [b"content-length: 5", b"Content-Length:5", b"CONTENT-LENGTH:   5  ", b"WARC-Type: a\r\n folded\r\nContent-Length: 5\r\nContent-Length: 9"]
+    assert [body for _, body in parse_warc(b"".join(map(record, good)))] == [b"hello"] * 4
+    joined = b"".join(gzip.compress(record(h)) for h in good)
+    assert [body for _, body in parse_warc(joined)] == [b"hello"] * 4
+    assert header_fields("WARC/1.0\r\nA: x\r\n  y\r\nb:z") == {"a": "x y", "b": "z"}
+    for bad in (b"WARC-Type: response", b"Content-Length: x", b"Content-Length: -5", b"Content-Length: 4", b"Content-Length: 6", b"Content-Length: 500"):
+        with pytest.raises(ValueError, match="record"):
+            list(parse_warc(record(bad) + record(b"Content-Length: 5")[:30]))
+    with pytest.raises(ValueError, match="not a record"):
+        list(parse_warc(b"HTTP/1.1 200\r\nContent-Length: 0\r\n\r\n\r\n\r\n"))

@@ -36,7 +36,7 @@ FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "butt
 INLINE = {"b", "i", "em", "strong", "a", "span", "u", "font", "small", "p", "li"}
 #: Words in class, id or role by which an element says that it is furniture.
 _REMARK = r"comments?|replies|disqus|respond"
-_ADVERT = r"ads?|advert\w*|sponsor\w*|promo\w*"
+_ADVERT = r"ads?|ads?(?:bygoogle|sense|box|slot|unit|wrap|wrapper|container|banner|block|space|frame)|advert\w*|sponsor\w*|promo\w*"
 _NOTICE = r"banner|cookies?|consent|notices?|alert|newsletter|subscribe"
 _MARK = (
     rf"(?:{_REMARK}|{_ADVERT}|{_NOTICE}|related|recommended|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|complementary|"
@@ -46,7 +46,7 @@ _MARK = (
 #: What may stand beside them in a token of several parts. Others tell of a state, as in ``comments-open`` or ``no-sidebar``.
 _BESIDE = (
     r"(?:site|page|main|global|top|bottom|left|right|inner|outer|primary|secondary|sticky|list|box|bar|area|wrap|wrapper|container|section|"
-    r"links?|items?|block|slot|unit|form|thread|icons?|buttons?|panel|posts?|articles?|stor(?:y|ies)|content|\d+)"
+    r"links?|items?|block|slot|unit|form|thread|icons?|buttons?|panel|posts?|articles?|stor(?:y|ies)|content|users?|readers?|visitors?|google|\d+(?:x\d+)?)"
 )
 MARKS = re.compile(rf"(?:{_BESIDE}[_-]+)*{_MARK}(?:[_-]+(?:{_MARK}|{_BESIDE}))*")
 COMMENTS = re.compile(rf"(?:{_BESIDE}[_-]+)*(?:{_REMARK})(?:[_-]+(?:{_MARK}|{_BESIDE}))*")
@@ -55,29 +55,40 @@ OWN = re.compile(rf"{_REMARK}|{_ADVERT}|related|recommended")
 #: What counts on a paragraph, which is no menu or sidebar whatever its class.
 ON_TEXT = re.compile(rf"(?:{_BESIDE}[_-]+)*(?:{_REMARK}|{_ADVERT}|{_NOTICE})(?:[_-]+(?:{_REMARK}|{_ADVERT}|{_NOTICE}|{_BESIDE}))*")
 MAIN = {"article", "main"}
+#: Tokens of an article element that only hints at another page, unless it holds most of this one's text.
+TEASER = re.compile(r"(?:[a-z0-9]+[_-]+)*(?:teaser|card|preview|excerpt)(?:[_-]+[a-z0-9]+)*")
+#: Inline styles by which an element isn't shown.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+# Attributes end at the first > outside quotes; where a quote is never closed, at the first > of all.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?P<raw_attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    rf"|<(?P<raw>{'|'.join(RAW)})\b(?P<raw_attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?=>)|[^<>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?=>)|[^<>]*)>"
     r"|(?P<text>[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 NONE, FURNISHED, COMMENTED = 0, 1, 2
+#: How sure an element is of being the page's main one.
+OPEN, HINT, SURE = 0, 1, 2
 
 
-def _kind(name: str, attrs: str) -> tuple[int, bool]:
+def _kind(name: str, attrs: str) -> tuple[int, int]:
     """What an element's tag says: furniture or comments, and whether it is a main element."""
     found: dict[str, str] = {}
     for key, value in _ATTR.findall(attrs) if attrs else ():
         found.setdefault(key.lower(), value.strip("\"'").lower())
     words = [w for k in ("class", "id", "role") for w in found.get(k, "").split()]
     main = name in MAIN or found.get("role") == "main" or found.get("itemprop") == "articlebody"
+    if main:
+        main = HINT if name == "article" and any(TEASER.fullmatch(w) for w in words) else SURE
+    else:
+        main = OPEN
     if name in ("html", "body"):
         return NONE, main  # the whole page can't be furniture
     if main:
@@ -85,19 +96,20 @@ def _kind(name: str, attrs: str) -> tuple[int, bool]:
     if name == "p":
         words = [w for w in words if ON_TEXT.fullmatch(w)]
     if any(COMMENTS.fullmatch(w) for w in words):
-        return COMMENTED, False
-    if name in FURNITURE or "hidden" in found or found.get("aria-hidden") == "true" or any(MARKS.fullmatch(w) for w in words):
-        return FURNISHED, False
+        return COMMENTED, OPEN
+    unseen = "hidden" in found or found.get("aria-hidden") == "true" or UNSEEN.search(found.get("style", ""))
+    if name in FURNITURE or unseen or any(MARKS.fullmatch(w) for w in words):
+        return FURNISHED, OPEN
     return NONE, main
 
 
 def blocks(page: str | None, structure: bool = True) -> tuple[list[str], bool]:
     """The page's text blocks and whether they are its main elements' (else they are open).
     Without ``structure`` elements say nothing: all text is open."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # name, what it or an element around it is, within a main element
+    out: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []  # name, what it or an element around it is, how sure of a main element around it
     text: list[str] = []
-    main = False
+    main = OPEN
 
     def end_block() -> None:
         line = " ".join(html.unescape("".join(text)).split())
@@ -106,7 +118,7 @@ def blocks(page: str | None, structure: bool = True) -> tuple[list[str], bool]:
         text.clear()
 
     for token in _TOKEN.finditer(page or ""):
-        kind, main = (stack[-1][1], stack[-1][2]) if stack else (NONE, False)
+        kind, main = (stack[-1][1], stack[-1][2]) if stack else (NONE, OPEN)
         if (plain := token["text"]) is not None:
             if kind == NONE:
                 text.append(plain)
@@ -134,16 +146,19 @@ def blocks(page: str | None, structure: bool = True) -> tuple[list[str], bool]:
                 at -= 1
             if at and stack[at - 1][0] == name:
                 del stack[at - 1 :]
-            kind, main = (stack[-1][1], stack[-1][2]) if stack else (NONE, False)
-        own, is_main = _kind(name, token["attrs"]) if structure else (NONE, False)
-        if is_main and kind == FURNISHED:
-            kind, main = NONE, False  # an article inside an advert or menu means that its end tag is missing
-        stack.append((name, max(kind, own), (main or is_main)))
-    main = stack[-1][2] if stack else False
+            kind, main = (stack[-1][1], stack[-1][2]) if stack else (NONE, OPEN)
+        own, is_main = _kind(name, token["attrs"]) if structure else (NONE, OPEN)
+        if is_main == SURE and kind == FURNISHED:
+            kind, main = NONE, OPEN  # an article inside an advert or menu means that its end tag is missing
+        stack.append((name, max(kind, own), max(main, is_main)))
+    main = stack[-1][2] if stack else OPEN
     end_block()
-    inside = [line for line, m in out if m]
-    has_main = any(m for _, m in out)
-    return (inside, True) if has_main else ([line for line, _ in out], False)
+    size = [0, 0, 0]
+    for line, m in out:
+        size[m] += len(line)
+    if size[SURE] or size[HINT] > size[OPEN]:
+        return [line for line, m in out if m == (SURE if size[SURE] else HINT)], True
+    return [line for line, _ in out], False
 
 
 #: Bits of the table of one alignment; a larger one is halved.
@@ -275,10 +290,11 @@ def own_lines(open_pages: DataFrame) -> DataFrame:
 
     Lists that several pages of a host have are taken once, so copies don't
     delete each other. All lists are put in order of host and path over the
-    whole cluster; a host of any size is spread over many ordered partitions,
-    and the first and last list of each partition reach its neighbours through
-    a table of one row per partition. The page that shares the longest
-    beginning of its path stands next to a page in that order.
+    whole cluster; a host of any size is spread over many ordered partitions.
+    The first and last list of each are lent to the partitions beside it: a
+    table of one row per partition, of digests only, says which, and a join
+    with it finds the lists. The page that shares the longest beginning of its
+    path stands next to a page in that order.
     """
     once = open_pages.groupBy("list_key").agg(
         F.min("_host").alias("_host"), F.min("_path").alias("_path"), F.any_value("marks").alias("marks"), F.count(F.lit(1)).alias("copies")
@@ -286,16 +302,16 @@ def own_lines(open_pages: DataFrame) -> DataFrame:
     order = ["_host", "_path", "list_key"]
     ordered = once.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = stored(ordered.withColumn("part", F.spark_partition_id()), "ordered")
-    slot = F.struct("_host", "_path", "marks")
     key = F.struct(*order)
-    ends = ordered.groupBy("part").agg(F.min_by(slot, key).alias("first"), F.max_by(slot, key).alias("last"))
+    ends = ordered.groupBy("part").agg(F.min_by("list_key", key).alias("first"), F.max_by("list_key", key).alias("last"))
     over = Window.orderBy("part")  # one row per partition of the table
     ends = ends.select("part", F.lag("last").over(over).alias("before"), F.lead("first").over(over).alias("after"))
+    wanted = ends.select(F.col("part").alias("to"), F.explode(F.array("before", "after")).alias("list_key"))
+    lent = ordered.join(F.broadcast(wanted), "list_key").withColumn("part", F.col("to")).drop("to")
+    whole = ordered.withColumn("own", F.lit(True)).unionByName(lent.withColumn("own", F.lit(False)))
+    slot = F.struct("_host", "_path", "marks")
     w = Window.partitionBy("part").orderBy(*order)
-    placed = ordered.select("*", F.lag(slot).over(w).alias("up"), F.lead(slot).over(w).alias("down"))
-    placed = placed.join(F.broadcast(ends), "part", "left").select(
-        *order, "marks", "copies", F.coalesce("up", "before").alias("up"), F.coalesce("down", "after").alias("down")
-    )
+    placed = whole.select("*", F.lag(slot).over(w).alias("up"), F.lead(slot).over(w).alias("down")).filter("own")
     here = lambda side: F.when(F.col(f"{side}._host") == F.col("_host"), F.struct(f"{side}._path", f"{side}.marks")).alias(side)
     return placed.select("list_key", "_path", "marks", "copies", here("up"), here("down")).mapInArrow(
         _align, "list_key binary, copies bigint, left array<int>"

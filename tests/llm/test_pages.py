@@ -178,6 +178,52 @@ def test_a_page_that_very_many_copies_share(spark):
     assert len(got) == 901 and {got[i] for i in range(900)} == {"copied text"} and got[1000] == "other text"
 
 
+def test_adverts_of_vendors_and_what_is_not_shown():
+    inner = "".join(
+        f"<div {a}>gone</div>"
+        for a in (
+            'class="adsbygoogle"', 'class="ad-banner-300x250"', 'class="user-comments"', 'style="display:none"', "style='color:red; DISPLAY : none'", 'class="google-ads"',
+        )
+    )
+    assert blocks(f"<article><p>one</p>{inner}<div class='address adoption' style='display:block'>two</div></article>") == (["one", "two"], True)
+
+
+def test_teasers_are_the_article_only_if_most_text_is_theirs():
+    teaser = '<article class="teaser"><p>{}</p></article>'
+    assert blocks('<div id="content"><p>Long real text</p></div>' + teaser.format("next")) == (["Long real text", "next"], False)
+    assert blocks("<p>short</p>" + teaser.format("most of the text")) == (["most of the text"], True)
+    assert blocks("<article><p>story</p></article>" + teaser.format("another story, a long one")) == (["story"], True)
+    assert blocks(f"<aside>{teaser.format('next')}</aside><p>text</p>") == (["text"], False)
+
+
+def test_a_quote_that_is_never_closed():
+    assert blocks('<article><p title="abc>text</p></article>') == (["text"], True)
+    assert blocks("<article><p>a</p><script src='x>var y = 1</script><p>it</p></article>") == (["a", "it"], True)
+    assert blocks('<article><p data-x="1 > 0">a < b, "c"</p></article>') == (['a < b, "c"'], True)
+
+
+def test_neighbours_across_partitions(spark):
+    """Each list of a partition's edge meets the one before or after it, however small the partitions."""
+    rows = [(i, f"http://h/{i:04d}", f"<p>menu</p><p>text {i}</p>") for i in range(60)] + [(99, "http://other/", "<p>menu</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in ("1", "7", "40"):
+        with_parts(spark, parts)
+        try:
+            found = {r.page_id: r.text for r in extract_text(pages).collect()}
+        finally:
+            with_parts(spark, None)
+        assert found == {i: f"text {i}" for i in range(60)} | {99: "menu"}
+
+
+def with_parts(spark, parts):
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", parts)):
+        KEPT.setdefault(key, spark.conf.get(key))
+        spark.conf.set(key, value if parts else KEPT[key])
+
+
+KEPT: dict[str, str] = {}
+
+
 def test_elements_that_hold_text():
     math = "<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p><p class='search-term'>Term</p><p class=related>Also</p><p class=cookie-notice>No</p></article>"
     assert blocks(math) == (["If x=1 then", "Term", "Also"], True)

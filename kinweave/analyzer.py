@@ -168,6 +168,11 @@ class SocialGraphAnalyzer:
             mutes = ("mutes", silent.select("pubkey"), lambda old: mut.replace_mutes(old, silent))
             self._ingest(rows.filter(F.col("kind") == ing.FOLLOW_LIST_KIND), more=[mutes])
 
+    @_open
+    def vacuum(self, keep: int = 1, older_than: float = 3600.0) -> list[str]:
+        """Deletes what was replaced more than so many seconds ago, but for the newest ``keep`` states."""
+        return self._store.vacuum(keep, older_than)
+
     def _ingest(self, events: DataFrame, order: str = "ord", more: list[Change] | None = None) -> None:
         began = time.time()
         kept = cut(ing.latest_per_author(events, order))

@@ -75,6 +75,10 @@ class MemoryStore(_Store):
     def refresh(self) -> None:
         """Nobody else writes here."""
 
+    def vacuum(self, keep: int = 1, older_than: float = 3600.0) -> list[str]:
+        """Nothing is left behind here."""
+        return []
+
     def state_of(self, name: str) -> object:
         return id(self._tables.get(name))
 
@@ -220,6 +224,9 @@ class SnapshotStore(_Store):
         stream.close()
         version = self._version + 1
         try:
+            # A free number says nothing if later states are there and its own was vacuumed.
+            if any(v > self._version for v in self._manifests()):
+                raise Taken(f"another writer has committed to {self.path}")
             self._give_name(part, self._name(version))
         finally:
             self._fs.delete(self._Path(part), False)
@@ -243,21 +250,31 @@ class SnapshotStore(_Store):
             raise
 
     def vacuum(self, keep: int = 1, older_than: float = 3600.0) -> list[str]:
-        """Deletes all but the newest ``keep`` manifests, and folders that these
-        don't name and that are older than so many seconds, so that commits and
-        reads under way keep theirs. Returns what was deleted."""
+        """Deletes states that were replaced more than so many seconds ago, but for
+        the newest ``keep``, and files that no other state names, down to single
+        buckets. Reads and commits that began within that time keep their files.
+        Returns what was deleted."""
         self.refresh()
-        found = self._manifests()
-        named = {f.split("/")[0] for v in found[-keep:] for t in self._read(v)["tables"].values() for f in t.values()}
         before = (time.time() - older_than) * 1000
-        gone = [self._name(v).rsplit("/", 1)[1] for v in found[:-keep]]
-        for f in self._fs.listStatus(self._Path(self.path)):
-            name = f.getPath().getName()
-            if not name.startswith("manifest-") and name not in named and f.getModificationTime() <= before:
-                gone.append(name)
-        for name in gone:
+        files = {f.getPath().getName(): f.getModificationTime() for f in self._fs.listStatus(self._Path(self.path))}
+        found = self._manifests()
+        # A state is replaced when the next one is published.
+        old = [v for v, after in zip(found, found[1:], strict=False) if files.get(self._name(after).rsplit("/", 1)[1], before + 1) <= before]
+        gone = old[: max(0, len(found) - keep)]
+        named = {f for v in found if v not in gone for t in self._read(v)["tables"].values() for f in t.values()}
+        tops = {f.split("/")[0] for f in named}
+        names = [self._name(v).rsplit("/", 1)[1] for v in gone]
+        for name, at in files.items():
+            if name.startswith("manifest-") or at > before:
+                continue
+            if name not in tops:
+                names.append(name)
+                continue
+            parts = [f"{name}/{f.getPath().getName()}" for f in self._fs.listStatus(self._Path(f"{self.path}/{name}")) if f.isDirectory()]
+            names += [x for x in parts if x not in named]
+        for name in names:
             self._fs.delete(self._Path(f"{self.path}/{name}"), True)
-        return gone
+        return names
 
 
 def open_store(spark: SparkSession, path: str = ":memory:") -> MemoryStore | SnapshotStore:

@@ -174,3 +174,24 @@ def test_stream_of_events(spark, tmp_path):
     query = ingest_stream(g, stream).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert g.get_stats() == GraphStats(2, 2, 2)
+
+
+def test_stream_vacuums_as_it_goes(spark, tmp_path, monkeypatch):
+    import json
+    import os
+
+    from kinweave.plans import EVENTS
+    from kinweave.streaming import ingest_stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(event(EDA, [FOX, SUE][: 1 + i % 2], at=1000 + i)))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
+    g = SocialGraphAnalyzer.create(str(tmp_path / "g"), spark=spark)
+    plain = g.vacuum
+    monkeypatch.setattr(g, "vacuum", lambda: plain(older_than=-10))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = ingest_stream(g, stream, vacuum_every=2).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.lastProgress["batchId"] == 3
+    assert len(list((tmp_path / "g").glob("manifest-*"))) == 1 and g.get_stats() == GraphStats(2, 1, 2)

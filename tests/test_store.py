@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,34 @@ def test_vacuum_keeps_what_manifests_name(spark, tmp_path):
     assert plain(again.table("follows")) == plain(store.table("follows")) == want
 
 
+def test_vacuum_leaves_what_reads_and_commits_under_way_need(spark, tmp_path):
+    path = tmp_path / "s"
+    store = SnapshotStore(spark, str(path), buckets=4)
+    replace(store, spark, [(f"a{i}", "b") for i in range(20)])
+    reader = SnapshotStore(spark, str(path))
+    late = SnapshotStore(spark, str(path))
+    for i in range(3):
+        replace(store, spark, [("a1", f"c{i}")])
+    # All were replaced just now, whatever the age of their files.
+    hours_ago = time.time() - 7200
+    for folder in path.glob("follows-*"):
+        os.utime(folder, (hours_ago, hours_ago))
+    assert store.vacuum() == []
+    assert plain(reader.table("follows")) == {(f"a{i}", "b") for i in range(20)}
+    # Replaced long ago: of the first folder only the bucket goes that is no longer named.
+    gone = store.vacuum(older_than=-10)
+    assert sum(x.startswith("manifest-") for x in gone) == 3 and sum("/bucket=" in x for x in gone) == 1
+    now = {(f"a{i}", "b") for i in range(20) if i != 1} | {("a1", "c2")}
+    assert plain(SnapshotStore(spark, str(path)).table("follows")) == now
+    # The number after a stale writer's own is free again, but isn't taken.
+    with pytest.raises(Taken):
+        late._publish(late._folders, late.metadata)
+    late.commit({}, {"late": "yes"})
+    store.refresh()
+    assert store.metadata["late"] == "yes" and plain(store.table("follows")) == now
+    assert len(SnapshotStore(spark, str(path))._manifests()) == 2
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 

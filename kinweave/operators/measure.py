@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.operators.relational import DST, SALTS, SRC, degrees
-from kinweave.plans.lineage import cut, cut_and_count, cut_by, fixed_plans
+from kinweave.plans.lineage import cut, cut_and_count, cut_by, fixed_plans, unsized
 from kinweave.plans.skew import HOT_SHARE, join_per_key
 
 DAMPING, TOLERANCE = 0.85, 1e-6
@@ -126,6 +126,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
             pairs = join_per_key(pairs, own, end, f"n_{end}", rows, seen.get["most"])
         left = pairs.filter("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
         pairs, rows = cut_and_count(left)
+        pairs = unsized(pairs)
     keys = edges.select(F.explode(F.array(SRC, DST)).alias("pubkey")).distinct()
     if not picks:
         return keys.select("pubkey", F.col("pubkey").alias("component"))

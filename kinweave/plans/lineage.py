@@ -31,6 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A cut frame without the size that Spark has guessed for it.
+
+    A checkpoint keeps its plan's guess, which is a product for a join. A loop
+    that joins its own results thus multiplies the guess's digits each round
+    until planning takes longer than any job. Loops of that kind use this.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
+
+
 def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
     """The cut frame and its rows, in one job."""
     seen = Observation()

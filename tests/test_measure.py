@@ -136,6 +136,21 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(sizes) < 25 and sizes[-1] == 0 and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def test_size_guesses_of_rounds_stay_short(spark, monkeypatch):
+    """Guesses that are products of earlier ones grew to megabytes of digits, and planning never ended."""
+    bits, made = [], measure.cut
+
+    def cut(df):
+        out = made(df)
+        bits.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(measure, "cut", cut)
+    edges = frame(spark, [(i + 1, i) if i % 3 else (i, i + 1) for i in range(200)])
+    assert {x["component"] for x in measure.weak_components(edges).collect()} == {0}
+    assert len(bits) > 5 and max(bits) < 2000
+
+
 def test_hot_keys_of_joins(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_SHARE", 4)
     rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(100)] + [(999, -1)], "k int, i int")

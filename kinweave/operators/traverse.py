@@ -90,7 +90,29 @@ class _Side:
 
     def keep(self, origins: DataFrame) -> None:
         """Goes on with some origins only."""
-        self.frontier, self.rows = cut_and_count(self.frontier.join(origins, "origin", "left_semi"))
+        self.frontier, self.rows = cut_and_count(self.frontier.join(origins.distinct(), "origin", "left_semi"))
+
+
+def _cheaper_end(pairs: DataFrame, there: DataFrame, here: DataFrame) -> str:
+    """The end, source or target, at which fewer rows come of putting its edge beside the ``pairs``."""
+
+    def rows(edge: DataFrame, end: str) -> int:
+        asked, nodes = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("pairs")), edge.groupBy(end).agg(F.count(F.lit(1)).alias("nodes"))
+        return nodes.join(asked, end).agg(F.sum(F.col("nodes") * F.col("pairs"))).first()[0] or 0
+
+    return "source" if rows(there, "source") <= rows(here, "target") else "target"
+
+
+def _meeting(pairs: DataFrame, there: DataFrame, here: DataFrame) -> DataFrame:
+    """The ``pairs`` beside each node that both the edge of their source and that of their target hold.
+
+    Pairs are first put beside one of the edges. A pair then has as many rows as
+    its origin has nodes there, so a source with very many targets multiplies
+    its whole edge; the end that makes fewer rows, by count, comes first.
+    """
+    if _cheaper_end(pairs, there, here) == "source":
+        return pairs.join(there, "source").join(here, ["target", "node"])
+    return pairs.join(here, "target").join(there, ["source", "node"])
 
 
 def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_path: bool = False, backward: DataFrame | Dealt | None = None) -> DataFrame:
@@ -118,11 +140,7 @@ def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_pa
             break
         there = ahead.frontier.withColumnRenamed("origin", "source")
         here = back.frontier.withColumnsRenamed({"origin": "target", "path": "rest"})
-        # Pairs are first put beside the smaller edge, so fewer rows look for the other.
-        if ahead.rows <= back.rows:
-            met = open_.join(there, "source").join(here, ["target", "node"])
-        else:
-            met = open_.join(here, "target").join(there, ["source", "node"])
+        met = _meeting(open_, there, here)
         distance = F.lit(ahead.level + back.level).alias("distance")
         whole = [F.min(F.concat("path", F.slice("rest", F.lit(2), F.size("rest")))).alias("path")] if with_path else []
         met, n = cut_and_count(met.groupBy("source", "target").agg(F.any_value(distance).alias("distance"), *whole))

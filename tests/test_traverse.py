@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave import queries as q
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
 
@@ -187,3 +188,28 @@ def test_a_celebrity_is_dealt_out(spark, monkeypatch):
     assert got == {("f1", "hub"): 1, ("f2", "x2"): 1}
     with pytest.raises(ValueError, match="other end"):
         rel.Steps(dealt)
+
+
+def test_a_source_with_many_targets_multiplies_no_edge(spark, monkeypatch):
+    """Pairs used to be put beside the edge with fewer nodes, though each of them had all of these."""
+    pairs = spark.createDataFrame([(0, k) for k in range(100, 300)], "source bigint, target bigint")
+    there = spark.createDataFrame([(0, k) for k in range(1, 51)], "source bigint, node bigint")
+    here = pairs.select("target", (F.col("target") % 50).alias("node"))
+    assert trav._cheaper_end(pairs, there, here) == "target"
+    swap = {"source": "target", "target": "source"}
+    turned = [x.select(*[F.col(c).alias(swap.get(c, c)) for c in x.columns]) for x in (pairs, here, there)]
+    assert trav._cheaper_end(*turned) == "source"
+    for asked, one, two in ((pairs, there, here), turned):
+        want = {(r["source"], r["target"], r["node"]) for r in asked.join(one, "source").join(two, ["target", "node"]).collect()}
+        assert {(r["source"], r["target"], r["node"]) for r in trav._meeting(asked, one, two).collect()} == want and len(want) == 196
+
+
+def test_one_search_serves_all_depths(spark, sf_dir, monkeypatch):
+    calls, search = [], trav.shortest_pairs
+    monkeypatch.setattr(trav, "shortest_pairs", lambda *a, **k: calls.append(a) or search(*a, **k))
+    got = q.QUERIES["shortest_by_depth"](spark, sf_dir)
+    assert len(calls) == 1
+    edges, pairs = calls[0][0], calls[0][1]
+    for depth in (0, 1, 3):
+        want = {(r["target"], r["distance"]) for r in search(edges, pairs, depth).collect()}
+        assert {(r["target"], r["distance"]) for r in got.filter(F.col("max_depth") == depth).collect()} == want

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.relational import Dealt, Steps
-from kinweave.operators.traverse import BROADCAST_ROWS
+from kinweave.operators.traverse import BROADCAST_ROWS, in_reach
 from kinweave.plans.lineage import cut, cut_and_count
 
 
-def _levels(edges: DataFrame, pairs: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+def _levels(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | Dealt | None) -> tuple[DataFrame, DataFrame]:
     """``source, node, distance, paths`` of what the sources of the pairs (source, target)
     reach, and ``source, target, distance, paths`` of the pairs.
 
     A level adds up the numbers of paths to each node's predecessors. A source
-    goes on only while a target of it is open.
+    goes on only while a target of it is open; of many pairs, only sources with a
+    target in reach set out.
     """
-    asked, _ = cut_and_count(pairs.select("source", "target").distinct())
+    asked = in_reach(edges, pairs, levels, backward)
     steps = Steps(edges)
     one = F.lit(1).cast("bigint").alias("paths")
     frontier, rows = cut_and_count(asked.select("source", F.col("source").alias("node"), F.lit(0).alias("distance"), one).distinct())
@@ -37,10 +38,10 @@ def _levels(edges: DataFrame, pairs: DataFrame, levels: int) -> tuple[DataFrame,
     return seen, met
 
 
-def count_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int) -> DataFrame:
+def count_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
     """``source, target, distance, paths`` of the pairs in reach: how many shortest paths
     each has. A number that doesn't fit a long is an error."""
-    return _levels(edges, pairs, levels)[1]
+    return _levels(edges, pairs, levels, backward)[1]
 
 
 def all_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def all_shortest_paths(edges: DataFrame, pairs: DataFrame, levels: int, backward
     So no path is begun that doesn't arrive, and a pair costs as many rows as it
     has paths.
     """
-    seen, met = _levels(edges, pairs, levels)
+    seen, met = _levels(edges, pairs, levels, backward)
     back = Steps(edges if backward is None else backward, backward=True)
     open_, rows = cut_and_count(met.select("source", "target", "distance", F.col("target").alias("node"), F.array("target").alias("path")))
     level = seen.select("source", F.col("node").alias("next"), F.col("distance").alias("at"))
@@ -113,10 +114,11 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, most: int, backward: DataFr
     """``source, target, path``, a row for each path without a repeated key and with at most
     ``most`` edges. A key has none to itself.
 
-    Distances to the targets come first; a path goes on only to keys from which
+    Of many pairs, those out of reach are left out first. Then come distances to
+    the targets; a path goes on only to keys from which
     its target is near enough. The result can be exponential in ``most``.
     """
-    asked = cut(pairs.select("source", "target").filter("source <> target").distinct())
+    asked = in_reach(edges, pairs.filter("source <> target"), most, backward)
     targets = asked.select("target").distinct()
     near = _distances_to(Steps(edges if backward is None else backward, backward=True), targets, most)
     near = cut(near.select("target", F.col("node").alias("next"), F.col("distance").alias("left")))

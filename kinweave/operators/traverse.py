@@ -125,9 +125,12 @@ def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_pa
     all meeting nodes are equally far from the source, so their smallest halves
     make it. Origins without an open pair are left out of later levels.
 
-    ``backward`` is a copy of the edges that is dealt out by their ends.
+    ``backward`` is a copy of the edges that is dealt out by their ends. Of many
+    pairs, those in reach are found first, and only these carry paths along.
     """
-    asked, _ = cut_and_count(pairs.select("source", "target").distinct())
+    asked, n = cut_and_count(pairs.select("source", "target").distinct())
+    if with_path and n > BROADCAST_ROWS:
+        asked = cut(shortest_pairs(edges, asked, max_depth, backward=backward).select("source", "target"))
     path = lambda c: [F.array(c).alias("path")] if with_path else []
     out = asked.filter("source = target").select("source", "target", F.lit(0).alias("distance"), *path("source"))
     open_ = asked.filter("source <> target")
@@ -154,6 +157,20 @@ def shortest_pairs(edges: DataFrame, pairs: DataFrame, max_depth: float, with_pa
     return out
 
 
+def in_reach(edges: DataFrame, pairs: DataFrame, levels: int, backward: DataFrame | Dealt | None = None) -> DataFrame:
+    """Of many ``pairs``, those with a path of at most ``levels`` edges; few are all returned.
+
+    A two-sided search is far cheaper than what is then done for each pair in
+    reach. It ends at even depths, so it goes one further if ``levels`` is odd.
+    """
+    asked, n = cut_and_count(pairs.select("source", "target").distinct())
+    if n <= BROADCAST_ROWS:
+        return asked
+    levels = int(levels)
+    near = shortest_pairs(edges, asked, levels + levels % 2, backward=backward)
+    return cut(near.filter(F.col("distance") <= levels).select("source", "target"))
+
+
 def shortest(edges: DataFrame, source, target, max_depth: float, with_path: bool = False, backward: DataFrame | Dealt | None = None) -> dict | None:
     """``{"distance": d, "path": [...]}`` of one pair (no path unless asked for), or None if out of reach."""
     if source == target:

@@ -292,7 +292,7 @@ def _pair_paths_sql() -> str:
 @query(_pair_paths_sql())
 def shortest_pairs(spark, sf_dir):
     """Paths of many pairs by the two-sided search that single ones use."""
-    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    edges, pairs = cut(fx.follow_edges(spark, sf_dir)), _pairs(spark, sf_dir, "source", "target")
     found = trav.shortest_pairs(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, True, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
@@ -528,7 +528,8 @@ SELECT p.a AS source, p.b AS target, d AS distance, cast(paths AS BIGINT) AS pat
 )
 def shortest_path_counts(spark, sf_dir):
     """How many shortest paths each pair has."""
-    return paths.count_shortest_paths(fx.cached_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target"), PAIR_DEPTH)
+    edges, pairs = cut(fx.follow_edges(spark, sf_dir)), _pairs(spark, sf_dir, "source", "target")
+    return paths.count_shortest_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, rel.Dealt(edges, backward=True))
 
 
 @query(
@@ -540,7 +541,7 @@ SELECT p.a AS source, p.b AS target, d AS distance, path FROM p JOIN s ON s.sour
 )
 def all_shortest_paths(spark, sf_dir):
     """Every shortest path of each pair."""
-    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    edges, pairs = cut(fx.follow_edges(spark, sf_dir)), _pairs(spark, sf_dir, "source", "target")
     found = paths.all_shortest_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 
@@ -556,7 +557,7 @@ SELECT source, target, array_to_string(path, '>') AS path FROM s WHERE node = ta
 )
 def simple_paths(spark, sf_dir):
     """Every path of each pair that repeats no key and has at most so many edges."""
-    edges, pairs = fx.follow_edges(spark, sf_dir), _pairs(spark, sf_dir, "source", "target")
+    edges, pairs = cut(fx.follow_edges(spark, sf_dir)), _pairs(spark, sf_dir, "source", "target")
     found = paths.simple_paths(cut_by(edges, "follower_pubkey"), pairs, PAIR_DEPTH, rel.Dealt(edges, backward=True))
     return found.withColumn("path", F.concat_ws(">", F.col("path").cast("array<string>")))
 

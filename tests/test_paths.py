@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from kinweave.operators import paths
+from kinweave.operators import paths, traverse
 from tests.test_traverse import SCHEMA, plain_bfs
 
 
@@ -101,3 +101,15 @@ def test_every_hop_shortens_the_way(spark, graph):
             assert walked[s, t][0] == s and walked[s, t][-1] == t and len(walked[s, t]) == full[0] + 1
         else:
             assert (s, t) not in walked
+
+
+@pytest.mark.parametrize("levels", [3, 4])
+def test_only_pairs_in_reach_set_out(spark, graph, monkeypatch, levels):
+    """Of many pairs (here: more than none), those out of reach are left out by a two-sided search; the results stay."""
+    edges, df, pairs = graph
+    monkeypatch.setattr(traverse, "BROADCAST_ROWS", 0)
+    near = {(r["source"], r["target"]) for r in traverse.in_reach(df, asked(spark, pairs), levels).collect()}
+    far = {s: plain_bfs(edges, s) for s, _ in pairs}
+    assert near == {(s, t) for s, t in pairs if t in far[s] and far[s][t][0] <= levels}
+    counts = {(r["source"], r["target"]): r["distance"] for r in paths.count_shortest_paths(df, asked(spark, pairs), levels).collect()}
+    assert counts == {(s, t): far[s][t][0] for s, t in near}

@@ -27,14 +27,18 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_of(spark: SparkSession, sf_dir: str, kept: DataFrame) -> DataFrame:
-    """Distinct edges of kept events, the keys as integers."""
+    """Distinct edges of kept events, the keys as integers.
+
+    The kept events, one for each author, are the hashed side of the join, so
+    no task sorts the line items of all orders.
+    """
     customers = table(spark, sf_dir, "customer").count()
     items = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("bigint").alias("ord"),
         ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % customers).cast("bigint").alias("followed_pubkey"),
     )
     return (
-        kept.join(items, "ord")
+        kept.hint("shuffle_hash").join(items, "ord")
         .select(F.col("pubkey").alias("follower_pubkey"), "followed_pubkey", "created_at")
         .groupBy("follower_pubkey", "followed_pubkey")
         .agg(F.first("created_at").alias("created_at"))

@@ -18,12 +18,12 @@ class Dealt:
 
     ``cold`` is dealt by the key. The edges of hot keys are in ``hot``, dealt by key
     and a salt of the other end, so no partition holds a celebrity's followers;
-    ``keys`` are these at most HOT_SHARE keys, None if there is none."""
+    ``keys`` are these at most HOT_SHARE keys, None if there is none; ``counts`` are the edges of each key."""
 
     def __init__(self, edges: DataFrame, backward: bool = False):
         near, far = (DST, SRC) if backward else (SRC, DST)
         steps = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
-        self.keys, n_hot = _hot_nodes(steps)
+        self.counts, self.keys, n_hot = _hot_nodes(steps)
         self.backward, self.hot = backward, None
         if not n_hot:
             self.keys, self.cold = None, cut_by(steps, "node")
@@ -37,10 +37,11 @@ def _salt():
     return F.pmod(F.xxhash64("next"), F.lit(SALTS)).cast("int")
 
 
-def _hot_nodes(steps: DataFrame) -> tuple[DataFrame, int]:
+def _hot_nodes(steps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The steps of each node as ``node, n``, the hot nodes and their number."""
     counts = cut(steps.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return cut_and_count(counts.filter(F.col("n") * HOT_SHARE > total).filter(F.col("n") > SALTS).select("node"))
+    return counts, *cut_and_count(counts.filter(F.col("n") * HOT_SHARE > total).filter(F.col("n") > SALTS).select("node"))
 
 
 class Steps:
@@ -55,35 +56,45 @@ class Steps:
         else:
             near, far = (DST, SRC) if backward else (SRC, DST)
             self.frame = edges.select(F.col(near).alias("node"), F.col(far).alias("next"))
+        self._counts: DataFrame | None = self.dealt.counts if self.dealt else None
         self._hot: DataFrame | None = None
         self._hot_rows = 0
 
     def hot(self) -> DataFrame:
         """The at most HOT_SHARE hot nodes, found once, when first needed."""
         if self._hot is None:
-            self._hot, self._hot_rows = _hot_nodes(self.frame)
+            self._counts, self._hot, self._hot_rows = _hot_nodes(self.frame)
         return self._hot
 
-    def join(self, rows: DataFrame, small: bool) -> DataFrame:
+    def rows_of(self, rows: DataFrame) -> int:
+        """How many rows ``join`` makes of these, by count."""
+        if self._counts is None:
+            self.hot()
+        here = rows.groupBy("node").agg(F.count(F.lit(1)).alias("here"))
+        return here.join(self._counts, "node").agg(F.sum(F.col("here") * F.col("n"))).first()[0] or 0
+
+    def join(self, rows: DataFrame, small: bool, wider: int | None = None) -> DataFrame:
         """``rows`` with ``next``, a row for each step from their ``node``.
 
         Small rows are broadcast, and edges stay where they are. Others are
         joined by a shuffle on the node, except at hot nodes: the steps of these
         are dealt out by a salt of their ends and the rows there repeated for
         each salt, so no node's steps meet in one task. Edges that are ``Dealt``
-        stay where they are then too.
+        stay where they are then too, unless the rows need ``wider`` partitions.
         """
+        deal = lambda df, *by: df.repartition(wider, *by) if wider else df
         if small:
             return self.frame.join(F.broadcast(rows), "node")
         if self.dealt:
+            cold = deal(self.dealt.cold, "node")
             if self.dealt.hot is None:
-                return self.dealt.cold.join(rows, "node")
-            return self._salted(self.dealt.cold, self.dealt.hot, rows, F.broadcast(self.dealt.keys))
+                return cold.join(rows, "node")
+            return self._salted(cold, deal(self.dealt.hot, "node", "salt"), rows, F.broadcast(self.dealt.keys))
         hot = F.broadcast(self.hot())
         if not self._hot_rows:
-            return self.frame.join(rows, "node")
+            return deal(self.frame, "node").join(rows, "node")
         salted = self.frame.join(hot, "node", "left_semi").withColumn("salt", _salt())
-        return self._salted(self.frame.join(hot, "node", "left_anti"), salted, rows, hot)
+        return self._salted(deal(self.frame.join(hot, "node", "left_anti"), "node"), deal(salted, "node", "salt"), rows, hot)
 
     def _salted(self, cold: DataFrame, salted: DataFrame, rows: DataFrame, hot: DataFrame) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")

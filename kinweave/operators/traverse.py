@@ -3,7 +3,8 @@
 A level is one distributed step: expand the frontier along the edges, reduce
 per (source, node), drop what was seen. Its plan is cut each level. A frontier
 is broadcast only if its counted rows are below BROADCAST_ROWS; a larger one is
-joined by a shuffle, the edges of hot nodes spread over salts.
+joined by a shuffle, the edges of hot nodes spread over salts, in as many
+partitions as the rows that come of it need.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.relational import DST, SRC, Dealt, Steps
-from kinweave.plans.lineage import cut, cut_and_count
+from kinweave.plans.lineage import cut, cut_and_count, partitions_for
 
 BROADCAST_ROWS = 20_000
 
@@ -25,6 +26,11 @@ def reachable_levels(max_depth: float) -> int:
     return max(1, 2 * math.floor(max_depth / 2))
 
 
+def _rows_ahead(steps: Steps, frontier: DataFrame, rows: int) -> int:
+    """The rows of the next level before they are reduced; a frontier that is broadcast isn't counted."""
+    return 0 if rows <= BROADCAST_ROWS else steps.rows_of(frontier)
+
+
 def breadth_first(
     edges: DataFrame,
     seeds: DataFrame,
@@ -41,16 +47,17 @@ def breadth_first(
     if with_path:
         start = start.withColumn("path", F.array("node"))
     frontier, rows = cut_and_count(start)
-    seen = frontier
+    seen, seen_rows = frontier, rows
     for level in range(1, int(levels) + 1):
-        reached = steps.join(frontier, rows <= BROADCAST_ROWS)
-        best = [F.min(F.concat("path", F.array("next"))).alias("path")] if with_path else []
-        found = reached.groupBy("source", F.col("next").alias("node")).agg(F.lit(level).alias("distance"), *best)
         known = seen.select("source", "node")
-        frontier, rows = cut_and_count(found.join(known, ["source", "node"], "left_anti"))
+        best = [F.min(F.concat("path", F.array("next"))).alias("path")] if with_path else []
+        with partitions_for(edges.sparkSession, seen_rows + _rows_ahead(steps, frontier, rows)) as wider:
+            reached = steps.join(frontier, rows <= BROADCAST_ROWS, wider)
+            found = reached.groupBy("source", F.col("next").alias("node")).agg(F.lit(level).alias("distance"), *best)
+            frontier, rows = cut_and_count(found.join(known, ["source", "node"], "left_anti"))
         if not rows:
             break
-        seen = seen.unionByName(frontier)
+        seen, seen_rows = seen.unionByName(frontier), seen_rows + rows
     return seen
 
 
@@ -73,19 +80,19 @@ class _Side:
         if with_path:
             start = start.withColumn("path", F.array("node"))
         self.frontier, self.rows = cut_and_count(start)
-        self.seen = self.frontier.select("origin", "node")
+        self.seen, self.seen_rows = self.frontier.select("origin", "node"), self.rows
 
     def expand(self) -> None:
-        reached = self.steps.join(self.frontier, self.rows <= BROADCAST_ROWS)
-        best = []
-        if self.with_path:
-            one = F.array("next")
-            best = [F.min(F.concat(one, "path") if self.backward else F.concat("path", one)).alias("path")]
-            found = reached.groupBy("origin", F.col("next").alias("node")).agg(*best)
-        else:
-            found = reached.select("origin", F.col("next").alias("node")).distinct()
-        self.frontier, self.rows = cut_and_count(found.join(self.seen, ["origin", "node"], "left_anti"))
-        self.seen = self.seen.unionByName(self.frontier.select("origin", "node"))
+        with partitions_for(self.seen.sparkSession, self.seen_rows + _rows_ahead(self.steps, self.frontier, self.rows)) as wider:
+            reached = self.steps.join(self.frontier, self.rows <= BROADCAST_ROWS, wider)
+            if self.with_path:
+                one = F.array("next")
+                best = F.min(F.concat(one, "path") if self.backward else F.concat("path", one)).alias("path")
+                found = reached.groupBy("origin", F.col("next").alias("node")).agg(best)
+            else:
+                found = reached.select("origin", F.col("next").alias("node")).distinct()
+            self.frontier, self.rows = cut_and_count(found.join(self.seen, ["origin", "node"], "left_anti"))
+        self.seen, self.seen_rows = self.seen.unionByName(self.frontier.select("origin", "node")), self.seen_rows + self.rows
         self.level += 1
 
     def keep(self, origins: DataFrame) -> None:

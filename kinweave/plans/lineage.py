@@ -26,6 +26,10 @@ def shared_root(spark: SparkSession) -> str:
     return root or context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows that a shuffle partition of a counted step gets at most, on average: some hundred MB of a task's memory.
+ROWS_PER_PARTITION = 2_000_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -61,6 +65,26 @@ def fixed_plans(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+@contextmanager
+def partitions_for(spark: SparkSession, rows: int):
+    """Within it a step over ``rows`` rows has a shuffle partition for each ROWS_PER_PARTITION of
+    them, so a task's memory doesn't grow with the input. Yields their number, or None
+    where the session's is enough and nothing changes; its settings are put back."""
+    partitions = -(-rows // ROWS_PER_PARTITION)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(name) for name in names]
+    if partitions <= int(before[0]):
+        yield None
+        return
+    try:
+        for name, value in zip(names, (str(partitions), "false"), strict=True):
+            spark.conf.set(name, value)
+        yield partitions
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
 def cut_by(df: DataFrame, *keys: str) -> DataFrame:
     """The cut frame, hash-partitioned by the ``keys``, for joins at every level of a search.
 

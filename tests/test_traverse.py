@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinweave import queries as q
 from kinweave.operators import relational as rel
 from kinweave.operators import traverse as trav
+from kinweave.plans import lineage
 
 SCHEMA = "follower_pubkey bigint, followed_pubkey bigint"
 
@@ -213,3 +214,42 @@ def test_one_search_serves_all_depths(spark, sf_dir, monkeypatch):
     for depth in (0, 1, 3):
         want = {(r["target"], r["distance"]) for r in search(edges, pairs, depth).collect()}
         assert {(r["target"], r["distance"]) for r in got.filter(F.col("max_depth") == depth).collect()} == want
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_partitions_follow_a_levels_rows(spark, monkeypatch, backward):
+    """With a fixed number of partitions, a task's share of a level grew with the input."""
+    made, counted = [], trav.cut_and_count
+
+    def noted(df):
+        out, rows = counted(df)
+        made.append((out.rdd.getNumPartitions(), rows))
+        return out, rows
+
+    monkeypatch.setattr(trav, "cut_and_count", noted)
+    monkeypatch.setattr(trav, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(lineage, "ROWS_PER_PARTITION", 100)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    r = random.Random(3)
+    rows = sorted({(r.randrange(60), r.randrange(60)) for _ in range(200)})
+    edges = spark.createDataFrame(rows, SCHEMA).cache()
+    keys = sorted({a for a, _ in rows})
+    if backward:
+        pairs = spark.createDataFrame([(a, b) for a in keys for b in keys], "source bigint, target bigint")
+        got = {(x["source"], x["target"]): x["distance"] for x in trav.shortest_pairs(edges, pairs, 4, backward=rel.Dealt(edges, backward=True)).collect()}
+        want = {(s, n): d for s in keys for n, (d, _) in plain_bfs(rows, s).items() if d <= 4 and n in keys}
+    else:
+        got = {(x["source"], x["node"]): x["distance"] for x in trav.within(edges, edges.selectExpr("follower_pubkey AS source"), 3).collect()}
+        want = {(s, n): d for s in keys for n, (d, _) in plain_bfs(rows, s).items() if 0 < d <= 3}
+        assert all(parts * 100 >= n for parts, n in made if n > 400) and max(parts for parts, _ in made) > 8, made
+    assert got == want
+    assert max(parts for parts, _ in made) > 4 and before == {c: spark.conf.get(c) for c in before}
+
+
+def test_rows_of_a_level_are_counted(spark):
+    rows = skewed(random.Random(4), 200, 800)
+    edges = text_edges(spark, rows)
+    at = spark.createDataFrame([(1, "star"), (2, "star"), (1, "hub"), (1, "nobody")], "source int, node string")
+    for steps in (rel.Steps(edges), rel.Steps(rel.Dealt(edges))):
+        assert steps.rows_of(at) == steps.join(at, False).count() == steps.join(at, False, 7).count() > 400 and steps.rows_of(at.limit(0)) == 0
+        assert "hashpartitioning(node#" in (plan := steps.join(at, False, 7)._jdf.queryExecution().executedPlan().toString()) and ", 7)" in plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinweave.operators.relational import DST, SALTS, SRC, degrees
-from kinweave.plans.lineage import cut, cut_and_count, cut_by, fixed_plans, unsized
+from kinweave.plans.lineage import cut, cut_and_count, fixed_plans, partitions_for, unsized
 from kinweave.plans.skew import HOT_SHARE, join_per_key
 
 DAMPING, TOLERANCE = 0.85, 1e-6
@@ -21,41 +21,46 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLE
     less than ``tolerance``; the change and the rank of keys that follow none are
     observed while a round is written, so a round is one job.
 
-    Edges are dealt out by follower once and stay there; ranks are made where
-    the next round needs them, so a round shuffles the followed keys' sums only.
-    The edges of the at most HOT_SHARE keys that follow very many are spread
-    evenly instead, and get these keys' shares by broadcast.
+    Edges are made once and dealt out by follower as one list per key, so a round
+    sorts and joins keys, not edges; ranks are made where the next round needs
+    them, so a round shuffles the followed keys' sums only. The edges of the at
+    most HOT_SHARE keys that follow very many are spread evenly instead, and get
+    these keys' shares by broadcast.
     """
     spark = edges.sparkSession
-    nodes, n = cut_and_count(degrees(edges).select(F.col("pubkey").alias("node"), "out_degree"))
-    if not n:
-        return nodes.select(F.col("node").alias("pubkey"), F.lit(0.0).alias("rank"))
-    links = nodes.agg(F.sum("out_degree")).first()[0]
-    hot, n_hot = cut_and_count(nodes.filter((F.col("out_degree") * HOT_SHARE > links) & (F.col("out_degree") > SALTS)).select("node"))
-    steps = edges.select(F.col(SRC).alias("node"), F.col(DST).alias("next"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = cut(steps.join(F.broadcast(hot), "node", "left_semi").repartition(partitions)) if n_hot else None
-    dealt = cut_by(steps.join(F.broadcast(hot), "node", "left_anti") if n_hot else steps, "node")
-    ranks = cut_by(nodes.withColumn("rank", F.lit(1.0 / n)), "node")
-    idle = ranks.filter("out_degree = 0").agg(F.sum("rank")).first()[0] or 0.0
-    for _ in range(most_rounds):
-        shares = ranks.filter("out_degree > 0").select("node", (F.col("rank") / F.col("out_degree")).alias("share"))
-        given = dealt.join(shares.hint("merge"), "node").select("next", "share")
-        if n_hot:
-            few = shares.join(F.broadcast(hot), "node", "left_semi")
-            given = given.unionByName(spread.join(F.broadcast(few), "node").select("next", "share"))
-        got = given.groupBy(F.col("next").alias("node")).agg(F.sum("share").alias("got"))
-        all_get = (1 - damping) / n + damping * idle / n
-        moved = ranks.join(got.hint("merge"), "node", "left").select(
-            "node", "out_degree", (F.lit(all_get) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")
-        )
-        seen = Observation()
-        unused = F.sum(F.when(F.col("out_degree") == 0, F.col("rank")))
+    steps, links = cut_and_count(edges.select(SRC, DST))
+    with partitions_for(spark, links):
+        with fixed_plans(spark):
+            nodes, n = cut_and_count(degrees(steps).select(F.col("pubkey").alias("node"), "out_degree"))
+        if not n:
+            return nodes.select(F.col("node").alias("pubkey"), F.lit(0.0).alias("rank"))
+        hot, n_hot = cut_and_count(nodes.filter((F.col("out_degree") * HOT_SHARE > links) & (F.col("out_degree") > SALTS)).select("node"))
+        steps = steps.select(F.col(SRC).alias("node"), F.col(DST).alias("next"))
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = cut(steps.join(F.broadcast(hot), "node", "left_semi").repartition(partitions)) if n_hot else None
+        cold = steps.join(F.broadcast(hot), "node", "left_anti") if n_hot else steps
         with fixed_plans(spark):
-            moved = cut(moved.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), unused.alias("idle")))
-        ranks, idle = moved.drop("old"), seen.get["idle"] or 0.0
-        if seen.get["change"] < tolerance:
-            break
+            dealt = cut(cold.groupBy("node").agg(F.collect_list("next").alias("nexts")))
+        ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        idle = ranks.filter("out_degree = 0").agg(F.sum("rank")).first()[0] or 0.0
+        for _ in range(most_rounds):
+            shares = ranks.filter("out_degree > 0").select("node", (F.col("rank") / F.col("out_degree")).alias("share"))
+            given = dealt.join(shares.hint("shuffle_hash"), "node").select(F.explode("nexts").alias("next"), "share")
+            if n_hot:
+                few = shares.join(F.broadcast(hot), "node", "left_semi")
+                given = given.unionByName(spread.join(F.broadcast(few), "node").select("next", "share"))
+            got = given.groupBy(F.col("next").alias("node")).agg(F.sum("share").alias("got"))
+            all_get = (1 - damping) / n + damping * idle / n
+            moved = ranks.join(got.hint("shuffle_hash"), "node", "left").select(
+                "node", "out_degree", (F.lit(all_get) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")
+            )
+            seen = Observation()
+            unused = F.sum(F.when(F.col("out_degree") == 0, F.col("rank")))
+            with fixed_plans(spark):
+                moved = cut(moved.observe(seen, F.sum(F.abs(F.col("rank") - F.col("old"))).alias("change"), unused.alias("idle")))
+            ranks, idle = moved.drop("old"), seen.get["idle"] or 0.0
+            if seen.get["change"] < tolerance:
+                break
     return ranks.select(F.col("node").alias("pubkey"), "rank")
 
 

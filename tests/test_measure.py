@@ -64,6 +64,26 @@ def test_a_round_shuffles_sums_only(spark, monkeypatch):
     assert plans and all(p.count("Exchange hashpartitioning") == 1 for p in plans), plans[-1]
 
 
+def test_edges_are_made_once_and_rounds_join_keys(spark, monkeypatch):
+    """The edges were made twice, for the degrees and to deal them out, and sorted anew each round."""
+    made, plans, cut = spark.sparkContext.accumulator(0), [], measure.cut
+
+    def noted(df):
+        if "old" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(measure, "cut", noted)
+    edges = frame(spark, [(i % 40, (i * 7) % 41) for i in range(300)]).mapInArrow(count, SCHEMA)
+    measure.pagerank(edges, tolerance=0.1)
+    assert made.value == 300 and plans and not any("Sort" in p for p in plans), plans[-1]
+
+
 def plain_clustering(edges):
     near = {}
     for a, b in edges:

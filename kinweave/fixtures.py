@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``pubkey, created_at, ord``: author, time and input order of each event."""
+def order_events(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """``pubkey, created_at, ord``: author, time and input order of each event, and ``more`` columns of the orders."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("bigint").alias("pubkey"),
         F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").cast("bigint").alias("created_at"),
         F.col("o_orderkey").cast("bigint").alias("ord"),
+        *more,
     )
 
 
@@ -68,19 +69,23 @@ def mute_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("muter_pubkey", "muted_pubkey").agg(F.first("created_at").alias("created_at"))
 
 
-def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tags form of the same events, hashed keys, for the parser."""
+def event_objects(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The tags form of the same events, hashed keys, for the parser.
+
+    Followed keys are gathered as integers and hashed where they are tagged.
+    """
     customers = table(spark, sf_dir, "customer").count()
     key = lambda c: F.sha2(F.concat(F.lit("u"), c.cast("string")), 256)
     followed = ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17) % customers).cast("bigint")
-    tags = (
+    lists = (
         table(spark, sf_dir, "lineitem")
-        .select(F.col("l_orderkey").cast("bigint").alias("ord"), F.array(F.lit("p"), F.upper(key(followed))).alias("tag"))
+        .select(F.col("l_orderkey").cast("bigint").alias("ord"), followed.alias("followed"))
         .groupBy("ord")
-        .agg(F.collect_list("tag").alias("tags"))
+        .agg(F.collect_list("followed").alias("followed"))
     )
-    events = order_events(spark, sf_dir).join(tags, "ord", "left")
+    events = order_events(spark, sf_dir, *more).join(lists, "ord", "left")
     empty = F.array().cast("array<array<string>>")
+    tags = F.transform("followed", lambda k: F.array(F.lit("p"), F.upper(key(k))))
     return events.select(
-        key(F.col("pubkey")).alias("pubkey"), "created_at", F.lit(3).alias("kind"), F.coalesce("tags", empty).alias("tags"), "ord"
+        key(F.col("pubkey")).alias("pubkey"), "created_at", F.lit(3).alias("kind"), F.coalesce(tags, empty).alias("tags"), "ord", *more
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.keys import hex_key_column
+from kinweave.plans.lineage import cut
 
 FOLLOW_LIST_KIND = 3
 
@@ -33,8 +34,18 @@ def latest_per_author(events: DataFrame, order: str = "ord") -> DataFrame:
     """Each author's newest event; of equally new ones, the first in input order.
 
     An aggregate with map-side combining rather than a ranking window: an
-    author with very many events doesn't gather them in one task.
+    author with very many events doesn't gather them in one task. Newest events
+    are first found by author, time and order alone; tags and other columns are
+    combined only of the rows that match these, more than one per author if
+    several have the same time and order.
     """
+    rest = [c for c in events.columns if c not in ("pubkey", "created_at", order)]
+    if rest:
+        place = F.struct((-F.col("created_at")).alias("age"), F.col(order).alias("order"))
+        first = events.groupBy(F.col("pubkey").alias("_pubkey")).agg(F.min(place).alias("_first"))
+        first = first.select("_pubkey", F.col("_first.age").alias("_age"), F.col("_first.order").alias("_order"))
+        same = F.col("_pubkey").eqNullSafe(F.col("pubkey")) & F.col("_age").eqNullSafe(-F.col("created_at")) & F.col("_order").eqNullSafe(F.col(order))
+        events = events.join(first.hint("shuffle_hash"), same, "left_semi")
     kept = [c for c in events.columns if c != "pubkey"]
     newest = F.min_by(F.struct(*kept), F.struct(-F.col("created_at"), F.col(order))).alias("e")
     return events.groupBy("pubkey").agg(newest).select("pubkey", *[F.col(f"e.{c}").alias(c) for c in kept])
@@ -76,7 +87,8 @@ def replace_lists_strictly(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ingest(edges: DataFrame, events: DataFrame, order: str = "ord", strict: bool = False) -> DataFrame:
-    kept = latest_per_author(events, order)
+    """``edges`` after the follow lists of ``events``; each author's newest event is cut, as it is read twice."""
+    kept = cut(latest_per_author(events, order))
     return replace_lists_strictly(edges, kept) if strict else replace_lists(edges, follows_of(kept))
 
 

@@ -383,9 +383,9 @@ SELECT sha256('u' || a) AS follower_pubkey, sha256('u' || b) AS followed_pubkey,
 
 
 def _two_calls(spark, sf_dir, strict):
-    about = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("ord"), "o_orderstatus", "o_orderpriority")
     empty = F.array().cast("array<array<string>>")
-    events = cut(fx.event_objects(spark, sf_dir).join(about, "ord").withColumn("tags", F.when(F.col("o_orderstatus") == "F", empty).otherwise(F.col("tags"))))
+    events = fx.event_objects(spark, sf_dir, "o_orderstatus", "o_orderpriority")
+    events = events.withColumn("tags", F.when(F.col("o_orderstatus") == "F", empty).otherwise(F.col("tags")))
     late = F.col("created_at") >= EPOCH_OF_SPLIT
     columns = ["pubkey", "created_at", "kind", "tags", "ord"]
     nothing = spark.createDataFrame([], EDGES)

@@ -83,3 +83,37 @@ def test_broken_json_lines_are_not_lost_in_silence(spark, tmp_path):
         ing.latest_per_author(read_events(spark, path), "id").collect()
     with pytest.raises(ValueError, match="broken must be"):
         read_events(spark, path, "ignore")
+
+
+def test_only_newest_lists_are_combined(spark):
+    """Tags of all events went through the sort and the shuffle of the aggregate."""
+    rows = [event(k, [FOX] * (1 + i % 3), at=1000 + i % 20) for i in range(60) for k in (EDA, BOB)]
+    frame = events_from_rows(spark, rows)
+    first, again = frame.select("pubkey", "created_at", "tags", "ord"), frame.select("pubkey", "created_at", "tags", "ord").limit(1)
+    ties = first.unionByName(again)  # one event twice, in all columns
+    nulls = spark.createDataFrame([(None, 5, [["p", FOX]], 1), (None, None, [["p", TOM]], 2), (SUE, 7, [["p", TOM]], None)], first.schema)
+    got = {(x["pubkey"], x["created_at"], x["ord"], len(x["tags"])) for x in ing.latest_per_author(ties.unionByName(nulls)).collect()}
+    assert got == {(EDA, 1019, 38, 2), (BOB, 1019, 39, 2), (None, None, 2, 1), (SUE, 7, None, 1)}
+    twins = ing.latest_per_author(again.unionByName(again))
+    assert twins.count() == 1
+    plan = ing.latest_per_author(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    lean = plan.split("LeftSemi")[1].split("Aggregate")[1]  # the side that finds the newest
+    assert "tags" not in lean.split("\n")[0] and "tags" not in lean.split("\n")[1]
+
+
+def test_events_are_read_for_one_call_only_as_often_as_needed(spark):
+    """The kept events were made anew for the authors and for the edges of a call."""
+    made = spark.sparkContext.accumulator(0)
+    frame = events_from_rows(spark, [event(EDA, [FOX]), event(BOB, [FOX, TOM])])
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    for strict in (False, True):
+        made.value = 0
+        old = spark.createDataFrame([(EDA, SUE, 1), (TOM, SUE, 1)], EDGES)
+        got = {(r[0], r[1]) for r in ing.ingest(old, frame.mapInArrow(count, frame.schema), strict=strict).collect()}
+        assert got == {(EDA, FOX), (BOB, FOX), (BOB, TOM), (TOM, SUE)} and made.value <= 4
